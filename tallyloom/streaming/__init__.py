@@ -1,0 +1,6 @@
+"""Deliberately empty: the workload is batch, file to file, and has no streaming operator.
+
+The stateless pieces (``operators.schema``, ``operators.rules`` and
+``operators.aggregate.tally``) are plain DataFrame transformations and accept a
+streaming DataFrame as they are.
+"""
