@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from tallyloom.functions.columns import add_all, clamp_residue, finite, logistic, or_zero, safe_exp, safe_ratio
 from tallyloom.operators.compose import apply_weights, interpolation_weights
 from tallyloom.operators.grid import complete_cells, literal_levels
+from tallyloom.session import materialise
 
 # ---------------------------------------------------------------- completeness
 
@@ -248,7 +249,7 @@ def annual_factors(anchors: DataFrame, year: str, cell, years: list, anchor_year
 
 def calibrate_to_level(
     cells: DataFrame, group, cell, first: str, second: str, log_profile: str, log_level: str, active: str,
-    tolerance: float = 1e-10, candidates: int = 16, search_passes: int = 3, newton_passes: int = 5,
+    tolerance: float = 1e-10, candidates: int = 32, search_passes: int = 2, newton_passes: int = 5,
 ) -> DataFrame:
     """Split each cell total between two classes so that the group meets its level target.
 
@@ -258,7 +259,8 @@ def calibrate_to_level(
 
     The root is bracketed analytically, narrowed by evaluating a grid of candidates
     per pass, and polished by Newton steps.  Every pass is one partial aggregation, so
-    a group may be arbitrarily large: cells are never gathered into a list.
+    a group may be arbitrarily large: cells are never gathered into a list.  The cells
+    are written once to the checkpoint folder, because every pass scans them.
     """
     group, cell = list(group), list(cell)
     x = cells.select(
@@ -272,6 +274,7 @@ def calibrate_to_level(
             "_eta": F.when(F.col("_on"), F.log("_a") - F.log("_b") + F.col("_p")),
         }
     )
+    x = materialise(x, "calibration-cells")
     on = F.col("_on")
     g = x.groupBy(*group).agg(
         F.coalesce(F.sum(F.when(~on, F.col("_a"))), F.lit(0.0)).alias("_fixed"),

@@ -53,11 +53,6 @@ def level_grid(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
     return spark.range(total).select(*out)
 
 
-def _distinct_levels(df: DataFrame, dim: str, max_levels: int) -> Column:
-    rows = bounded_rows(df.select(dim).filter(F.col(dim).isNotNull()).distinct(), max_levels)
-    return F.transform(rows, lambda r: r[dim])
-
-
 def observed_grid(
     df: DataFrame, dimensions: list[str], levels: dict[str, list] | None = None, max_levels: int = MAX_LEVELS
 ) -> DataFrame:
@@ -68,7 +63,8 @@ def observed_grid(
     observed = [d for d in dimensions if d not in levels]
     grid = df.select(observed[0]).filter(F.col(observed[0]).isNotNull()).distinct()
     for d in observed[1:]:
-        grid = grid.withColumn(d, F.explode(_distinct_levels(df, d, max_levels)))
+        seen = df.select(d).filter(F.col(d).isNotNull()).distinct()
+        grid = attach_all(grid, seen, max_levels)
     for d in dimensions:
         if d in levels:
             grid = grid.withColumn(d, F.explode(literal_levels(levels[d])))

@@ -75,9 +75,8 @@ def mapping_contract(mapping: DataFrame, source: str, target: str, partition_lay
 
 def expand_list(df: DataFrame, column: str, member: str, sep: str = ";", dtype: str = "int") -> DataFrame:
     """Delimited code list to one row per member; blanks ignored."""
-    parts = F.explode(F.split(F.col(column), sep))
-    out = df.withColumn(member, F.trim(parts)).filter(F.col(member) != "")
-    return out.withColumn(member, F.col(member).try_cast(dtype))
+    out = df.withColumn(member, F.explode(F.split(F.col(column), sep))).withColumn(member, F.trim(member))
+    return out.filter(F.col(member) != "").withColumn(member, F.col(member).try_cast(dtype))
 
 
 def ambiguous_aliases(aliases: DataFrame, alias: str, target: str) -> DataFrame:

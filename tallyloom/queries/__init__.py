@@ -4,7 +4,7 @@ import importlib
 
 from tallyloom.queries.registry import QUERIES, Query
 
-MODULES = ["redistribution"]
+MODULES = ["redistribution", "cells", "calibration", "compositions"]
 
 for _m in MODULES:
     importlib.import_module(f"tallyloom.queries.{_m}")

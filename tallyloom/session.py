@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import logging
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,3 +49,14 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Materialise ``df`` through a reliable checkpoint."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` as a columnar table under the checkpoint folder and read it back.
+
+    For tables that several passes scan: the passes then see short plans, file
+    statistics and column pruning, and a lost executor re-reads files.
+    """
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
