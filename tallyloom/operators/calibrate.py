@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import add_all, clamp_residue, finite, logistic, or_zero, safe_exp, safe_ratio
-from tallyloom.operators.compose import apply_weights, interpolation_weights
+from tallyloom.operators.compose import interpolation_weights, weight_table
 from tallyloom.operators.grid import complete_cells, literal_levels
 from tallyloom.session import materialise
 
@@ -186,16 +186,12 @@ def lagged_panel(
 # ---------------------------------------------------------------- level and profile anchors
 
 
-def normalised_profile(value: Column, by, floor: float) -> tuple[Column, Column]:
-    """(share before the floor, floored share); equal shares where nothing is positive.
-
-    The second column still has to be closed over the group.
-    """
-    w = W.partitionBy(*by)
-    v = F.when(finite(value) & (value > 0), value).otherwise(0.0)
-    total = F.sum(v).over(w)
-    base = F.when(total > 0, v / total).otherwise(1.0 / F.count(F.lit(1)).over(w))
-    return base, F.greatest(base, F.lit(floor))
+def floored_profile(value: Column, use: Column, window, floor: float) -> Column:
+    """Share of the used rows, floored; equal shares where nothing is positive (not yet closed)."""
+    v = F.when(use & finite(value) & (value > 0), value).otherwise(0.0)
+    total = F.sum(v).over(window)
+    equal = F.try_divide(F.lit(1.0), F.sum(F.when(use, 1.0).otherwise(0.0)).over(window))
+    return F.when(use, F.greatest(F.when(total > 0, v / total).otherwise(equal), F.lit(floor))).otherwise(0.0)
 
 
 def level_profile_anchors(
@@ -209,38 +205,48 @@ def level_profile_anchors(
     profile along one dimension within the remaining cell dimensions.
     """
     cell = list(cell)
+    wy = W.partitionBy(year)  # one row per cell of the year
+    on = F.col(active)
     x = cells.select(year, *cell, or_zero(routine).alias("_r"), or_zero(survey).alias("_s"), F.col(level).alias("_l"), active)
-    wy = W.partitionBy(year)
-    x = x.withColumn("_rt", F.sum("_r").over(wy))
-    on = x.filter(F.col(active))
-    for c in ("_r", "_s"):
-        _, floored = normalised_profile(F.col(c), [year], floor)
-        on = on.withColumn(f"{c}p", floored)
-    on = on.withColumns({f"{c}p": F.col(f"{c}p") / F.sum(f"{c}p").over(wy) for c in ("_r", "_s")})
-    on = on.withColumn("raw_log_profile", F.log("_sp") - F.log("_rp"))
-    off = x.filter(~F.col(active)).withColumns({"_rp": F.lit(0.0), "_sp": F.lit(0.0), "raw_log_profile": F.lit(0.0)})
-    both = on.unionByName(off)
+    x = x.withColumns(
+        {"_rt": F.sum("_r").over(wy), "_rp": floored_profile(F.col("_r"), on, wy, floor), "_sp": floored_profile(F.col("_s"), on, wy, floor)}
+    )
+    x = x.withColumns({c: F.coalesce(F.try_divide(F.col(c), F.sum(c).over(wy)), F.lit(0.0)) for c in ("_rp", "_sp")})
     ratio = safe_ratio("_l", "_rt", None)
-    out = both.select(
-        year, *cell, active, F.col("_rp").alias("routine_share"), F.col("_sp").alias("survey_share"), "raw_log_profile",
+    out = x.select(
+        year, *cell, active, F.col("_rp").alias("routine_share"), F.col("_sp").alias("survey_share"),
+        F.when(on, F.log("_sp") - F.log("_rp")).otherwise(0.0).alias("raw_log_profile"),
         ratio.alias("level_ratio"), F.log(ratio).alias("log_level_ratio"),
     )
     if smooth is None:
         return out.withColumn("log_profile", F.col("raw_log_profile"))
     dim, weights = smooth
+    # every cell contributes to its neighbours and carries its own attributes to itself,
+    # so that smoothing needs one aggregate and no self join
+    w = weight_table(out.sparkSession, weights, "_target", dim)
     others = [c for c in cell if c != dim]
-    smoothed = apply_weights(out, weights, [year, *others], dim, "raw_log_profile").withColumnRenamed("raw_log_profile", "_sm")
-    joined = out.join(smoothed, [year, *others, dim], "left")
-    return joined.withColumn("log_profile", F.when(F.col(active), F.col("_sm")).otherwise(0.0)).drop("_sm")
+    own = F.col(dim) == F.col("_target")
+    keep = [active, "routine_share", "survey_share", "raw_log_profile", "level_ratio", "log_level_ratio"]
+    g = out.join(w, dim).groupBy(year, *others, F.col("_target").alias(dim)).agg(
+        F.sum(F.col("raw_log_profile") * F.col("_w")).alias("_sm"), *[F.max(F.when(own, F.col(c))).alias(c) for c in keep]
+    )
+    g = g.filter(F.col(active).isNotNull())
+    return g.select(year, *cell, *keep, F.when(F.col(active), F.col("_sm")).otherwise(0.0).alias("log_profile"))
 
 
 def annual_factors(anchors: DataFrame, year: str, cell, years: list, anchor_years: list, inactive: Column | None = None) -> DataFrame:
-    """Log-linear path of profile and level between anchors, held outside them."""
-    w = interpolation_weights(years, anchor_years)
-    log_profile = apply_weights(anchors, w, list(cell), year, "log_profile")
-    log_level = apply_weights(anchors.select(year, "log_level_ratio").distinct(), w, [], year, "log_level_ratio")
-    out = log_profile.join(log_level, year)
-    out = out.withColumns({"profile_factor": safe_exp("log_profile"), "level_ratio": safe_exp("log_level_ratio")})
+    """Log-linear path of profile and level between anchors, held outside them.
+
+    ``anchors`` holds every cell at every anchor year; a gap fails the job.
+    """
+    w = weight_table(anchors.sparkSession, interpolation_weights(years, anchor_years), "_target", year)
+    path = anchors.join(w, year).groupBy(*cell, F.col("_target").alias(year)).agg(
+        F.sum(F.col("log_profile") * F.col("_w")).alias("log_profile"),
+        F.sum(F.col("log_level_ratio") * F.col("_w")).alias("log_level_ratio"), F.sum("_w").alias("_w"),
+    )
+    gap = F.raise_error(F.lit("a cell lacks an anchor year")).cast("double")
+    path = path.withColumn("log_profile", F.when(F.abs(F.col("_w") - 1.0) < 1e-9, F.col("log_profile")).otherwise(gap)).drop("_w")
+    out = path.withColumns({"profile_factor": safe_exp("log_profile"), "level_ratio": safe_exp("log_level_ratio")})
     return out.withColumn("calibration_active", F.lit(True) if inactive is None else ~inactive)
 
 

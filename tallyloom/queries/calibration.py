@@ -11,6 +11,7 @@ from tallyloom.queries.inputs import (
     LINES_SUPPLIER, ORDERS_GEO, YEARS, cells_sql, lines_supplier, order_cells, orders_geo, table, values, year_of,
 )
 from tallyloom.queries.registry import query, rounded
+from tallyloom.session import materialise
 
 FREEZE = 1999
 
@@ -219,8 +220,8 @@ _ANCHOR_SQL = f"""{_FLAG_SQL}, a AS (SELECT *, NOT (yr = 1996 AND band <= 2) AS
     FROM r JOIN sm USING (linestatus, band, yr) JOIN lv USING (yr))"""
 
 
-def anchors(spark, sf):
-    cells = flag_cells(spark, sf).filter(F.col("yr").isin(ANCHORS))
+def anchors(spark, sf, flags=None):
+    cells = (flags if flags is not None else flag_cells(spark, sf)).filter(F.col("yr").isin(ANCHORS))
     level = cells.groupBy("yr").agg((F.sum("svy") / 24.0).alias("level"))
     x = cells.join(level, "yr").withColumn("act", ~((F.col("yr") == 1996) & (F.col("band") <= 2)))
     return calibrate.level_profile_anchors(x, "yr", ["linestatus", "band"], "inj", "svy", "level", "act", smooth=("band", _SM))
@@ -242,9 +243,9 @@ _FACTOR_SQL = f"""{_ANCHOR_SQL}, lp AS (SELECT linestatus, band, w.yr, sum(a.lp
   factors AS (SELECT linestatus, band, yr, lp, ll, NOT (yr <= 1996 AND band <= 2) AS act FROM lp JOIN ll USING (yr))"""
 
 
-def factors(spark, sf):
+def factors(spark, sf, flags=None):
     inactive = (F.col("yr") <= 1996) & (F.col("band") <= 2)
-    return calibrate.annual_factors(anchors(spark, sf), "yr", ["linestatus", "band"], YEARS, ANCHORS, inactive)
+    return calibrate.annual_factors(anchors(spark, sf, flags), "yr", ["linestatus", "band"], YEARS, ANCHORS, inactive)
 
 
 @query(
@@ -267,7 +268,8 @@ _CAL_SQL = f"""{_FACTOR_SQL}, x AS (SELECT fc.*, lp, ll, act AND inj > 1e-10 AND
 
 
 def calibrated(spark, sf):
-    x = flag_cells(spark, sf).join(factors(spark, sf), ["linestatus", "band", "yr"])
+    flags = materialise(flag_cells(spark, sf), "flag-cells")
+    x = flags.join(factors(spark, sf, flags), ["linestatus", "band", "yr"])
     return calibrate.calibrate_to_level(x, ["yr"], ["linestatus", "band"], "inj", "nat", "log_profile", "log_level_ratio", "calibration_active")
 
 
