@@ -18,7 +18,7 @@ _W_SQL = values([(i + 1, w) for i, w in enumerate(WEIGHTS)], "standard_age", "pc
 # Line items stand for deaths and parts for population; size modulo 20 is the age and
 # line status the sex.
 _CELLS_SQL = f"""{LINES_PART}, d AS (SELECT ptype, yr, CASE WHEN linestatus = 'F' THEN 1 ELSE 2 END AS sex, CAST(psize % 20 AS INTEGER) AS age, CAST(count(*) AS DOUBLE) AS deaths FROM lp GROUP BY ALL),
-  pp AS (SELECT p_type AS ptype, CAST(p_size % 20 AS INTEGER) AS age, CAST(count(*) AS DOUBLE) * 100 AS pop FROM part WHERE p_size % 20 > 0 GROUP BY ALL),
+  pa AS (SELECT p_type AS ptype, CAST(p_size % 20 AS INTEGER) AS age FROM part), pp AS (SELECT ptype, age, CAST(count(*) AS DOUBLE) * 100 AS pop FROM pa WHERE age > 0 GROUP BY ALL),
   cells AS (SELECT d.*, coalesce(pop, 0) AS pop FROM d LEFT JOIN pp USING (ptype, age)), wts AS (SELECT standard_age, pct / 100.0 AS f FROM {_W_SQL})"""
 
 
