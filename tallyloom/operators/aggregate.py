@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import finite, or_zero
+from tallyloom.session import small_table
 
 
 def grouped_sum(df: DataFrame, by, values) -> DataFrame:
@@ -93,7 +94,7 @@ def membership(df: DataFrame, code: str, groups: dict, group_name: str) -> DataF
     spark = df.sparkSession
     ctype, gtype = df.schema[code].dataType, ("string" if isinstance(next(iter(groups)), str) else "int")
     rows = [(c, g) for c, gs in members.items() for g in gs]
-    table = spark.createDataFrame(rows, f"{code} {ctype.simpleString()}, {group_name} {gtype}")
+    table = small_table(spark, rows, f"{code} {ctype.simpleString()}, {group_name} {gtype}")
     return df.join(table, code, "inner")
 
 

@@ -298,31 +298,29 @@ def calibrate_to_level(
     g = g.withColumn("_t", F.when(off, F.raise_error(F.lit("level target outside the adjustable envelope")).cast("double")).otherwise(F.col("_t")))
     p = F.least(F.greatest(F.try_divide(F.col("_t"), F.col("_max")), F.lit(1e-300)), F.lit(1.0 - 1e-16))
     logit = F.log(p) - F.log1p(-p)
+    # fresh aliases keep the small side distinct from the cells it is joined to
+    fresh = [F.col(k).alias(k) for k in group]
     bounds = g.select(
-        *group, "_t", "_fixed",
-        (logit - F.col("_hi_eta") - 1e-9).alias("_lo"), (logit - F.col("_lo_eta") + 1e-9).alias("_hi"),
+        *fresh, "_t", (logit - F.col("_hi_eta") - 1e-9).alias("_lo"), (logit - F.col("_lo_eta") + 1e-9).alias("_hi"),
     )
     live = x.filter(on).select(*group, "_e", "_eta")
+    share = "1D / (1D + exp(-({z})))"  # an overflowing exp is infinite and the share zero
+    ks = range(1, candidates + 1)
     for _ in range(search_passes):
-        step = (F.col("_hi") - F.col("_lo")) / (candidates + 1)
-        b = bounds.withColumn("_step", step)
-        j = live.join(b, group)
-        sums = [
-            F.sum(F.col("_e") * logistic(F.col("_eta") + F.col("_lo") + F.col("_step") * k)).alias(f"_s{k}")
-            for k in range(1, candidates + 1)
-        ]
-        s = j.groupBy(*group, "_t", "_fixed", "_lo", "_step").agg(*sums)
-        below = add_all([F.when(F.col(f"_s{k}") < F.col("_t"), 1.0).otherwise(0.0) for k in range(1, candidates + 1)])
+        b = bounds.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (candidates + 1))
+        sums = [F.expr(f"sum(_e * ({share.format(z=f'_eta + _lo + _step * {k}')}))").alias(f"_s{k}") for k in ks]
+        s = live.join(b, group).groupBy(*group, "_t", "_lo", "_step").agg(*sums)
+        below = F.expr(" + ".join(f"(CASE WHEN _s{k} < _t THEN 1D ELSE 0D END)" for k in ks))
         lo = F.col("_lo") + F.col("_step") * below
-        bounds = s.select(*group, "_t", "_fixed", lo.alias("_lo"), (lo + F.col("_step")).alias("_hi"))
-    delta = bounds.select(*group, "_t", "_fixed", ((F.col("_lo") + F.col("_hi")) / 2).alias("_d"))
+        bounds = s.select(*fresh, "_t", lo.alias("_lo"), (lo + F.col("_step")).alias("_hi"))
+    delta = bounds.select(*fresh, "_t", ((F.col("_lo") + F.col("_hi")) / 2).alias("_d"))
+    z = share.format(z="_eta + _d")
     for _ in range(newton_passes):
-        z = logistic(F.col("_eta") + F.col("_d"))
-        s = live.join(delta, group).groupBy(*group, "_t", "_fixed", "_d").agg(
-            F.sum(F.col("_e") * z).alias("_f"), F.sum(F.col("_e") * z * (1.0 - z)).alias("_df")
+        s = live.join(delta, group).groupBy(*group, "_t", "_d").agg(
+            F.expr(f"sum(_e * ({z}))").alias("_f"), F.expr(f"sum(_e * ({z}) * (1D - ({z})))").alias("_df")
         )
-        nxt = F.col("_d") - F.coalesce(F.try_divide(F.col("_f") - F.col("_t"), F.col("_df")), F.lit(0.0))
-        delta = s.select(*group, "_t", "_fixed", nxt.alias("_d"))
+        step = F.coalesce(F.try_divide(F.col("_f") - F.col("_t"), F.col("_df")), F.lit(0.0))
+        delta = s.select(*fresh, "_t", (F.col("_d") - step).alias("_d"))
     out = x.join(delta.select(*group, "_d"), group, "left")
     solved = F.col("_on") & F.col("_d").isNotNull()
     a_new = F.when(solved, F.col("_e") * logistic(F.col("_eta") + F.col("_d"))).otherwise(F.col("_a"))

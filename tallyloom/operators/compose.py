@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import finite, log_ratio, or_zero, safe_ratio
 from tallyloom.operators.donors import borrow, donor_table
+from tallyloom.session import materialise, small_table
 
 # ---------------------------------------------------------------- weight tables
 # Linear maps over years or ages are small weight tables {(target, source): w}.
@@ -61,7 +62,7 @@ def chain_weights(outer: dict, inner: dict) -> dict[tuple[int, int], float]:
 
 def weight_table(spark: SparkSession, weights: dict, target: str, source: str) -> DataFrame:
     rows = [(int(i), int(j), float(w)) for (i, j), w in sorted(weights.items())]
-    return spark.createDataFrame(rows, f"{target} int, {source} int, _w double")
+    return small_table(spark, rows, f"{target} int, {source} int, _w double")
 
 
 def apply_weights(df: DataFrame, weights: dict, by, index: str, value: str, scale: bool = False) -> DataFrame:
@@ -133,6 +134,8 @@ def counts_to_fractions(
     base = base.withColumn("total", F.sum("observed").over(w))
     # the stratum size sits on one code row only, so that donor sums count it once
     base = base.withColumn("_n_once", F.when(F.col(code) == F.lit(list(codes)[0]), F.col("_n")).otherwise(0.0))
+    # own strata, empty strata and donors all read this table: write it once
+    base = materialise(base, "survey-counts")
     own = base.filter(F.col("total") > tolerance).select(
         *strata, code, "observed", "total",
         (F.col("observed") / F.col("total")).alias("fraction"),
@@ -234,7 +237,7 @@ class CompositionTree:
 
     def table(self, spark: SparkSession, code: str, code_type: str = "int") -> DataFrame:
         rows = [(c, g, i + 1) for i, (g, cs) in enumerate(self.groups.items()) for c in cs]
-        return spark.createDataFrame(rows, f"{code} {code_type}, broad_group string, broad_order int")
+        return small_table(spark, rows, f"{code} {code_type}, broad_group string, broad_order int")
 
 
 def alr_variance(n, p, r) -> Column:

@@ -19,6 +19,7 @@ from tallyloom.functions.columns import Z_LOWER, Z_UPPER, finite, or_zero, safe_
 from tallyloom.functions.gamma import gamma_mean_one, log_gamma_draw
 from tallyloom.functions.hashing import component_seed, normal
 from tallyloom.operators.survey import bootstrap_multipliers
+from tallyloom.session import small_table
 
 EPSILON = 2.220446049250313e-16
 
@@ -173,7 +174,7 @@ def rule_multipliers(spark: SparkSession, rules, first: int, last: int, seed: in
         (r.rule_id, i, int(t), float(subset_gamma_shape(len(r.targets))))
         for r in rules if len(r.targets) > 1 for i, t in enumerate(r.targets)
     ]
-    slots = spark.createDataFrame(rows, "rule_id string, slot int, target int, shape double")
+    slots = small_table(spark, rows, "rule_id string, slot int, target int, shape double")
     x = with_draws(slots, first, last)
     g = gamma_mean_one(_key(seed, F.col("draw_id"), "targets", F.col("rule_id"), F.col("target")), F.col("shape"))
     x = x.withColumn("_g", g)

@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from tallyloom.functions.ages import AGGREGATE_AGES
 from tallyloom.functions.columns import add_all, finite, or_zero, safe_ratio
@@ -52,20 +53,21 @@ def denominators(population: DataFrame, place: str, group: str, sex: str, year:
     return cells.unionByName(first)
 
 
+def _age_roles(age: str, groups: dict) -> list[Column]:
+    """The age itself and every aggregate age, each flagged as numerator and denominator member."""
+    own = F.struct(F.col(age).cast("int").alias("code"), F.lit(True).alias("n"), F.lit(True).alias("d"))
+    return [own] + [
+        F.struct(F.lit(code).alias("code"), F.col(age).isin(num).alias("n"), F.col(age).isin(den).alias("d"))
+        for code, (num, den) in groups.items()
+    ]
+
+
 def age_groups(df: DataFrame, by, age: str, numerators, denominators_, groups: dict | None = None) -> DataFrame:
     """Base ages plus aggregate ages whose numerator and denominator may use different members.
 
     One explode and one aggregate: a row carries a flag for each role it plays.
     """
-    groups = groups or AGGREGATE_AGES
-    roles = [
-        F.struct(
-            F.lit(code).alias("code"), F.col(age).isin(num).alias("n"), F.col(age).isin(den).alias("d"),
-        )
-        for code, (num, den) in groups.items()
-    ]
-    own = F.struct(F.col(age).cast("int").alias("code"), F.lit(True).alias("n"), F.lit(True).alias("d"))
-    picked = F.filter(F.array(own, *roles), lambda r: r["n"] | r["d"])
+    picked = F.filter(F.array(*_age_roles(age, groups or AGGREGATE_AGES)), lambda r: r["n"] | r["d"])
     x = df.withColumn("_r", F.explode(picked))
     aggs = [F.coalesce(F.sum(F.when(F.col("_r.n"), or_zero(c))), F.lit(0.0)).alias(c) for c in numerators]
     aggs += [F.coalesce(F.sum(F.when(F.col("_r.d"), or_zero(c))), F.lit(0.0)).alias(c) for c in denominators_]
@@ -103,6 +105,33 @@ def age_standardise(cells: DataFrame, by, age: str, deaths: str, population: str
     return r.groupBy(*by).agg(F.when(den > 0, 1e5 * num / den).alias("ASR"))
 
 
+def age_standardise_over(cells: DataFrame, by, age: str, deaths: str, population: str, weights: DataFrame, ages=range(0, 20), collapsed: int = 2, population_free: int = 0, name: str = "ASR") -> DataFrame:
+    """The same rate attached to every row of its series, without evaluating the cells twice.
+
+    ``cells`` holds one row per (series, age); a series has at most one row per age code.
+    """
+    w = W.partitionBy(*by)
+    base = F.col(age).isin(list(ages))
+    young = base & (F.col(age) <= collapsed)
+    d, p = or_zero(deaths), or_zero(population)
+    x = cells.join(weights.withColumnRenamed("F", "_f"), F.when(base, standard_age(age, collapsed)) == F.col("standard_age"), "left").drop("standard_age")
+    x = x.withColumns(
+        {
+            "_yd": F.sum(F.when(young, d)).over(w),
+            "_yp": F.sum(F.when(young & (F.col(age) != population_free), p)).over(w),
+            "_yf": F.max(F.when(young, F.col("_f"))).over(w),
+        }
+    )
+    old = base & (F.col(age) > collapsed) & (p > 0) & finite("_f")
+    num = F.coalesce(F.sum(F.when(old, F.col("_f") * F.try_divide(d, p))).over(w), F.lit(0.0))
+    den = F.coalesce(F.sum(F.when(old, F.col("_f"))).over(w), F.lit(0.0))
+    use = (F.col("_yp") > 0) & finite("_yf")
+    num = num + F.when(use, F.col("_yf") * F.try_divide(F.col("_yd"), F.col("_yp"))).otherwise(0.0)
+    den = den + F.when(use, F.col("_yf")).otherwise(0.0)
+    x = x.withColumns({"_num": num, "_den": den})
+    return x.withColumn(name, F.when(F.col("_den") > 0, 1e5 * F.try_divide(F.col("_num"), F.col("_den")))).drop("_f", "_yd", "_yp", "_yf", "_num", "_den")
+
+
 def asr_wide(deaths: list[str], population: list[str], weights: list[float], collapsed: int = 2) -> Column:
     """The same rate from 20 death and 20 population columns of one row: no shuffle per draw."""
     u5 = (add_all([or_zero(c) for c in deaths[: collapsed + 1]]), add_all([or_zero(c) for c in population[1 : collapsed + 1]]))
@@ -154,15 +183,6 @@ def base_population_wide(cells: DataFrame, by, age: str, population: str, ages)
     return wide.select(*by, *[F.coalesce(F.col(f"`{a}`"), F.lit(0.0)).alias(f"pop_{a}") for a in ages])
 
 
-def person_population(sex: str, population: str, code: str, female_only, male_only) -> Column:
-    """Both-sex denominator: the relevant sex alone for sex-specific causes."""
-    all_ = F.sum(population)
-    women = F.sum(F.when(F.col(sex) == 2, F.col(population)))
-    men = F.sum(F.when(F.col(sex) == 1, F.col(population)))
-    c = F.first(code)
-    return F.when(c.isin(list(female_only)), women).when(c.isin(list(male_only)), men).otherwise(all_)
-
-
 def final_cube(
     deaths: DataFrame, population: DataFrame, weights: DataFrame, place: str = "Death_Prov", group: str = "Popgroup",
     code: str = "nbdcode", year: str = "DeathYear", sex: str = "Sex", places=range(1, 10), national: int = 10,
@@ -187,24 +207,25 @@ def final_cube(
     x = x.join(population.select(*keys, "Pop"), keys, "left")
     missing = F.col("Pop").isNull() & (F.col("Deaths") > 0)
     x = x.withColumn("Pop", F.when(missing, F.raise_error(F.lit("no denominator for a death cell")).cast("double")).otherwise(or_zero("Pop")))
-    x = age_groups(x, ["Grouping", sex, year, code], "age", measures, ["Pop"])
-    full = [*measures, "Pop"]
-    base_keys = [sex, year, code, "age"]
-    nat = x.filter(F.col("Grouping").isin(list(places))).groupBy(*base_keys).agg(*[F.sum(m).alias(m) for m in full])
-    x = x.unionByName(nat.withColumn("Grouping", F.lit(national)))
-    person = (
-        x.filter(F.col(sex).isin(1, 2)).groupBy("Grouping", year, code, "age")
-        .agg(*[F.sum(m).alias(m) for m in measures], person_population(sex, "Pop", code, female_only, male_only).alias("Pop"))
-        .withColumn(sex, F.lit(3))
+    # aggregate ages, the national row, both sexes and the code merge leave in one
+    # explode each and meet in a single aggregate
+    roles = F.filter(F.array(*_age_roles("age", AGGREGATE_AGES)), lambda r: r["n"] | r["d"])
+    is_place = F.col("Grouping").isin(list(places))
+    where = F.when(is_place, F.array(F.col("Grouping"), F.lit(national))).otherwise(F.array(F.col("Grouping")))
+    x = x.withColumn("_r", F.explode(roles)).withColumn("_g", F.explode(where)).withColumn("_s", F.explode(F.array(F.col(sex), F.lit(3))))
+    wrong_sex = (F.col("_s") == 3) & (
+        (F.col(code).isin(list(female_only)) & (F.col(sex) != 2)) | (F.col(code).isin(list(male_only)) & (F.col(sex) != 1))
     )
-    x = x.unionByName(person)
+    pop = F.when(F.col("_r.d") & ~wrong_sex, F.col("Pop")).otherwise(0.0)
     folded = F.when(F.col(code) == merge_code, zero_code).otherwise(F.col(code)).cast("int")
-    x = x.groupBy("Grouping", sex, year, "age", folded.alias(code)).agg(
-        *[F.sum(m).alias(m) for m in measures], F.coalesce(F.max(F.when(finite("Pop"), F.col("Pop"))), F.lit(0.0)).alias("Pop")
-    )
+    sums = [F.sum(F.when(F.col("_r.n"), F.col(m)).otherwise(0.0)).alias(m) for m in measures]
+    # merged codes share a denominator: the larger one counts, not their sum
+    largest = F.greatest(F.sum(F.when(F.col(code) != merge_code, pop).otherwise(0.0)), F.sum(F.when(F.col(code) == merge_code, pop).otherwise(0.0)))
+    cube = x.groupBy(
+        F.col("_g").alias("Grouping"), F.col("_s").alias(sex), year, F.col("_r.code").alias("age"), folded.alias(code)
+    ).agg(*sums, largest.alias("Pop"))
     by = ["Grouping", sex, code, year]
-    asr = age_standardise(x, by, "age", "Deaths", "Pop", weights)
-    return x.join(asr, by, "left").withColumnRenamed("age", "Age")
+    return age_standardise_over(cube, by, "age", "Deaths", "Pop", weights).withColumnRenamed("age", "Age")
 
 
 def life_table_from_formula(age_mid: Column, level: float = 85.0) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import add_all, col, or_zero
 from tallyloom.operators.donors import borrow, donor_table
+from tallyloom.session import materialise, small_table
 
 
 def _mass(name: str, missing: str, tolerance: float) -> Column:
@@ -236,8 +237,7 @@ def move_rule_audit(spark, rules) -> DataFrame:
         (r.rule_id, ",".join(map(str, r.sources)), len(r.targets), ",".join(map(str, r.targets)), r.condition or "")
         for r in rules
     ]
-    return spark.createDataFrame(
-        rows, "rule_id string, source_codes string, target_count int, target_codes string, condition string"
+    return small_table(spark, rows, "rule_id string, source_codes string, target_count int, target_codes string, condition string"
     )
 
 
@@ -321,6 +321,8 @@ def renormalise_envelopes(
         F.col("_after") * F.try_divide(F.col("_tb"), F.col("_ta")),
     ).otherwise(F.col("_after"))
     state = totals.select(*keys, code, "_env", "_before", "_tb", lost.alias("_lost"), scaled.alias(value))
+    # kept cells, needy cells and donors all read this table: write it once
+    state = materialise(state, "envelope-state")
     kept = state.filter("not _lost").select(*keys, code, value)
     filled, audit = None, None
     for name, codes in envelopes.items():

@@ -12,6 +12,7 @@ from tallyloom.queries.inputs import (
     cells_sql, in_list, lines_part, lines_supplier, order_cells, orders_geo, table, values, year_of,
 )
 from tallyloom.queries.registry import query, rounded
+from tallyloom.session import small_table
 
 ALL_PRIORITIES = sorted([*PRIORITIES, UNKNOWN_PRIORITY])
 
@@ -362,7 +363,7 @@ _LAYERS_SQL = values(REGION_LAYERS, "nation", "target", "weight", "hierarchy")
 
 
 def region_mapping(spark):
-    return spark.createDataFrame(REGION_LAYERS, "nation int, target int, weight double, hierarchy string")
+    return small_table(spark, REGION_LAYERS, "nation int, target int, weight double, hierarchy string")
 
 
 @query(
@@ -431,7 +432,7 @@ def series_mapping_of_measures(spark, sf):
     FROM f GROUP BY target""",
 )
 def supported_series_report(spark, sf):
-    extra = spark.createDataFrame([(3, 400, 1.0, "dup")] * 2, "nation int, target int, weight double, hierarchy string")
+    extra = small_table(spark, [(3, 400, 1.0, "dup")] * 2, "nation int, target int, weight double, hierarchy string")
     have = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
     return hierarchy.supported_series(region_mapping(spark).unionByName(extra), have, "target", "nation")
 

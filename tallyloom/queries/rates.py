@@ -10,6 +10,7 @@ from tallyloom.operators import aggregate, grid, rates, validate
 from tallyloom.plans import views
 from tallyloom.queries.inputs import LINES_PART, YEARS, in_list, lines_part, table, values
 from tallyloom.queries.registry import query, rounded
+from tallyloom.session import small_table
 
 AGES = list(range(20))
 WEIGHTS = [8.86, 8.69, 8.60, 8.47, 8.22, 7.93, 7.61, 7.15, 6.59, 6.04, 5.37, 4.55, 3.72, 2.96, 2.21, 1.52, 0.91, 0.60]
@@ -33,7 +34,7 @@ def deaths_and_population(spark, sf):
 
 
 def weights(spark):
-    raw = spark.createDataFrame([(i + 1, w) for i, w in enumerate(WEIGHTS)], "age int, percent double")
+    raw = small_table(spark, [(i + 1, w) for i, w in enumerate(WEIGHTS)], "age int, percent double")
     return rates.standard_weights(raw, "age", "percent")
 
 
@@ -109,12 +110,10 @@ def aggregate_age_rows(spark, sf):
     SELECT yr, sex, series_id, CAST(age_id AS INTEGER) AS age_id, deaths, population, round(1e5 * deaths / population, 6) AS crude_rate FROM g""",
 )
 def crude_rates_by_series(spark, sf):
-    series = spark.createDataFrame(
-        [("ECONOMY", "basic"), ("SMALL", "basic"), ("LARGE", "top"), ("PROMO", "top")] + [(t, "all") for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")],
+    series = small_table(spark, [("ECONOMY", "basic"), ("SMALL", "basic"), ("LARGE", "top"), ("PROMO", "top")] + [(t, "all") for t in ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")],
         "ptype string, series_id string",
     )
-    age_map = spark.createDataFrame(
-        [(a, 22 if a < 5 else 26, True, a > 0) for a in AGES] + [(a, 25, True, a > 0) for a in AGES],
+    age_map = small_table(spark, [(a, 22 if a < 5 else 26, True, a > 0) for a in AGES] + [(a, 25, True, a > 0) for a in AGES],
         "age int, age_id int, in_numerator boolean, in_denominator boolean",
     )
     cells = deaths_and_population(spark, sf)
@@ -129,8 +128,7 @@ def crude_rates_by_series(spark, sf):
     FROM d JOIN {values([('ECONOMY', 'small_of_basic', False), ('SMALL', 'small_of_basic', True), ('PROMO', 'promo_of_top', True), ('LARGE', 'promo_of_top', False)], 'ptype', 'series_id', 'num').replace('AS v', 'AS s')} USING (ptype) GROUP BY ALL""",
 )
 def comparison_series_fractions(spark, sf):
-    members = spark.createDataFrame(
-        [("ECONOMY", "small_of_basic", False, True), ("SMALL", "small_of_basic", True, True), ("PROMO", "promo_of_top", True, True), ("LARGE", "promo_of_top", False, True)],
+    members = small_table(spark, [("ECONOMY", "small_of_basic", False, True), ("SMALL", "small_of_basic", True, True), ("PROMO", "promo_of_top", True, True), ("LARGE", "promo_of_top", False, True)],
         "ptype string, series_id string, in_numerator boolean, in_denominator boolean",
     )
     return rounded(rates.comparison_series(deaths_and_population(spark, sf), ["yr", "sex"], "ptype", "deaths", members))

@@ -11,6 +11,7 @@ from tallyloom.queries.inputs import (
     LINES_SUPPLIER, P_TYPES, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, in_list, lines_supplier, order_cells, table, values,
 )
 from tallyloom.queries.registry import query, rounded
+from tallyloom.session import small_table
 
 SEED = 20200101
 DRAWS = 40
@@ -396,7 +397,7 @@ _SERIES_ROWS = [("F", "done", 1.0), ("O", "open", 1.0), ("P", "open", 1.0), ("F"
 )
 def interval_cube_of_series(spark, sf):
     wide = grid.pivot_codes(nation_draws(spark, sf), ["draw_id", "nation", "status"], "yr", YEARS, "n", prefix="age_").withColumnRenamed("status", "cause_id")
-    mapping = spark.createDataFrame(_SERIES_ROWS, "cause_id string, series_id string, weight double")
+    mapping = small_table(spark, _SERIES_ROWS, "cause_id string, series_id string, weight double")
     cols = [f"age_{y}" for y in YEARS]
     cube = summarise.interval_cube(wide, mapping, ["nation"], cols, {1: [0, 1, 2], 2: [3, 4, 5, 6], 3: list(range(7))}, expected=DRAWS)
     return rounded(cube, 4)

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 log = logging.getLogger(__name__)
 
@@ -22,6 +23,8 @@ def local_session(cores: int = 8, app: str = "tallyloom") -> SparkSession:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # call-site capture costs a stack walk per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .getOrCreate()
     )
 
@@ -60,3 +63,27 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _literal(v) -> str:
+    if v is None:
+        return "NULL"
+    if isinstance(v, bool):
+        return "true" if v else "false"
+    if isinstance(v, str):
+        return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    return f"{v!r}D" if isinstance(v, float) else repr(v)
+
+
+def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A table of a few literal rows as a local relation.
+
+    Its exact size is known to the optimiser, which decides on a broadcast by itself,
+    and no Python worker is involved in reading it.
+    """
+    fields = StructType.fromDDL(schema).fields
+    cols = ", ".join(f"CAST({f.name} AS {f.dataType.simpleString()}) AS {f.name}" for f in fields)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    body = ", ".join("(" + ", ".join(_literal(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT {cols} FROM VALUES {body} AS t({', '.join(f.name for f in fields)})")

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.operators.schema import Field, resolve
 from tallyloom.sources.tabular import read_table
+from tallyloom.session import small_table
 
 
 @dataclass(frozen=True)
@@ -21,7 +22,7 @@ class Input:
 
 def manifest(spark: SparkSession, inputs: list[Input]) -> DataFrame:
     rows = [(i.key, i.path, i.required, ",".join(f.name for f in i.fields)) for i in inputs]
-    return spark.createDataFrame(rows, "key string, path string, required boolean, columns string")
+    return small_table(spark, rows, "key string, path string, required boolean, columns string")
 
 
 def readiness(spark: SparkSession, inputs: list[Input]) -> DataFrame:
@@ -38,4 +39,4 @@ def readiness(spark: SparkSession, inputs: list[Input]) -> DataFrame:
         except ValueError as e:
             issue = str(e).split(" among ")[0]
         rows.append((i.key, issue == "" or issue.endswith("(optional)"), issue))
-    return spark.createDataFrame(rows, "key string, ready boolean, issue string")
+    return small_table(spark, rows, "key string, ready boolean, issue string")
