@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -212,22 +213,63 @@ def codes_of(text: str) -> tuple[int, ...]:
     return tuple(out)
 
 
+def move_batches(rules, prefix: str = "c") -> list[list[MoveRule]]:
+    """Neighbouring rules that touch disjoint codes, which can share one projection."""
+    out, touched = [], set()
+    for r in rules:
+        codes = set(r.sources) | set(r.targets)
+        named = {int(c) for c in re.findall(rf"\b{prefix}(\d+)\b", r.condition or "")}
+        if not out or (codes | named) & touched:
+            out.append([])
+            touched = set()
+        out[-1].append(r)
+        touched |= codes
+    return out
+
+
 def apply_move_rules(df: DataFrame, rules, prefix: str = "c", multipliers: str | None = None) -> DataFrame:
     """Apply rules in order on wide cells; a rule sees what earlier rules moved.
 
-    A fold of projections over one row per cell: nothing is shuffled.
+    A fold of projections over one row per cell: nothing is shuffled.  Counts are
+    checked once at the start, and rules over disjoint codes share a projection.
     ``multipliers`` names an optional ``map<rule_id, array<double>>`` column with one
     positive weight per target (stochastic allocation).
     """
+    rules = list(rules)
     for r in rules:
-        weights = None
-        if multipliers is not None and len(r.targets) > 1:
-            ones = F.array(*[F.lit(1.0)] * len(r.targets))
-            weights = F.coalesce(F.try_element_at(F.col(multipliers), F.lit(r.rule_id)), ones)
-        df = redistribute_columns(
-            df, [f"{prefix}{c}" for c in r.sources], [f"{prefix}{c}" for c in r.targets],
-            condition=r.condition, multipliers=weights, condition_null="exclude",
-        )
+        _contract(df, [f"{prefix}{c}" for c in r.sources], [f"{prefix}{c}" for c in r.targets])
+    involved = dict.fromkeys(f"{prefix}{c}" for r in rules for c in (*r.sources, *r.targets))
+    df = df.withColumns({c: _mass(c, "zero", 1e-8) for c in involved})
+    names = df.columns
+    for batch in move_batches(rules, prefix):
+        staged, new = [], {}
+        for k, r in enumerate(batch):
+            src, tgt = [f"{prefix}{c}" for c in r.sources], [f"{prefix}{c}" for c in r.targets]
+            on = f"coalesce({r.condition}, false)" if r.condition else "true"
+            staged.append(f"CASE WHEN {on} THEN {' + '.join(src)} ELSE 0D END AS _s{k}")
+            for c in src:
+                new[c] = f"CASE WHEN {on} THEN 0D ELSE {c} END"
+            if len(tgt) == 1:
+                new[tgt[0]] = f"{tgt[0]} + _s{k}"
+                continue
+            n = len(tgt)
+            weight = ["1D"] * n
+            total = f"{n}D"
+            if multipliers is not None:
+                ones = ", ".join(["1D"] * n)
+                staged.append(f"coalesce(try_element_at({multipliers}, '{r.rule_id}'), array({ones})) AS _m{k}")
+                weight = [f"_m{k}[{i}]" for i in range(n)]
+                total = "(" + " + ".join(weight) + ")"
+            mass = " + ".join(t if w == "1D" else f"{t} * {w}" for t, w in zip(tgt, weight))
+            # the weights are a staged column, so they are read from it in the next step
+            new[f"_w{k}"] = mass
+            for t, w in zip(tgt, weight):
+                new[t] = f"{t} + _s{k} * CASE WHEN _w{k} > 0 THEN try_divide({t} * {w}, _w{k}) ELSE {w} / {total} END"
+        sums = [f"{e} AS {c}" for c, e in new.items() if c.startswith("_w")]
+        df = df.selectExpr(*names, *staged)
+        if sums:
+            df = df.selectExpr("*", *sums)
+        df = df.selectExpr(*[f"{new[c]} AS {c}" if c in new else c for c in names])
     return df
 
 
