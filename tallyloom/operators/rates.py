@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -226,8 +224,3 @@ def final_cube(
     ).agg(*sums, largest.alias("Pop"))
     by = ["Grouping", sex, code, year]
     return age_standardise_over(cube, by, "age", "Deaths", "Pop", weights).withColumnRenamed("age", "Age")
-
-
-def life_table_from_formula(age_mid: Column, level: float = 85.0) -> Column:
-    """A smooth stand-in for remaining life expectancy, for data without a supplied table."""
-    return F.lit(level) * F.exp(-age_mid / F.lit(level / math.log(2.0)))

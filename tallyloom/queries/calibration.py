@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions.ages import band_of_register_age
 from tallyloom.functions.columns import safe_exp, safe_ratio
-from tallyloom.operators import aggregate, calibrate, compose, grid
+from tallyloom.operators import aggregate, calibrate, compose
 from tallyloom.queries.inputs import (
     LINES_SUPPLIER, ORDERS_GEO, YEARS, cells_sql, lines_supplier, order_cells, orders_geo, table, values, year_of,
 )

@@ -4,12 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Observation
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from tallyloom.operators import aggregate, compose, grid, hierarchy, schema, validate
 from tallyloom.queries.inputs import (
-    LINES_PART, LINES_SUPPLIER, ORDERS_GEO, PRIORITIES, REGIONS, SEGMENTS, STATUSES, UNKNOWN_PRIORITY, YEARS,
-    cells_sql, in_list, lines_part, lines_supplier, order_cells, orders_geo, table, values, year_of,
+    LINES_PART, LINES_SUPPLIER, ORDERS_GEO, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS,
+    cells_sql, lines_part, lines_supplier, order_cells, orders_geo, table, values, year_of,
 )
 from tallyloom.queries.registry import query, rounded
 from tallyloom.session import small_table

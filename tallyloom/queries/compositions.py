@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import aggregate, compose, grid, survey
-from tallyloom.queries.inputs import LINES_PART, P_TYPES, STATUSES, YEARS, cells_sql, in_list, lines_part, order_cells, table, values
+from tallyloom.operators import aggregate, compose, grid
+from tallyloom.queries.inputs import LINES_PART, P_TYPES, STATUSES, YEARS, cells_sql, in_list, lines_part, order_cells, values
 from tallyloom.queries.registry import query, rounded
 
 ANCHORS = [1996, 1998, 2000]

@@ -8,7 +8,7 @@ from tallyloom.functions import ages as age_codes
 from tallyloom.functions.ages import band_midpoint, band_of_table_age, band_of_unit_age, band_of_years
 from tallyloom.operators import aggregate, grid, rates, validate
 from tallyloom.plans import views
-from tallyloom.queries.inputs import LINES_PART, YEARS, in_list, lines_part, table, values
+from tallyloom.queries.inputs import LINES_PART, in_list, lines_part, table, values
 from tallyloom.queries.registry import query, rounded
 from tallyloom.session import small_table
 

@@ -5,10 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import code_text, icd_category, text_between
-from tallyloom.functions.ages import band_of_years
 from tallyloom.operators import aggregate, rules, schema
 from tallyloom.plans import certificates
-from tallyloom.queries.inputs import LINES_PART, P_TYPES, lines_part, order_cells, orders_geo, table, values
+from tallyloom.queries.inputs import LINES_PART, lines_part, orders_geo, table
 from tallyloom.queries.registry import query, rounded
 
 _ALIAS = [

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import aggregate, draws, regress
+from tallyloom.operators import draws, regress
 from tallyloom.plans.reallocation import Reallocation, reallocate
-from tallyloom.queries.inputs import LINES_SUPPLIER, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, lines_supplier, order_cells, table, values
+from tallyloom.queries.inputs import LINES_SUPPLIER, STATUSES, UNKNOWN_PRIORITY, cells_sql, lines_supplier, order_cells, table, values
 from tallyloom.queries.registry import query, rounded
 
 SEED = 20200101

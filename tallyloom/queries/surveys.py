@@ -8,7 +8,7 @@ from tallyloom.functions.hashing import component_seed
 from tallyloom.operators import aggregate, compose, draws, grid, redistribute, summarise, survey, validate
 from tallyloom.plans import views
 from tallyloom.queries.inputs import (
-    LINES_SUPPLIER, P_TYPES, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, in_list, lines_supplier, order_cells, table, values,
+    LINES_SUPPLIER, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, lines_supplier, order_cells, table, values,
 )
 from tallyloom.queries.registry import query, rounded
 from tallyloom.session import small_table

@@ -7,10 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import rows
-from tallyloom.operators import aggregate, rates, validate
+from tallyloom.operators import rates, validate
 from tallyloom.plans import certificates, joint, point
 from tallyloom.plans import study as cfg
-from tallyloom.plans.study import CELL, Study
+from tallyloom.plans.study import Study
 from tallyloom.sources.stage import StageStore
 
 YEARS = (1999, 2003)
