@@ -38,7 +38,7 @@ MAX_LABELLED = 8_000
 MAX_TERMS = 4_000
 THRESHOLD = 0.3
 #: Least toxic texts and least share of toxic texts of a term.
-SUPPORT, PRECISION = 3, 0.9
+SUPPORT, PRECISION = 2, 0.9
 #: Lengths of word beginnings that can be terms.
 BEGINNINGS = (4, 5, 6, 7)
 #: Terms shorter than this match only exactly.
