@@ -6,7 +6,7 @@ import importlib
 
 from tallyloom.llm.registry import LLM_QUERIES
 
-MODULES = ["url_filter", "byte_bpe", "line_templates", "quality_rules", "toxicity", "packing", "neighbours", "simhash"]
+MODULES = ["url_filter", "byte_bpe", "line_templates", "masked_lm", "quality_rules", "toxicity", "packing", "neighbours", "simhash"]
 
 for _m in MODULES:
     importlib.import_module(f"tallyloom.llm.{_m}")
