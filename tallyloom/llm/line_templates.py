@@ -15,7 +15,7 @@ list of one template and the dropped lines of one document.
 Defined cases: a null text stays null. Lines of fewer than ``MIN_TOKENS`` tokens are never templates.
 Lines that repeat within one document only are kept. Rows with one id count as one document; rows
 without an id keep all lines. A text from which nothing is dropped does not change. Other columns
-pass through, but for ``n_chars``, which follows the text where it is asked for.
+pass through.
 """
 
 from __future__ import annotations
@@ -87,13 +87,15 @@ def drop_recurring(docs: DataFrame) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """The pipeline's form: the columns of ``docs``; a document that loses all its words is dropped."""
-    out = drop_recurring(docs)
-    empty = (F.col("_n_dropped") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = out.where(~F.coalesce(empty, F.lit(False)))
+    """The pipeline's form: the columns of ``docs``, ``n_chars`` with the text; a document that loses all its words is dropped."""
+    out = drop_recurring(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
+    changed = F.col("_n_dropped") > 0
+    out = out.where(~F.coalesce(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text")).otherwise(F.col("n_chars")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(docs.columns)
+        kind = dict(docs.dtypes)["n_chars"]
+        new["n_chars"] = F.when(changed, F.char_length("text").cast(kind)).otherwise(F.col("_row.n_chars"))
+    return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
 #: The same in plain SQL; leaves and keys are the tokens themselves.

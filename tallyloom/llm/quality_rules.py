@@ -6,9 +6,8 @@ whatever repeats.
 
 Defined cases: a null text has no words and no lines, and fails the base rule. Lines are what stands
 between line feeds; a line without a word is never a repeated line. Repeated rows are judged alike,
-whatever their id. A division by zero words gives zero. Columns of the input that are called like a
-measure are not touched: the measures are read from fresh names and only ``select`` decides what
-is returned.
+whatever their id. A division by zero words gives zero. ``keep_good`` returns every column of the
+input as it was, whatever its name.
 """
 
 from __future__ import annotations
@@ -141,8 +140,8 @@ def judge(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS, text: str = "text
 
 
 def keep_good(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS) -> DataFrame:
-    """The rows of ``docs`` that pass, with their own columns."""
-    return judge(docs, limits).where("_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` that pass, with all their own columns."""
+    return judge(docs.select(F.struct("*").alias("_row"), "text"), limits).where("_kept").select("_row.*")
 
 
 _LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows with one id and one text, one stays.
     """
     kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 
 

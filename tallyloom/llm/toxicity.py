@@ -327,11 +327,9 @@ def score_documents(docs: DataFrame, model: ToxicModel, text: str = "text") -> D
 
 
 def drop_toxic(docs: DataFrame, model: ToxicModel) -> DataFrame:
-    """The rows of ``docs`` below the threshold, with their own columns."""
-    scored = score_documents(docs.withColumn("_text", F.col("text")), model, "_text") if "score" not in docs.columns else None
-    if scored is None:  # the table's own column of that name stays
-        return score_documents(docs.withColumnRenamed("score", "_score"), model).where(F.col("score") < THRESHOLD).drop("score").withColumnRenamed("_score", "score").select(docs.columns)
-    return scored.where(F.col("score") < THRESHOLD).select(docs.columns)
+    """The rows of ``docs`` below the threshold, with all their own columns."""
+    rows = docs.select(F.struct("*").alias("_row"), "text")
+    return score_documents(rows, model).where(F.col("score") < THRESHOLD).select("_row.*")
 
 
 @query("op7_toxicity")
