@@ -49,6 +49,16 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+def split_plain(chunk: str) -> list[str]:
+    """Pre-tokens of a chunk of letters with at most one mark behind them; empty for any other chunk."""
+    letters = chunk[1:] if chunk[0] == " " else chunk
+    if letters.isalpha():
+        return [chunk]
+    if letters[:-1].isalpha() and letters[-1] in ".,;:!?":
+        return [chunk[:-1], chunk[-1]]
+    return []
+
+
 class MergeReplay:
     """Replays ranked merges over many words."""
 
@@ -179,22 +189,13 @@ class Codec:
         chunks = [CHUNK.findall(t) for t in texts]
         known = self.known
         new = list(set().union(*chunks).difference(known))
-        parts = [self._split(c) for c in new]
+        parts = [split_plain(c) or self.pattern.findall(c) for c in new]
         words = list({w for p in parts for w in p})
         ids = dict(zip(words, self.replay.encode([w.encode() for w in words]), strict=True))
         for c, p in zip(new, parts, strict=True):
             known[c] = b"".join([ids[w] for w in p])
         return [b"".join([known[c] for c in x]) for x in chunks]
 
-    def _split(self, chunk: str) -> list[str]:
-        """Pre-tokens of a chunk; one run of letters with at most one mark behind it needs no pattern."""
-        letters = chunk[1:] if chunk[0] == " " else chunk
-        if letters.isalpha():
-            return [chunk]
-        if letters[:-1].isalpha() and letters[-1] in ".,;:!?":
-            return [chunk[:-1], chunk[-1]]
-        return self.pattern.findall(chunk)
-
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.replay.vocabulary.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 

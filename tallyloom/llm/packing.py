@@ -25,13 +25,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.byte_bpe import CHUNK
+from tallyloom.llm.byte_bpe import CHUNK, split_plain
 from tallyloom.llm.common import blocks, map_rows, table
 from tallyloom.llm.registry import query
 from tallyloom.session import materialise
 
 #: Chunks of text that a task remembers with their ids.
-CACHE = 300_000
+CACHE = 700_000
 
 
 class SegmentTree:
@@ -128,18 +128,27 @@ class PieceReader:
         self.tokenizer.encode_special_tokens = True
         self.end, self.capacity = int(end_id).to_bytes(4, "little"), capacity
         self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids with the end mark; a chunk of text is tokenised once, because no pre-token leaves it."""
         if len(self.known) > CACHE:
             self.known.clear()
+            self.words.clear()
         chunks = [CHUNK.findall(t) for t in texts]
         new = list(set().union(*chunks).difference(self.known))
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[c] = np.array(e.ids, "<u4").tobytes()
+        parts = [split_plain(c) or [c] for c in new]
+        words = list({w for p in parts for w in p}.difference(self.words))
+        for at in range(0, len(words), 20_000):
+            some = words[at : at + 20_000]
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+            flat, at_id = np.array([i for x in found for i in x], "<u4").tobytes(), 0
+            for w, x in zip(some, found, strict=True):
+                self.words[w] = flat[at_id : at_id + 4 * len(x)]
+                at_id += 4 * len(x)
         known = self.known
+        for c, p in zip(new, parts, strict=True):
+            known[c] = b"".join([self.words[w] for w in p])
         return [b"".join([known[c] for c in x]) + self.end for x in chunks]
 
     def cut(self, ids: bytes) -> list[tuple[int, bytes]]:
