@@ -53,8 +53,9 @@ def template_firsts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = materialise(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "templates")
     varied = known.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1").select("leaf")
     # the texts of varied leaves, each line once
-    texts = _lines(docs).join(varied, "leaf").groupBy("leaf", "key").agg(F.first("tokens").alias("tokens"))
-    texts = materialise(texts, "varied")
+    plain = _lines(docs).select("leaf", "key", F.array_join("tokens", " ").alias("plain"))
+    texts = plain.join(varied, "leaf").groupBy("leaf", "key").agg(F.min("plain").alias("plain"))
+    texts = materialise(texts.select("leaf", "key", F.split("plain", " ").alias("tokens")), "varied")
     seen = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     top = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
     # a leaf's positions are as many as its token count says
