@@ -16,6 +16,8 @@ from tallyloom.functions.columns import col
 
 SEED_MODULUS = 2147483647  # Fixed value
 SEED_STRIDE = 10007  # Fixed value
+#: Offsets of the seeded components; fixed values.
+SEED_OFFSETS = {"completeness": 101, "injury_envelope": 173, "injury": 211, "hiv_model": 307, "redistribution": 401, "draw": 509}
 
 
 def component_seed(base, draw, offset) -> Column:
@@ -28,6 +30,11 @@ def component_seed(base, draw, offset) -> Column:
     return F.greatest(raw, F.lit(1).cast("bigint"))
 
 
+def seed_of(base: int, component: str) -> Column:
+    """Seed of a component in rows that carry ``draw_id``."""
+    return component_seed(base, "draw_id", SEED_OFFSETS[component])
+
+
 def _joined(parts) -> Column:
     return F.concat_ws("|", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,9 @@ from pyspark.sql import functions as F
 from tallyloom.functions.columns import finite, or_zero
 from tallyloom.session import small_table
 
+#: Most labels that are listed for one group.
+MAX_LABELS = 10_000
+
 
 def grouped_sum(df: DataFrame, by, values) -> DataFrame:
     """Sum of measures by key; partial sums happen before the shuffle."""
@@ -164,14 +168,32 @@ def catalogue(df: DataFrame, columns) -> DataFrame:
 
 
 def coverage(df: DataFrame, by, year: str, cell, label: str) -> DataFrame:
-    """Rows, first and last year, distinct cells and the joined labels per group."""
-    return df.groupBy(*by).agg(
-        F.count("*").alias("rows"),
-        F.min(year).alias("first_year"),
-        F.max(year).alias("last_year"),
-        F.count_distinct(*[F.col(c) for c in cell]).alias("cells"),
-        F.array_join(F.sort_array(F.collect_set(F.col(label).cast("string"))), ",").alias("labels"),
+    """Rows, first and last year, distinct cells and the joined labels per group.
+
+    Rows are summed per cell and label first, so a group's rows never meet; the labels of a
+    group are gathered only up to ``MAX_LABELS``, above which the job fails.
+    """
+    by, cell = list(by), list(cell)
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cell])
+    y, text = F.col(year), F.col(label).cast("string")
+    keyed = df.select(*[F.col(c).alias(f"_g{k}") for k, c in enumerate(by)], F.when(known, F.struct(*cell)).alias("_cell"), text.alias("_l"), y.alias("_y"))
+    groups = [f"_g{k}" for k in range(len(by))]
+    small = keyed.groupBy(*groups, "_cell", "_l").agg(F.count("*").alias("_n"), F.min("_y").alias("_a"), F.max("_y").alias("_b"))
+    cells = small.groupBy(*groups, "_cell").agg(F.sum("_n").alias("_n"), F.min("_a").alias("_a"), F.max("_b").alias("_b"))
+    main = cells.groupBy(*groups).agg(
+        F.sum("_n").alias("rows"), F.min("_a").alias("first_year"), F.max("_b").alias("last_year"), F.count("_cell").alias("cells")
+    )
+    labels = small.groupBy(*groups, "_l").agg(F.count("*").alias("_n")).groupBy(*groups).agg(joined_labels("_l", "labels"))
+    same = reduce(lambda a, b: a & b, [main[g].eqNullSafe(labels[g]) for g in groups])
+    return main.join(labels, same).select(*[main[g].alias(c) for g, c in zip(groups, by)], "rows", "first_year", "last_year", "cells", "labels")
+
+
+def joined_labels(label: str, name: str) -> Column:
+    """Sorted labels joined by commas, from rows that are distinct already; too many fail the job."""
+    some = F.when(F.count(label) <= MAX_LABELS, F.collect_list(label)).otherwise(
+        F.raise_error(F.lit(f"more than {MAX_LABELS} labels in one group")).cast("array<string>")
     )
+    return F.array_join(F.sort_array(some), ",").alias(name)
 
 
 def kish(weight: str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import add_all, clamp_residue, finite, logistic, or_zero, safe_exp, safe_ratio
 from tallyloom.operators.compose import interpolation_weights, weight_table
-from tallyloom.operators.grid import complete_cells, literal_levels
+from tallyloom.operators.grid import complete_cells, literal_levels, spread_join
 from tallyloom.session import materialise
 
 # ---------------------------------------------------------------- completeness
@@ -252,6 +252,9 @@ def annual_factors(anchors: DataFrame, year: str, cell, years: list, anchor_year
 
 # ---------------------------------------------------------------- bounded calibration
 
+#: Largest relative distance of a calibrated group from its target.
+MAX_RESIDUAL = 1e-7
+
 
 def calibrate_to_level(
     cells: DataFrame, group, cell, first: str, second: str, log_profile: str, log_level: str, active: str,
@@ -264,9 +267,11 @@ def calibrate_to_level(
     total.  Inactive and one-sided cells stay as they are.
 
     The root is bracketed analytically, narrowed by evaluating a grid of candidates
-    per pass, and polished by Newton steps.  Every pass is one partial aggregation, so
-    a group may be arbitrarily large: cells are never gathered into a list.  The cells
-    are written once to the checkpoint folder, because every pass scans them.
+    per pass, and polished by Newton steps.  Every pass deals a group's cells over all
+    shuffle partitions and sums them in part before they meet, so a group may be
+    arbitrarily large.  The cells are written once to the checkpoint folder, because
+    every pass scans them.  A group whose root misses the target by more than
+    ``MAX_RESIDUAL`` of it fails the job.
     """
     group, cell = list(group), list(cell)
     x = cells.select(
@@ -309,19 +314,22 @@ def calibrate_to_level(
     for _ in range(search_passes):
         b = bounds.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (candidates + 1))
         sums = [F.expr(f"sum(_e * ({share.format(z=f'_eta + _lo + _step * {k}')}))").alias(f"_s{k}") for k in ks]
-        s = live.join(b, group).groupBy(*group, "_t", "_lo", "_step").agg(*sums)
+        s = spread_join(live, b, group).groupBy(*group, "_t", "_lo", "_step").agg(*sums)
         below = F.expr(" + ".join(f"(CASE WHEN _s{k} < _t THEN 1D ELSE 0D END)" for k in ks))
         lo = F.col("_lo") + F.col("_step") * below
         bounds = s.select(*fresh, "_t", lo.alias("_lo"), (lo + F.col("_step")).alias("_hi"))
     delta = bounds.select(*fresh, "_t", ((F.col("_lo") + F.col("_hi")) / 2).alias("_d"))
     z = share.format(z="_eta + _d")
     for _ in range(newton_passes):
-        s = live.join(delta, group).groupBy(*group, "_t", "_d").agg(
+        s = spread_join(live, delta, group).groupBy(*group, "_t", "_d").agg(
             F.expr(f"sum(_e * ({z}))").alias("_f"), F.expr(f"sum(_e * ({z}) * (1D - ({z})))").alias("_df")
         )
         step = F.coalesce(F.try_divide(F.col("_f") - F.col("_t"), F.col("_df")), F.lit(0.0))
         delta = s.select(*fresh, "_t", (F.col("_d") - step).alias("_d"))
-    out = x.join(delta.select(*group, "_d"), group, "left")
+    met = spread_join(live, delta, group).groupBy(*group, "_t", "_d").agg(F.expr(f"sum(_e * ({z}))").alias("_f"))
+    missed = F.abs(F.col("_f") - F.col("_t")) > MAX_RESIDUAL * F.greatest(F.abs(F.col("_t")), F.lit(1.0))
+    checked = F.when(missed, F.raise_error(F.lit("calibration does not meet its level")).cast("double")).otherwise(F.col("_d"))
+    out = spread_join(x, met.select(*fresh, checked.alias("_d")), group, "left")
     solved = F.col("_on") & F.col("_d").isNotNull()
     a_new = F.when(solved, F.col("_e") * logistic(F.col("_eta") + F.col("_d"))).otherwise(F.col("_a"))
     out = out.withColumn("first_after", clamp_residue(a_new, tolerance))

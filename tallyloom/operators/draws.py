@@ -17,8 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from tallyloom.functions.columns import Z_LOWER, Z_UPPER, finite, or_zero, safe_ratio
 from tallyloom.functions.gamma import gamma_mean_one, log_gamma_draw
-from tallyloom.functions.hashing import component_seed, normal
-from tallyloom.operators.survey import bootstrap_multipliers
+from tallyloom.functions.hashing import normal
 from tallyloom.session import small_table
 
 EPSILON = 2.220446049250313e-16
@@ -33,12 +32,6 @@ def with_draws(df: DataFrame, first: int, last: int) -> DataFrame:
     return df.withColumn("draw_id", F.explode(F.sequence(F.lit(first), F.lit(last))))
 
 
-def seed_map(spark: SparkSession, base: int, draws: int, components: dict[str, int]) -> DataFrame:
-    """Seed of every component of every draw."""
-    cols = [component_seed(base, "draw_id", off).alias(name) for name, off in components.items()]
-    return draw_ids(spark, 1, draws).select("draw_id", *cols)
-
-
 # ---------------------------------------------------------------- completeness
 
 
@@ -109,10 +102,6 @@ def apply_factors(cells: DataFrame, factors: DataFrame, keys, affected: Column,
     return j.withColumn(value, F.col(value) * f).drop("factor")
 
 
-def survey_replicates(psus: DataFrame, stratum: str, psu: str, first: int, last: int, seed: int) -> DataFrame:
-    return bootstrap_multipliers(psus, stratum, psu, last - first + 1, seed, first)
-
-
 # ---------------------------------------------------------------- Dirichlet and Gamma
 
 
@@ -144,17 +133,6 @@ def dirichlet_draws(
     return x.select("draw_id", *group, code, (F.col("_e") / F.sum("_e").over(wd)).alias("draw_fraction"))
 
 
-def sampling_group(levels: dict[str, list[str]], strata, year: str, source: str) -> Column:
-    """Name of the sampling group of a stratum: itself, or the donor it borrowed from."""
-    out = F.concat_ws("|", F.lit("own"), *[F.col(c).cast("string") for c in (year, *strata)])
-    for name, keys in levels.items():
-        out = F.when(
-            F.col(source) == f"borrowed:{name}",
-            F.concat_ws("|", F.lit(name), *[F.col(c).cast("string") for c in (year, *keys)]),
-        ).otherwise(out)
-    return out
-
-
 def subset_gamma_shape(n: int) -> float:
     """Gamma shape whose Dirichlet share variance equals that of a random non-empty subset of n."""
     if n < 2:
@@ -203,14 +181,18 @@ def multiplier_audit(multipliers: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- coefficients
 
 
-def draw_slopes(fits: DataFrame, keys, first: int, last: int, seed: int, shared=None, component: str = "trend") -> DataFrame:
+def draw_slopes(
+    fits: DataFrame, keys, first: int, last: int, seed, shared=(), fallback: str = "main_effect_fallback", component: str = "trend"
+) -> DataFrame:
     """Normal draw of each slope from its variance.
 
-    ``shared`` names the keys that address the random number: cells linked by a common
-    coefficient get one draw.
+    Rows whose ``model_status`` is ``fallback`` hold one common coefficient per ``shared`` keys
+    and get one random number for each; every other row has its own.
     """
     x = with_draws(fits, first, last)
-    z = normal(seed, F.col("draw_id"), component, *[F.col(k) for k in (shared or keys)])
+    own = normal(seed, F.col("draw_id"), component, *[F.col(k) for k in keys])
+    common = normal(seed, F.col("draw_id"), component, fallback, *[F.col(k) for k in shared])
+    z = F.when(F.col("model_status") == fallback, common).otherwise(own) if shared else own
     sd = F.sqrt(F.greatest(or_zero("var_g"), F.lit(0.0)))
     return x.withColumn("g", F.when(F.col("var_g").isNotNull(), F.col("g") + sd * z).otherwise(F.col("g")))
 

@@ -74,29 +74,44 @@ def observed_grid(
 def complete_cells(
     df: DataFrame, dimensions, values, levels: dict[str, list] | None = None, fill: float = 0.0
 ) -> DataFrame:
-    """Every combination of levels with the summed measures, ``fill`` where nothing was seen."""
+    """Every combination of levels with the summed measures, ``fill`` where nothing was seen.
+
+    A missing level is not a level of the grid, but cells that have one keep their own row, so no
+    mass is lost.
+    """
     dimensions, values = list(dimensions), list(values)
     sums = df.groupBy(*dimensions).agg(*[F.sum(v).cast("double").alias(v) for v in values])
     grid = observed_grid(df, dimensions, levels)
-    return grid.join(sums, dimensions, "left").fillna(fill, subset=values)
+    unplaced = reduce(lambda a, b: a | b, [F.col(d).isNull() for d in dimensions])
+    full = grid.join(sums, dimensions, "left").unionByName(sums.filter(unplaced))
+    return full.fillna(fill, subset=values)
 
 
 def complete_codes(df: DataFrame, by, code: str, codes, value: str, fill: float = 0.0) -> DataFrame:
     """Each observed group with every code of a list.
 
-    Short lists become conditional sums: one shuffle with partial aggregation and no
-    join.  Longer lists explode the code list per distinct group and join.
+    The group's sums become a map with at most one entry per listed code, which the
+    exploded list looks up: no join, so a group with a missing key is a group like any other.
     """
     by, codes = list(by), list(codes)
-    if len(codes) <= 64:
-        sums = [F.sum(F.when(F.col(code) == F.lit(c), F.col(value).cast("double"))) for c in codes]
-        agg = df.groupBy(*by).agg(
-            F.array(*[F.struct(F.lit(c).alias(code), F.coalesce(s, F.lit(fill)).alias(value)) for c, s in zip(codes, sums)]).alias("_c")
-        )
-        return agg.select(*by, F.explode("_c").alias("_c")).select(*by, f"_c.{code}", f"_c.{value}")
     sums = df.groupBy(*by, code).agg(F.sum(value).cast("double").alias(value))
-    grid = sums.select(*by).distinct().withColumn(code, F.explode(literal_levels(codes)))
-    return grid.join(sums, [*by, code], "left").fillna(fill, subset=[value])
+    listed = F.when(F.col(code).isin(codes) & F.col(value).isNotNull(), F.struct(F.col(code), F.col(value)))
+    packed = sums.groupBy(*by).agg(F.map_from_entries(F.collect_list(listed)).alias("_m"))
+    levels = literal_levels(codes).cast(f"array<{dict(df.dtypes)[code]}>")
+    return packed.withColumn(code, F.explode(levels)).select(*by, code, F.coalesce(F.try_element_at("_m", F.col(code)), F.lit(fill)).alias(value))
+
+
+def spread_join(many: DataFrame, few: DataFrame, by, how: str = "inner") -> DataFrame:
+    """Join a table with one row per group to a table with many, without one task per group.
+
+    The rows of a group are dealt over as many salts as there are shuffle partitions, and the
+    small side is repeated for each; a dominant group is therefore read by many tasks.
+    """
+    salts = max(1, int(many.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rest = [c for c in many.columns if c not in by]
+    dealt = many.withColumn("_salt", F.pmod(F.xxhash64(*rest), F.lit(salts)).cast("int"))
+    repeated = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return dealt.join(repeated, [*by, "_salt"], how).drop("_salt")
 
 
 def pivot_codes(df: DataFrame, by, code: str, codes, value: str, prefix: str = "c", fill: float = 0.0) -> DataFrame:

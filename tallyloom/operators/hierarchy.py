@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import or_zero, plain_label
+from tallyloom.operators.aggregate import joined_labels
 from tallyloom.operators.grid import complete_codes
 from tallyloom.operators.validate import group_errors
 
@@ -121,13 +122,13 @@ def supported_series(mapping: DataFrame, available: DataFrame, series: str, sour
     """
     per_code = mapping.groupBy(series, source).agg(F.sum(weight).alias("_w"))
     have = available.select(source).distinct().withColumn("_have", F.lit(True))
-    flagged = per_code.join(have, source, "left")
     missing = F.when(F.col("_have").isNull(), F.col(source).cast("string"))
+    flagged = per_code.join(have, source, "left").withColumn("_missing", missing)
     out = flagged.groupBy(series).agg(
         F.count("*").alias("components"),
-        F.count(missing).alias("missing"),
+        F.count("_missing").alias("missing"),
         F.count_if(F.col("_w") > 1 + 1e-12).alias("overlapping"),
-        F.array_join(F.sort_array(F.collect_set(missing)), ",").alias("missing_codes"),
+        joined_labels("_missing", "missing_codes"),
     )
     reason = F.when(F.col("missing") > 0, "missing_component").when(F.col("overlapping") > 0, "overlapping_components").otherwise("supported")
     return out.withColumn("status", reason)

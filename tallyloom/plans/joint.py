@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyloom.functions.hashing import seed_of
 from tallyloom.operators import aggregate, draws, grid, survey, validate
 from tallyloom.plans import point
 from tallyloom.plans import study as cfg
@@ -74,22 +75,26 @@ def fraction_draws(j: JointInputs, s: Study, first: int, last: int, seed: int) -
 
 def run_block(j: JointInputs, s: Study, first: int, last: int, seed: int) -> dict[str, DataFrame]:
     """Draws first..last: completeness, surveys, calibration, fractions, reallocation, redistribution."""
-    base = materialise(completeness_draws(j, s, first, last, seed), "draw-completeness")
-    factors = point.envelope_factors(base, survey_envelope_draws(j, s, first, last, seed + 1), s, DRAW)
+    base = materialise(completeness_draws(j, s, first, last, seed_of(seed, "completeness")), "draw-completeness")
+    factors = point.envelope_factors(base, survey_envelope_draws(j, s, first, last, seed_of(seed, "injury_envelope")), s, DRAW)
     cal = materialise(point.calibrate_injuries(base, factors, DRAW), "draw-calibrated")
-    split = materialise(point.split_injuries(cal, fraction_draws(j, s, first, last, seed + 2), DRAW), "draw-split")
+    split = materialise(point.split_injuries(cal, fraction_draws(j, s, first, last, seed_of(seed, "injury")), DRAW), "draw-split")
     spec = point.hiv_spec(s)
     panel = materialise(point.hiv_panel(split, j.population, j.prevalence, s, DRAW), "draw-panel")
-    trends = draws.draw_slopes(j.trends, [spec.code, spec.place, spec.sex], first, last, seed + 3)
-    intercepts = draws.draw_intercepts(j.intercepts, spec.cell, first, last, seed + 4)
+    model = seed_of(seed, "hiv_model")
+    trends = draws.draw_slopes(j.trends, [spec.code, spec.place, spec.sex], first, last, model, shared=[spec.code])
+    intercepts = draws.draw_intercepts(j.intercepts, spec.cell, first, last, model)
     moved = materialise(apply(split, panel, trends, intercepts, spec, DRAW), "draw-reallocated")
-    multipliers = draws.rule_multipliers(base.sparkSession, cfg.MOVE_RULES, first, last, seed + 5)
+    multipliers = draws.rule_multipliers(base.sparkSession, cfg.MOVE_RULES, first, last, seed_of(seed, "redistribution"))
     red = materialise(point.redistribute_causes(moved, DRAW, multipliers).cells, "draw-redistributed")
     checks = validate.report(
         validate.group_totals_preserved(base, cal, [*DRAW, *CELL], "Deaths", name="calibration"),
         validate.group_totals_preserved(cal, split, [*DRAW, *CELL], "Deaths", name="fractions"),
         validate.group_totals_preserved(split, moved, [*DRAW, *CELL], "Deaths", name="reallocation"),
         validate.group_totals_preserved(moved, red, [*DRAW, *CELL], "Deaths", name="redistribution"),
+        validate.group_totals_preserved(base, red, DRAW, "Deaths", name="propagation"),
+        validate.group_totals_preserved(cal.filter(point.is_injury()), split.filter(point.is_injury()), [*DRAW, *CELL], "Deaths", name="injury envelope"),
+        validate.non_negative(red, ["Deaths"]),
     )
     return {"cells": red, "checks": checks, "multipliers": multipliers}
 
@@ -109,11 +114,9 @@ def report_series(cells: DataFrame, s: Study) -> DataFrame:
 def run_joint(j: JointInputs, s: Study, path: str, draws_total: int, per_block: int, seed: int, policy=validate.Policy.RAISE) -> DataFrame:
     """Append missing blocks of draws to the store and return the store."""
     spark = j.completed.sparkSession
-    blocks = -(-draws_total // per_block)
-    try:
-        todo = sorted(r["draw_block"] for r in stores.pending_blocks(spark, path, blocks, per_block).collect())
-    except Exception:  # noqa: BLE001 - no store yet
-        todo = list(range(blocks))
+    todo = list(range(-(-draws_total // per_block)))
+    if stores.store_exists(spark, path):
+        todo = sorted(r["draw_block"] for r in stores.pending_blocks(spark, path, draws_total, per_block).collect())
     for b in todo:
         first = b * per_block + 1
         out = run_block(j, s, first, min(first + per_block - 1, draws_total), seed)

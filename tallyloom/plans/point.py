@@ -179,7 +179,7 @@ def run_point(i: PointInputs, s: Study, store: StageStore) -> dict[str, DataFram
     res = redistribute_causes(moved)
     out["redistributed"] = red = store.write(res.cells, "06_redistributed")
     out["fallback"] = store.write(res.fallback, "06_fallback")
-    za = hierarchy.roll_up(red, i.za_mapping, CELL, "nbdcode", "za_code", "Deaths", strict=False).withColumnRenamed("za_code", "nbdcode")
+    za = hierarchy.roll_up(red, i.za_mapping, CELL, "nbdcode", "za_code", "Deaths").withColumnRenamed("za_code", "nbdcode")
     out["yll"] = y = store.write(rates.yll(za, i.schedule, ["Sex", "age5"], "Deaths"), "07_yll")
     den = rates.denominators(i.population, "Death_Prov", "Popgroup", "Sex", "DeathYear", "age5", "Pop", s.ages[1:])
     cube = rates.final_cube(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import finite, or_zero, safe_ratio
-from tallyloom.operators.grid import complete_cells
+from tallyloom.operators.grid import complete_cells, spread_join
 from tallyloom.operators.validate import table_error
 
 # ---------------------------------------------------------------- slices
@@ -113,11 +113,22 @@ def model_differences(rows: DataFrame, model: str, keys, first: str, second: str
 
 
 def percent_to_proportion(df: DataFrame, by, value: str, threshold: float = 1.5) -> DataFrame:
-    """Series stored as percentages are divided by 100: judged by the 99th percentile of |x|."""
-    scale = df.groupBy(*by).agg(
-        F.when(F.percentile(F.abs(F.col(value)), F.lit(0.99)) > threshold, 100.0).otherwise(1.0).alias("_s")
+    """Series stored as percentages are divided by 100: judged by the 99th percentile of |x|.
+
+    The percentile lies between two neighbours in order. Whether it exceeds the threshold
+    follows from how many values do, and where the threshold falls between the two, from
+    the values next to it, so no group's values are held together.
+    """
+    x = F.abs(F.col(value))
+    high = x > threshold
+    g = df.groupBy(*by).agg(
+        F.count(value).alias("_n"), F.count_if(~high).alias("_c"), F.max(F.when(~high, x)).alias("_lo"), F.min(F.when(high, x)).alias("_hi")
     )
-    return df.join(scale, list(by)).withColumn(value, F.col(value) / F.col("_s")).drop("_s")
+    at = (F.col("_n") - 1) * 0.99
+    between = F.col("_lo") + (at - F.floor(at)) * (F.col("_hi") - F.col("_lo"))
+    above = F.when(F.floor(at) >= F.col("_c"), True).when(F.ceil(at) < F.col("_c"), False).otherwise(between > threshold)
+    scale = g.select(*by, F.when(above, 100.0).otherwise(1.0).alias("_s"))
+    return spread_join(df, scale, list(by)).withColumn(value, F.col(value) / F.col("_s")).drop("_s")
 
 
 def harmonise_external(df: DataFrame, maps: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

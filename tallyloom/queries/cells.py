@@ -254,6 +254,37 @@ def group_by_target_codes(spark, sf):
     return grid.complete_codes(order_cells(spark, sf, "nation", "yr", "mon", "priority"), ["nation", "yr", "mon"], "priority", ALL_PRIORITIES, "n")
 
 
+_SEGMENTS = """o AS (SELECT nullif(c_mktsegment, 'BUILDING') AS seg, CAST(year(o_orderdate) AS INTEGER) AS yr, CAST(o_custkey % 70 AS INTEGER) AS code FROM orders JOIN customer ON o_custkey = c_custkey)"""
+
+
+def segment_orders(spark, sf):
+    """Orders by market segment, one of which counts as not known."""
+    o = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    seg = F.nullif("c_mktsegment", F.lit("BUILDING"))
+    return o.select(seg.alias("seg"), F.year("o_orderdate").alias("yr"), (F.col("o_custkey") % 70).cast("int").alias("code"))
+
+
+@query(
+    "complete_cells_with_missing_key", "J6",
+    f"""WITH {_SEGMENTS}, c AS (SELECT seg, yr, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY ALL)
+    SELECT s.seg, y.yr, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT seg FROM c WHERE seg IS NOT NULL) s CROSS JOIN (SELECT DISTINCT yr FROM c) y
+    LEFT JOIN c ON c.seg = s.seg AND c.yr = y.yr UNION ALL SELECT seg, yr, n FROM c WHERE seg IS NULL""",
+)
+def complete_cells_with_missing_key(spark, sf):
+    return grid.complete_cells(aggregate.tally(segment_orders(spark, sf), ["seg", "yr"], "n"), ["seg", "yr"], ["n"])
+
+
+@query(
+    "group_by_many_codes_with_missing_key", "J7",
+    f"""WITH {_SEGMENTS}, c AS (SELECT seg, code, CAST(count(*) AS DOUBLE) AS n FROM o GROUP BY ALL)
+    SELECT g.seg, CAST(t.i AS INTEGER) AS code, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT seg FROM c) g CROSS JOIN range(80) t(i)
+    LEFT JOIN c ON c.seg IS NOT DISTINCT FROM g.seg AND c.code = t.i""",
+)
+def group_by_many_codes_with_missing_key(spark, sf):
+    cells = aggregate.tally(segment_orders(spark, sf), ["seg", "code"], "n")
+    return grid.complete_codes(cells, ["seg"], "code", list(range(80)), "n")
+
+
 @query(
     "parts_without_lines", "J1 J4 O6",
     """SELECT p_brand, count(*) AS parts, count(*) FILTER (p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')) AS never_returned

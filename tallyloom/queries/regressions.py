@@ -8,6 +8,8 @@ from tallyloom.operators import draws, regress
 from tallyloom.plans.reallocation import Reallocation, reallocate
 from tallyloom.queries.inputs import LINES_SUPPLIER, STATUSES, UNKNOWN_PRIORITY, cells_sql, lines_supplier, order_cells, table, values
 from tallyloom.queries.registry import query, rounded
+from tallyloom.queries.surveys import z_sql
+from tallyloom.session import materialise
 
 SEED = 20200101
 
@@ -107,8 +109,9 @@ _BASE = f"""{cells_sql('nation', 'yr', 'priority')}, b AS (SELECT g.nation, p.pr
   ci AS (SELECT b.nation, priority, CASE WHEN sum(n) OVER (PARTITION BY b.nation) > 0 THEN n / sum(n) OVER (PARTITION BY b.nation) END * coalesce(intercept, 0) AS cause_intercept FROM b LEFT JOIN ic USING (nation))"""
 
 
-def cause_intercepts(spark, sf):
-    cells = order_cells(spark, sf, "nation", "yr", "priority")
+def cause_intercepts(spark, sf, cells=None):
+    if cells is None:
+        cells = materialise(order_cells(spark, sf, "nation", "yr", "priority"), "cells")
     ic = cells.select("nation").distinct().withColumn("intercept", 2.0 + F.col("nation"))
     return cells, regress.intercept_by_cause(cells.filter("yr = 1995").filter(F.col("priority").isin(_CODES)), ["nation"], "priority", _CODES, "n", ic)
 
@@ -126,8 +129,8 @@ _EXC = f"""{_BASE}, pop AS (SELECT c_nationkey AS nation, CAST(count(*) AS DOUBL
   ex AS (SELECT nation, yr, priority, n, CASE WHEN e IS NULL OR e > n OR yr >= 2001 THEN n ELSE e END AS expected FROM ex0)"""
 
 
-def excess_rows(spark, sf):
-    cells, ci = cause_intercepts(spark, sf)
+def excess_rows(spark, sf, cells=None):
+    cells, ci = cause_intercepts(spark, sf, cells)
     pop = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg((F.count("*") * 100000.0).alias("population"))
     panel = cells.filter(F.col("priority").isin(_CODES)).join(pop, "nation")
     trends = panel.select("nation", "priority").distinct().withColumns({"g": F.lit(0.2), "model_status": F.lit("full_interaction")})
@@ -154,8 +157,10 @@ _ALLOC = f"""{_EXC}, og2 AS (SELECT nation, yr, priority, status, CAST(count(*)
 
 
 def allocation(spark, sf):
-    groups = order_cells(spark, sf, "nation", "yr", "priority", "status")
-    a = regress.allocate_excess(groups.filter(F.col("priority").isin(_CODES)), excess_rows(spark, sf), ["nation", "yr", "priority"], "status", STATUSES, "n", "excess")
+    # the orders are read once; everything below works on their cells
+    groups = materialise(order_cells(spark, sf, "nation", "yr", "priority", "status"), "cells")
+    cells = groups.groupBy("nation", "yr", "priority").agg(F.sum("n").alias("n"))
+    a = regress.allocate_excess(groups.filter(F.col("priority").isin(_CODES)), excess_rows(spark, sf, cells), ["nation", "yr", "priority"], "status", STATUSES, "n", "excess")
     return groups, a
 
 
@@ -194,22 +199,36 @@ def end_to_end_reallocation(spark, sf):
     return reallocate(cells, exposure, prevalence, spec)
 
 
-@query("slope_draws_from_covariance", "D8 M14")
+@query(
+    "slope_draws_from_covariance", "D8 M14",
+    f"""WITH {_POIS} SELECT CAST(d AS INTEGER) AS draw_id, nation, status, round(b + sqrt(greatest(h0 / (h0 * h2 - h1 * h1), 0)) * {z_sql(str(SEED), 'd', "'trend'", 'nation', 'status')}, 5) AS g FROM pit, range(1, 21) t(d)""",
+)
 def slope_draws_from_covariance(spark, sf):
-    return draws.draw_slopes(poisson(spark, sf), ["nation", "status"], 1, 20, SEED, shared=["status"]).select("draw_id", "nation", "status", "g")
+    drawn = draws.draw_slopes(poisson(spark, sf), ["nation", "status"], 1, 20, SEED, shared=["status"])
+    return rounded(drawn.select("draw_id", "nation", "status", "g"), 5)
 
 
-@query("intercept_draws", "D8 M13")
+@query(
+    "intercept_draws", "D8 M13",
+    f"""WITH {_CE}, xy AS (SELECT nation, status AS grp, exposure / 100 AS x, n AS y FROM ce), f AS ({_OLS.format(k='nation, grp')} FROM xy GROUP BY ALL)
+    SELECT CAST(d AS INTEGER) AS draw_id, nation, grp, round(greatest(0, CASE WHEN iv IS NOT NULL AND intercept IS NOT NULL THEN intercept + sqrt(greatest(iv, 0)) * {z_sql(str(SEED), 'd', "'intercept'", 'nation', 'grp')}
+      ELSE greatest(0, coalesce(intercept, med, 0)) END), 4) AS intercept FROM f, range(1, 21) t(d)""",
+)
 def intercept_draws(spark, sf):
     x = counts_and_exposure(spark, sf).select("nation", F.col("status").alias("grp"), (F.col("exposure") / 100).alias("x"), F.col("n").alias("y"))
     fit = regress.zero_intercepts(x, ["nation", "grp"], "x", "y")
-    return draws.draw_intercepts(fit, ["nation", "grp"], 1, 20, SEED).select("draw_id", "nation", "grp", "intercept")
+    drawn = draws.draw_intercepts(fit, ["nation", "grp"], 1, 20, SEED)
+    return rounded(drawn.select("draw_id", "nation", "grp", "intercept"), 4)
 
 
-@query("multivariate_coefficient_draws", "D8")
+@query(
+    "multivariate_coefficient_draws", "D8",
+    f"""WITH {_POIS}, v AS (SELECT *, h2 / (h0 * h2 - h1 * h1) AS va, -h1 / (h0 * h2 - h1 * h1) AS vab, h0 / (h0 * h2 - h1 * h1) AS vb FROM pit),
+      z AS (SELECT *, {z_sql(str(SEED), 'd', "'pair'", 'nation', 'status', "'1'")} AS z1, {z_sql(str(SEED), 'd', "'pair'", 'nation', 'status', "'2'")} AS z2 FROM v, range(1, 21) t(d))
+    SELECT CAST(d AS INTEGER) AS draw_id, nation, status, round(a + sqrt(va) * z1, 5) AS constant, round(b + vab / sqrt(va) * z1 + sqrt(greatest(vb - vab * vab / va, 0)) * z2, 5) AS g FROM z""",
+)
 def multivariate_coefficient_draws(spark, sf):
-    fit = poisson(spark, sf).filter("g IS NOT NULL").select(
-        "nation", "status", F.array("constant", "g").alias("mean"), F.array("var_constant", "cov", "cov", "var_g").alias("covariance")
-    )
-    out = draws.mvn_draws(fit, ["nation", "status"], "mean", "covariance", 1, 20, SEED)
-    return out.select("draw_id", "nation", "status", F.element_at("coefficients", 1).alias("constant"), F.element_at("coefficients", 2).alias("g"))
+    fit = draws.with_draws(poisson(spark, sf).filter("g IS NOT NULL"), 1, 20)
+    key = (SEED, F.col("draw_id"), "pair", F.col("nation"), F.col("status"))
+    a, b = draws.draw_pair(*[F.col(c) for c in ("constant", "g", "var_constant", "cov", "var_g")], *key)
+    return rounded(fit.select("draw_id", "nation", "status", a.alias("constant"), b.alias("g")), 5)

@@ -140,12 +140,13 @@ def draw_store_completeness(spark, sf):
     return stores.draw_id_differences(spark.read.parquet(path), 40)
 
 
-@query("pending_draw_blocks", "S11 D15", """WITH b AS (SELECT CAST(n_regionkey AS INTEGER) AS draw_block, count(*) AS d FROM nation GROUP BY 1) SELECT CAST(i AS INTEGER) AS draw_block FROM range(8) t(i) WHERE i NOT IN (SELECT draw_block FROM b WHERE d = 5)""")
+@query("pending_draw_blocks", "S11 D15", """WITH o AS (SELECT DISTINCT o_custkey AS i FROM orders WHERE o_orderstatus = 'P'), w AS (SELECT CAST(i AS BIGINT) AS i, CAST(floor((i - 1) / 7) AS INTEGER) AS b FROM range(1, (SELECT max(c_custkey) FROM customer) + 1) t(i)) SELECT DISTINCT b AS draw_block FROM w WHERE i NOT IN (SELECT i FROM o)""")
 def pending_draw_blocks(spark, sf):
     path = f"{scratch(spark)}/draws"
-    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("draw_id"), F.col("n_regionkey").alias("draw_block"))
-    n.write.partitionBy("draw_block").parquet(path)
-    return stores.pending_blocks(spark, path, 8, 5)
+    ids = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("draw_id")).distinct()
+    ids.select("draw_id", F.floor((F.col("draw_id") - 1) / 7).cast("int").alias("draw_block")).write.parquet(path)
+    total = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
+    return stores.pending_blocks(spark, path, total, 7)
 
 
 @query("csv_stack_with_file_names", "S14", "SELECT CAST(l_returnflag AS VARCHAR) AS flag, count(*) AS \"rows\", sum(l_quantity) AS qty FROM lineitem GROUP BY 1")

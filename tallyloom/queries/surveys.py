@@ -11,7 +11,7 @@ from tallyloom.queries.inputs import (
     LINES_SUPPLIER, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, lines_supplier, order_cells, table, values,
 )
 from tallyloom.queries.registry import query, rounded
-from tallyloom.session import small_table
+from tallyloom.session import materialise, small_table
 
 SEED = 20200101
 DRAWS = 40
@@ -201,14 +201,15 @@ _DISP = f"""{cells_sql('nation', 'yr', 'status')}, {LINES_SUPPLIER}, lx AS (SELE
     min(a / p) AS minimum, median(a / p) AS median, max(a / p) AS maximum FROM t JOIN m USING (nation) GROUP BY nation)"""
 
 
-def _scalar_rows(spark, sf):
-    cells = order_cells(spark, sf, "nation", "yr", "status")
+def _scalar_rows(spark, sf, cells=None):
+    if cells is None:
+        cells = materialise(order_cells(spark, sf, "nation", "yr", "status"), "cells")
     m = lines_supplier(spark, sf).groupBy("nation", "yr", F.col("linestatus").alias("status")).agg(F.count("*").cast("double").alias("m"))
     return cells, cells.join(m, ["nation", "yr", "status"], "left").select("nation", "yr", "status", (F.col("m") / F.col("n")).alias("s2"))
 
 
-def dispersion(spark, sf):
-    cells, sc = _scalar_rows(spark, sf)
+def dispersion(spark, sf, cells=None):
+    cells, sc = _scalar_rows(spark, sf, cells)
     return draws.log_dispersion(sc, cells, ["nation", "status"], "nation", "yr", "s2", "n", 2000)
 
 
@@ -247,8 +248,8 @@ _DRAW = f"""{_FACT}, dr AS (SELECT draw_id, c.nation, c.yr, c.status, n * CASE W
 
 
 def nation_draws(spark, sf):
-    cells = order_cells(spark, sf, "nation", "yr", "status")
-    f = draws.lognormal_factors(dispersion(spark, sf), "nation", "log_sd", 1, DRAWS, SEED)
+    cells = materialise(order_cells(spark, sf, "nation", "yr", "status"), "cells")
+    f = draws.lognormal_factors(dispersion(spark, sf, cells), "nation", "log_sd", 1, DRAWS, SEED)
     return draws.apply_factors(draws.with_draws(cells, 1, DRAWS), f, ["draw_id", "nation"], F.col("status") != "F", "n")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
+import math
 import tempfile
 import uuid
 
@@ -48,10 +50,24 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Materialise ``df`` through a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+_run_folders: dict[str, str] = {}
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, removed when the program ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _run_folders:
+        _run_folders[app] = f"{ensure_checkpoint_dir(spark)}/run-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _run_folders[app])
+    return _run_folders[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    except Exception as gone:  # the session has ended; the shared folder's own clean-up is left
+        log.info("intermediate tables stay in %s: %s", path, gone)
 
 
 def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
@@ -60,7 +76,7 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     For tables that several passes scan: the passes then see short plans, file
     statistics and column pruning, and a lost executor re-reads files.
     """
-    path = f"{ensure_checkpoint_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -72,7 +88,9 @@ def _literal(v) -> str:
         return "true" if v else "false"
     if isinstance(v, str):
         return "'" + v.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return f"{v!r}D" if isinstance(v, float) else repr(v)
+    if isinstance(v, float):
+        return f"{v!r}D" if math.isfinite(v) else f"double('{v}')"
+    return repr(v)
 
 
 def small_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:

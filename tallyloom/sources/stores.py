@@ -40,13 +40,25 @@ def write_draw_block(df: DataFrame, path: str, block: int) -> None:
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("draw_block").parquet(path)
 
 
-def pending_blocks(spark: SparkSession, path: str, blocks: int, per_block: int) -> DataFrame:
-    """Blocks that do not yet hold all their draws: where a restart continues."""
-    done = (
-        spark.read.parquet(path).groupBy("draw_block").agg(F.count_distinct("draw_id").alias("d")).filter(F.col("d") == per_block)
-    )
-    wanted = spark.range(blocks).select(F.col("id").cast("int").alias("draw_block"))
-    return wanted.join(done.select(F.col("draw_block").cast("int").alias("draw_block")), "draw_block", "left_anti")
+def pending_blocks(spark: SparkSession, path: str, total: int, per_block: int, first: int = 1) -> DataFrame:
+    """Blocks that do not hold exactly their draws: where a restart continues.
+
+    Block b has the ids from ``first + b * per_block`` on; the last block may be short. A block
+    with a missing or a foreign id is pending.
+    """
+    block = F.floor((F.col("draw_id") - first) / per_block).cast("int")
+    wanted = spark.range(first, first + total).select(F.col("id").alias("draw_id")).select("draw_id", block.alias("draw_block"))
+    have = spark.read.parquet(path).select(F.col("draw_id").cast("bigint").alias("draw_id"), F.col("draw_block").cast("int").alias("draw_block")).distinct()
+    keys = ["draw_id", "draw_block"]
+    missing = wanted.join(have, keys, "left_anti")
+    foreign = have.join(wanted, keys, "left_anti").join(wanted.select("draw_block").distinct(), "draw_block", "left_semi")
+    return missing.select("draw_block").unionByName(foreign.select("draw_block")).distinct()
+
+
+def store_exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything was written at ``path``; other file system errors are raised."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def draw_id_differences(draws: DataFrame, expected: int) -> DataFrame:

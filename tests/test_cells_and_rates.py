@@ -9,7 +9,9 @@ from conftest import rows
 from tallyloom.functions import ages, columns
 from tallyloom.operators import aggregate, grid, hierarchy, rates, schema, validate
 from tallyloom.operators.quantile import weighted_quantiles
+from tallyloom.plans import views
 from tallyloom.session import small_table
+from tallyloom.sources import stores
 
 FAILED = (PySparkException, Py4JError)
 
@@ -50,6 +52,51 @@ def test_complete_codes_short_and_long_lists_agree(spark):
     assert rows(short, "g", "c", "v") == rows(long, "g", "c", "v")
 
 
+@pytest.mark.parametrize("codes", [64, 65])
+def test_complete_codes_keeps_a_missing_key(spark, codes):
+    df = spark.createDataFrame([(None, 5, 5.0), (1, 7, 2.0), (1, None, 4.0), (2, 99, 3.0)], "g int, c int, v double")
+    out = grid.complete_codes(df, ["g"], "c", list(range(1, codes + 1)), "v")
+    assert out.count() == 3 * codes
+    assert {r["g"]: r["t"] for r in out.groupBy("g").agg(F.sum("v").alias("t")).collect()} == {None: 5.0, 1: 2.0, 2: 0.0}
+
+
+def test_complete_cells_keeps_cells_with_a_missing_level(spark):
+    df = spark.createDataFrame([("a", 1, 3.0), (None, 1, 5.0), ("b", None, 2.0)], "x string, y int, v double")
+    out = grid.complete_cells(df, ["x", "y"], ["v"])
+    assert out.agg(F.sum("v")).first()[0] == 10.0
+    assert rows(out, "x", "y", "v") == [("a", 1, 3.0), ("b", 1, 0.0), ("b", None, 2.0), (None, 1, 5.0)]
+
+
+def test_spread_join_deals_a_dominant_group(spark):
+    many = spark.range(1000).select(F.lit(1).alias("g"), F.col("id").alias("v"))
+    few = spark.createDataFrame([(1, 2.0), (2, 3.0)], "g int, w double")
+    out = grid.spread_join(many, few, ["g"])
+    assert out.columns == ["g", "v", "w"] and out.count() == 1000
+    assert grid.spread_join(many.withColumn("g", F.lit(3)), few, ["g"], "left").filter("w is null").count() == 1000
+
+
+def test_small_table_holds_every_double(spark):
+    got = [r[0] for r in small_table(spark, [(float("inf"),), (float("-inf"),), (float("nan"),), (1.5,)], "x double").collect()]
+    assert got[0] == float("inf") and got[1] == float("-inf") and got[2] != got[2] and got[3] == 1.5
+
+
+def test_pending_blocks_follow_the_exact_ids(spark, tmp_path):
+    path = str(tmp_path / "draws")
+    assert not stores.store_exists(spark, path)
+    ids = [(1, 0), (2, 0), (3, 1), (9, 1), (5, 2)]  # block 1 has a foreign id and misses 4; block 2 is short and complete
+    spark.createDataFrame(ids, "draw_id int, draw_block int").write.partitionBy("draw_block").parquet(path)
+    assert stores.store_exists(spark, path)
+    assert [r[0] for r in stores.pending_blocks(spark, path, 5, 2).collect()] == [1]
+
+
+def test_percent_detection_at_the_border(spark):
+    for values in ([1.0] * 99 + [3.0], [1.0] * 98 + [1.4, 2.0], [0.5] * 200 + [90.0], [2.0] * 5, [None, 0.2], [1.0] * 100 + [60.0, 70.0]):
+        df = spark.createDataFrame([("a", v) for v in values], "g string, v double")
+        exact = df.agg(F.percentile(F.abs("v"), F.lit(0.99))).first()[0]
+        got = views.percent_to_proportion(df, ["g"], "v").agg(F.max("v")).first()[0]
+        assert got == max(v for v in values if v is not None) / (100.0 if exact > 1.5 else 1.0)
+
+
 def test_bounded_attachment(spark):
     left, right = spark.range(3).withColumnRenamed("id", "a"), spark.range(4).withColumnRenamed("id", "b")
     assert grid.attach_all(left, right).count() == 12

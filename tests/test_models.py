@@ -257,3 +257,12 @@ def test_borrowed_fractions_and_effective_size(spark):
     assert got["p", 1, 1]["fraction"] == 0.75 and got["p", 1, 1]["effective_n"] == 20.0
     assert got["p", 2, 1]["fraction"] == 0.75 and got["p", 2, 1]["fraction_source"] == "borrowed:place" and got["p", 2, 1]["effective_n"] == 25.0
     assert got["q", 1, 2]["fraction"] == 0.25 and got["q", 1, 2]["fraction_source"] == "borrowed:all" and got["q", 1, 2]["effective_n"] == 32.0
+
+
+def test_fallback_slopes_share_one_draw_per_cause(spark):
+    rows_ = [("a", 1, 0.5, 0.04, "main_effect_fallback"), ("a", 2, 0.5, 0.04, "main_effect_fallback"), ("a", 3, 0.5, 0.04, "full_interaction"), ("b", 1, 0.5, 0.04, "full_interaction")]
+    fits = spark.createDataFrame(rows_, "cause string, place int, g double, var_g double, model_status string")
+    got = {(r["draw_id"], r["cause"], r["place"]): r["g"] for r in draws.draw_slopes(fits, ["cause", "place"], 1, 5, 3, shared=["cause"]).collect()}
+    for d in range(1, 6):
+        assert got[d, "a", 1] == got[d, "a", 2]
+        assert len({got[d, "a", 1], got[d, "a", 3], got[d, "b", 1]}) == 3

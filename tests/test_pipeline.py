@@ -54,7 +54,7 @@ def inputs(spark):
     env = grid_df(spark, Death_Prov=S.provinces, Sex=[1, 2], age5=S.ages, DeathYear=S.envelope_anchors).withColumns({"survey": 10.0 + F.col("age5") % 5, "level": F.lit(0.0)})
     prev = grid_df(spark, Death_Prov=S.provinces, DeathYear=years, age5=list(range(2, 21))).withColumn("prevalence", 0.02 * (F.col("DeathYear") - 1998) + 0.001 * F.col("age5"))
     reg = grid_df(spark, Death_Prov=S.provinces, Sex=[1, 2], age5=list(range(2, 21)), DeathYear=years, inj=[1, 2]).withColumn("npr", 100.0 + F.col("DeathYear") - 1998)
-    za = spark.createDataFrame([(c, c, 1.0, "detailed") for c in range(1, 140)], "nbdcode int, za_code int, weight double, hierarchy string")
+    za = spark.createDataFrame([(c, c, 1.0, "detailed") for c in sorted(set(cfg.ALL_CODES))], "nbdcode int, za_code int, weight double, hierarchy string")
     sch = grid_df(spark, Sex=[1, 2], age5=S.ages).withColumns(rates.discounted_years((85.0 - F.col("age5") * 4).cast("double")))
     w = spark.createDataFrame([(i, 1 / 18) for i in range(1, 19)], "standard_age int, F double")
     groups = verified_rows(spark)
