@@ -299,29 +299,30 @@ def parts_without_lines(spark, sf):
 
 @query(
     "full_outer_with_presence", "J3",
-    """WITH c AS (SELECT c_nationkey AS nation, CAST(sum(CASE WHEN c_acctbal < 0 THEN 1 ELSE 0 END) AS DOUBLE) AS customers FROM customer WHERE c_acctbal < 0 GROUP BY 1),
-    s AS (SELECT s_nationkey AS nation, CAST(count(*) AS DOUBLE) AS suppliers FROM supplier GROUP BY 1)
-    SELECT nation, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, customers IS NOT NULL AS in_customers, suppliers IS NOT NULL AS in_suppliers
-    FROM c FULL JOIN s USING (nation)""",
+    """WITH c AS (SELECT c_nationkey AS nation, CAST(floor(c_acctbal / 1000) AS INTEGER) AS band, CAST(count(*) AS DOUBLE) AS customers FROM customer GROUP BY ALL),
+    s AS (SELECT s_nationkey AS nation, CAST(floor(s_acctbal / 1000) AS INTEGER) AS band, CAST(count(*) AS DOUBLE) AS suppliers FROM supplier GROUP BY ALL)
+    SELECT nation, band, coalesce(customers, 0) AS customers, coalesce(suppliers, 0) AS suppliers, customers IS NOT NULL AS in_customers, suppliers IS NOT NULL AS in_suppliers
+    FROM c FULL JOIN s USING (nation, band)""",
 )
 def full_outer_with_presence(spark, sf):
-    c = table(spark, sf, "customer").filter("c_acctbal < 0").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").cast("double").alias("customers"))
-    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").cast("double").alias("suppliers"))
-    j = c.join(s, "nation", "full_outer")
+    band = lambda name: F.floor(F.col(name) / 1000).cast("int").alias("band")
+    c = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation"), band("c_acctbal")).agg(F.count("*").cast("double").alias("customers"))
+    s = table(spark, sf, "supplier").groupBy(F.col("s_nationkey").alias("nation"), band("s_acctbal")).agg(F.count("*").cast("double").alias("suppliers"))
+    j = c.join(s, ["nation", "band"], "full_outer")
     return j.withColumns({"in_customers": F.col("customers").isNotNull(), "in_suppliers": F.col("suppliers").isNotNull()}).fillna(0.0, ["customers", "suppliers"])
 
 
 @query(
     "code_domain_set_operations", "O6 V2",
-    """WITH a AS (SELECT DISTINCT c_nationkey AS nation FROM customer WHERE c_acctbal < 0), b AS (SELECT DISTINCT s_nationkey AS nation FROM supplier)
-    SELECT nation, 'left_only' AS side FROM a WHERE nation NOT IN (SELECT nation FROM b)
-    UNION ALL SELECT nation, 'right_only' FROM b WHERE nation NOT IN (SELECT nation FROM a)
-    UNION ALL SELECT nation, 'both' FROM a WHERE nation IN (SELECT nation FROM b)""",
+    """WITH a AS (SELECT DISTINCT CAST(floor(c_acctbal / 50) AS INTEGER) AS band FROM customer), b AS (SELECT DISTINCT CAST(floor(s_acctbal / 50) AS INTEGER) AS band FROM supplier)
+    SELECT band, 'left_only' AS side FROM a WHERE band NOT IN (SELECT band FROM b)
+    UNION ALL SELECT band, 'right_only' FROM b WHERE band NOT IN (SELECT band FROM a)
+    UNION ALL SELECT band, 'both' FROM a WHERE band IN (SELECT band FROM b)""",
 )
 def code_domain_set_operations(spark, sf):
-    a = table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("nation"))
-    b = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
-    return validate.same_domain(a, b, ["nation"]).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
+    a = table(spark, sf, "customer").select(F.floor(F.col("c_acctbal") / 50).cast("int").alias("band"))
+    b = table(spark, sf, "supplier").select(F.floor(F.col("s_acctbal") / 50).cast("int").alias("band"))
+    return validate.same_domain(a, b, ["band"]).unionByName(a.intersect(b).withColumn("side", F.lit("both")))
 
 
 @query(
@@ -433,11 +434,13 @@ def mapping_contract_check(spark, sf):
 
 @query(
     "unmapped_mass", "A8 V13 J4",
-    f"""WITH {cells_sql('nation', 'yr')} SELECT nation, sum(n) AS amount FROM cells WHERE nation NOT IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) GROUP BY nation""",
+    """SELECT o_custkey AS account, CAST(sum(o_totalprice) AS DOUBLE) AS amount FROM orders WHERE o_custkey NOT IN (SELECT s_suppkey FROM supplier) GROUP BY 1""",
 )
 def unmapped_mass(spark, sf):
-    mapping = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
-    return hierarchy.unmapped_mass(order_cells(spark, sf, "nation", "yr"), mapping, "nation", "n")
+    # account numbers are those of suppliers; orders of other accounts are not mapped
+    mapping = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("account"))
+    orders = table(spark, sf, "orders").select(F.col("o_custkey").alias("account"), F.col("o_totalprice").cast("double").alias("price"))
+    return rounded(hierarchy.unmapped_mass(orders, mapping, "account", "price"), 2)
 
 
 @query(
@@ -453,8 +456,8 @@ def series_mapping_of_measures(spark, sf):
 
 @query(
     "supported_series_report", "A22 V16",
-    f"""WITH m AS (SELECT * FROM {_LAYERS_SQL} UNION ALL SELECT 3, 400, 1.0, 'dup' UNION ALL SELECT 3, 400, 1.0, 'dup'),
-    have AS (SELECT DISTINCT s_nationkey AS nation FROM supplier WHERE s_acctbal > 5000),
+    f"""WITH m AS (SELECT * FROM {_LAYERS_SQL} UNION ALL SELECT 3, 400, 1.0, 'dup' UNION ALL SELECT 3, 400, 1.0, 'dup' UNION ALL SELECT 77, 401, 1.0, 'gap' UNION ALL SELECT 4, 401, 1.0, 'gap'),
+    have AS (SELECT DISTINCT s_nationkey AS nation FROM supplier),
     s AS (SELECT target, nation, sum(weight) AS w FROM m GROUP BY ALL), f AS (SELECT s.*, h.nation IS NULL AS gone FROM s LEFT JOIN have h USING (nation))
     SELECT CAST(target AS INTEGER) AS target, count(*) AS components, count(*) FILTER (gone) AS missing, count(*) FILTER (w > 1 + 1e-12) AS overlapping,
       coalesce(string_agg(CAST(nation AS VARCHAR), ',' ORDER BY CAST(nation AS VARCHAR)) FILTER (gone), '') AS missing_codes,
@@ -462,21 +465,24 @@ def series_mapping_of_measures(spark, sf):
     FROM f GROUP BY target""",
 )
 def supported_series_report(spark, sf):
-    extra = small_table(spark, [(3, 400, 1.0, "dup")] * 2, "nation int, target int, weight double, hierarchy string")
-    have = table(spark, sf, "supplier").filter("s_acctbal > 5000").select(F.col("s_nationkey").alias("nation"))
+    extra = small_table(spark, [(3, 400, 1.0, "dup")] * 2 + [(77, 401, 1.0, "gap"), (4, 401, 1.0, "gap")], "nation int, target int, weight double, hierarchy string")
+    have = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("nation"))
     return hierarchy.supported_series(region_mapping(spark).unionByName(extra), have, "target", "nation")
 
 
 @query(
     "series_membership_differences", "V16 A22",
-    """WITH d AS (SELECT DISTINCT n_regionkey AS series, n_nationkey AS nation FROM nation),
-    c AS (SELECT DISTINCT n_regionkey AS series, c_nationkey AS nation FROM customer JOIN nation ON n_nationkey = c_nationkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal < -900)
-    SELECT series, nation, 'derived_only' AS side FROM d WHERE (series, nation) NOT IN (SELECT (series, nation) FROM c)""",
+    """WITH c AS (SELECT DISTINCT c_nationkey AS series, CAST(floor(c_acctbal / 500) AS INTEGER) AS band FROM customer),
+    s AS (SELECT DISTINCT s_nationkey AS series, CAST(floor(s_acctbal / 500) AS INTEGER) AS band FROM supplier)
+    SELECT series, band, 'configured_only' AS side FROM c WHERE (series, band) NOT IN (SELECT (series, band) FROM s)
+    UNION ALL SELECT series, band, 'derived_only' FROM s WHERE (series, band) NOT IN (SELECT (series, band) FROM c)""",
 )
 def series_membership_differences(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("series"), F.col("n_nationkey").alias("nation"))
-    c = table(spark, sf, "customer").filter("c_mktsegment = 'BUILDING' AND c_acctbal < -900").select(F.col("c_nationkey").alias("nation"))
-    return hierarchy.membership_differences(c.join(n, "nation").select("series", "nation"), n, "series", "nation")
+    # balance bands that occur among a nation's customers and among its suppliers
+    band = lambda name: F.floor(F.col(name) / 500).cast("int").alias("band")
+    c = table(spark, sf, "customer").select(F.col("c_nationkey").alias("series"), band("c_acctbal"))
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("series"), band("s_acctbal"))
+    return hierarchy.membership_differences(c, s, "series", "band")
 
 
 @query(

@@ -351,14 +351,18 @@ def percent_or_proportion_detection(spark, sf):
 
 @query(
     "harmonised_external_series", "Q7 J9",
-    """SELECT n_nationkey, n_regionkey, r_name, n_nationkey % 5 AS geo FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name <> 'ASIA'""",
+    """WITH s AS (SELECT DISTINCT CAST(floor(s_acctbal / 50) AS INTEGER) AS band FROM supplier), c AS (SELECT CAST(floor(c_acctbal / 50) AS INTEGER) AS band, c_nationkey, count(*) AS customers FROM customer GROUP BY ALL)
+    SELECT c.band, n_name, customers, s.band IS NOT NULL AS mapped FROM c JOIN nation ON n_nationkey = c_nationkey LEFT JOIN s ON s.band = c.band""",
 )
 def harmonised_external_series(spark, sf):
-    n = table(spark, sf, "nation").select("n_nationkey", "n_regionkey")
-    r = table(spark, sf, "region").filter("r_name <> 'ASIA'").select(F.col("r_regionkey").alias("n_regionkey"), "r_name")
-    g = table(spark, sf, "nation").select("n_nationkey", (F.col("n_nationkey") % 5).alias("geo"))
-    mapped, _ = views.harmonise_external(n, {"n_regionkey": r, "n_nationkey": g})
-    return mapped.select("n_nationkey", "n_regionkey", "r_name", "geo")
+    # customers by balance band and nation; bands are known where a supplier has one
+    band = lambda name: F.floor(F.col(name) / 50).cast("int").alias("band")
+    c = table(spark, sf, "customer").groupBy(band("c_acctbal"), "c_nationkey").agg(F.count("*").alias("customers"))
+    bands = table(spark, sf, "supplier").select(band("s_acctbal")).distinct().withColumn("known", F.col("band"))
+    names = table(spark, sf, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    found = views.harmonise_external(c, {"band": bands, "c_nationkey": names})
+    both = [df.select("band", "n_name", "customers", F.lit(flag).alias("mapped")) for df, flag in zip(found, (True, False))]
+    return both[0].unionByName(both[1])
 
 
 @query(

@@ -97,12 +97,12 @@ _KEY = "substr(regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g'), 1, 3)"
 
 @query(
     "lookup_with_age_overrides", "P12 P10",
-    f"""WITH l AS (SELECT {_KEY} AS k, min(p_size) AS c FROM part WHERE p_size <= 25 GROUP BY 1), x AS (SELECT p_partkey, {_KEY} AS k, p_size AS age, CASE WHEN p_size < 10 THEN 4 ELSE 9 END AS u5 FROM part)
+    f"""WITH l AS (SELECT {_KEY} AS k, min(p_size) AS c FROM part GROUP BY 1), x AS (SELECT p_partkey, {_KEY} AS k, p_size AS age, CASE WHEN p_size < 10 THEN 4 ELSE 9 END AS u5 FROM part)
     SELECT p_partkey, CAST(CASE WHEN x.k = 'RED' AND age >= 30 THEN 901 WHEN x.k IN ('RED', 'BLU') AND u5 = 4 THEN 900 ELSE l.c END AS INTEGER) AS code FROM x LEFT JOIN l ON l.k = x.k""",
 )
 def lookup_with_age_overrides(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size")
-    lookup = p.filter("p_size <= 25").groupBy(icd_category("p_name").alias("category")).agg(F.min("p_size").alias("code"))
+    lookup = p.groupBy(icd_category("p_name").alias("category")).agg(F.min("p_size").alias("code"))
     x = p.withColumn("u5", F.when(F.col("p_size") < 10, 4).otherwise(9))
     over = [rules.CodeOverride(("RED", "BLU"), "_u5 = 4", 900), rules.CodeOverride(("RED",), "_age >= 30", 901)]
     return rules.map_codes(x, "p_name", lookup, "code", over, 143, "p_size", "u5").select("p_partkey", "code")

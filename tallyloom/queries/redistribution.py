@@ -291,7 +291,7 @@ def named_source_with_donors(spark, sf):
     "expand_totals_by_donor_shares", "R12 R13",
     f"""WITH {cells_sql('nation', 'regionkey', 'yr', 'status', 'segment')},
     tot AS (SELECT yr, status, sum(n) AS n, count(*) AS eff FROM cells GROUP BY ALL),
-    d AS (SELECT yr, nation, sum(n) AS w FROM cells WHERE segment = 'BUILDING' AND yr <> 1999 GROUP BY ALL),
+    d AS (SELECT yr + 1 AS yr, nation, sum(n) AS w FROM cells GROUP BY ALL),
     tw AS (SELECT yr, sum(w) AS tw FROM d GROUP BY ALL), nat AS (SELECT n_nationkey AS nation FROM nation)
     SELECT tot.yr, tot.status, nat.nation, round(tot.n * s, 6) AS n, round(CAST(tot.eff AS DOUBLE) * s, 6) AS eff, round(s, 6) AS share,
       CASE WHEN tw > 0 THEN 'donor' ELSE 'equal' END AS share_source
@@ -301,7 +301,7 @@ def named_source_with_donors(spark, sf):
 def expand_totals_by_donor_shares(spark, sf):
     cells = order_cells(spark, sf, "nation", "yr", "status", "segment")
     totals = cells.groupBy("yr", "status").agg(F.sum("n").alias("n"), F.count("*").cast("double").alias("eff"))
-    donors_ = cells.filter("segment = 'BUILDING' AND yr <> 1999")
+    donors_ = cells.withColumn("yr", F.col("yr") + 1)  # last year's shares; the first year has none
     out = redistribute.expand_by_shares(
         totals, donors_.withColumnRenamed("n", "w"), ["yr"], ["nation"], "n", "w", {"nation": list(range(25))}, "eff"
     )

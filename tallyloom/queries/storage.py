@@ -131,22 +131,22 @@ def domain_store_slice(spark, sf):
 
 @query(
     "draw_store_completeness", "S11 S12 O6",
-    """WITH d AS (SELECT DISTINCT CAST(1 + (o_orderkey % 37) AS BIGINT) AS draw_id FROM orders WHERE o_totalprice > 490000) SELECT i AS draw_id, 'missing' AS status FROM range(1, 41) t(i) WHERE i NOT IN (SELECT draw_id FROM d)""",
+    """WITH d AS (SELECT DISTINCT CAST(floor(o_totalprice / 50) AS BIGINT) AS draw_id FROM orders) SELECT i AS draw_id, 'missing' AS status FROM range(1, 10001) t(i) WHERE i NOT IN (SELECT draw_id FROM d)
+    UNION ALL SELECT draw_id, 'unexpected' FROM d WHERE draw_id NOT BETWEEN 1 AND 10000""",
 )
 def draw_store_completeness(spark, sf):
     path = f"{scratch(spark)}/draws"
-    o = table(spark, sf, "orders").filter("o_totalprice > 490000").select((F.col("o_orderkey") % 37 + 1).cast("int").alias("draw_id"), "o_orderkey")
+    o = table(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 50).cast("int").alias("draw_id"), "o_orderkey")
     stores.write_draw_block(o, path, 0)
-    return stores.draw_id_differences(spark.read.parquet(path), 40)
+    return stores.draw_id_differences(spark.read.parquet(path), 10_000)
 
 
-@query("pending_draw_blocks", "S11 D15", """WITH o AS (SELECT DISTINCT o_custkey AS i FROM orders WHERE o_orderstatus = 'P'), w AS (SELECT CAST(i AS BIGINT) AS i, CAST(floor((i - 1) / 7) AS INTEGER) AS b FROM range(1, (SELECT max(c_custkey) FROM customer) + 1) t(i)) SELECT DISTINCT b AS draw_block FROM w WHERE i NOT IN (SELECT i FROM o)""")
+@query("pending_draw_blocks", "S11 D15", """WITH o AS (SELECT DISTINCT CAST(floor(o_totalprice / 50) AS BIGINT) AS i FROM orders), w AS (SELECT CAST(i AS BIGINT) AS i, CAST(floor((i - 1) / 7) AS INTEGER) AS b FROM range(1, 10001) t(i)) SELECT DISTINCT b AS draw_block FROM w WHERE i NOT IN (SELECT i FROM o)""")
 def pending_draw_blocks(spark, sf):
     path = f"{scratch(spark)}/draws"
-    ids = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select(F.col("o_custkey").alias("draw_id")).distinct()
+    ids = table(spark, sf, "orders").select(F.floor(F.col("o_totalprice") / 50).alias("draw_id")).distinct()
     ids.select("draw_id", F.floor((F.col("draw_id") - 1) / 7).cast("int").alias("draw_block")).write.parquet(path)
-    total = table(spark, sf, "customer").agg(F.max("c_custkey")).first()[0]
-    return stores.pending_blocks(spark, path, total, 7)
+    return stores.pending_blocks(spark, path, 10_000, 7)
 
 
 @query("csv_stack_with_file_names", "S14", "SELECT CAST(l_returnflag AS VARCHAR) AS flag, count(*) AS \"rows\", sum(l_quantity) AS qty FROM lineitem GROUP BY 1")
