@@ -273,14 +273,20 @@ def apply_move_rules(df: DataFrame, rules, prefix: str = "c", multipliers: str |
     return df
 
 
-def move_rule_audit(spark, rules) -> DataFrame:
-    """One row per rule: its codes and how many targets share the mass."""
-    rows = [
-        (r.rule_id, ",".join(map(str, r.sources)), len(r.targets), ",".join(map(str, r.targets)), r.condition or "")
-        for r in rules
-    ]
-    return small_table(spark, rows, "rule_id string, source_codes string, target_count int, target_codes string, condition string"
-    )
+def moved_by_rule(df: DataFrame, rules, by=(), prefix: str = "c", multipliers: str | None = None) -> DataFrame:
+    """Mass that each rule moves when the rules act in order: (by, step, rule_id, targets, cells, moved).
+
+    The fold notes what every rule takes from its sources before it acts; the notes are summed once.
+    """
+    rules, by = list(rules), list(by)
+    notes = []
+    for k, r in enumerate(rules):
+        on = f"coalesce({r.condition}, false)" if r.condition else "true"
+        taken = " + ".join(f"coalesce({prefix}{c}, 0D)" for c in r.sources)
+        df = apply_move_rules(df.withColumn(f"_moved_{k}", F.expr(f"CASE WHEN {on} THEN {taken} ELSE 0D END")), [r], prefix, multipliers)
+        notes.append(F.struct(F.lit(k + 1).alias("step"), F.lit(r.rule_id).alias("rule_id"), F.lit(len(r.targets)).alias("targets"),
+            F.count_if(F.col(f"_moved_{k}") > 0).alias("cells"), F.sum(f"_moved_{k}").alias("moved")))
+    return df.groupBy(*by).agg(F.array(*notes).alias("_n")).select(*by, F.inline("_n"))
 
 
 # ---------------------------------------------------------------- plausibility and envelopes

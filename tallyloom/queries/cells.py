@@ -648,7 +648,8 @@ def unmapped_records_with_examples(spark, sf):
 @query(
     "reconstruction_preflight", "V14 V8",
     f"""WITH {cells_sql('nation', 'yr')} SELECT 'orders_by_nation' AS pair, count(*) AS cells, CAST(0 AS DOUBLE) AS max_absolute, CAST(0 AS DOUBLE) AS max_relative, CAST(0 AS BIGINT) AS over_tolerance FROM cells
-    UNION ALL SELECT 'orders_by_year', (SELECT count(DISTINCT yr) FROM cells), 0, 0, 0""",
+    UNION ALL SELECT 'orders_by_year', (SELECT count(DISTINCT yr) FROM cells), 0, 0, 0
+    UNION ALL SELECT 'one_cell_off', count(*), 1, max(CASE WHEN nation = 3 AND yr = 1996 THEN round(1 / (n + 1), 9) ELSE 0 END), 1 FROM cells""",
 )
 def reconstruction_preflight(spark, sf):
     cells = order_cells(spark, sf, "nation", "yr", "status")
@@ -656,4 +657,7 @@ def reconstruction_preflight(spark, sf):
     saved = aggregate.grouped_sum(cells, ["nation", "yr"], ["n"])
     a = validate.table_error(saved, rebuilt, ["nation", "yr"], "n").withColumn("pair", F.lit("orders_by_nation"))
     b = validate.table_error(aggregate.grouped_sum(saved, ["yr"], ["n"]), aggregate.grouped_sum(rebuilt, ["yr"], ["n"]), ["yr"], "n").withColumn("pair", F.lit("orders_by_year"))
-    return a.unionByName(b)
+    # a rebuilt table with one count too many shows that a difference is found
+    wrong = rebuilt.withColumn("n", F.when((F.col("nation") == 3) & (F.col("yr") == 1996), F.col("n") + 1).otherwise(F.col("n")))
+    c = validate.table_error(saved, wrong, ["nation", "yr"], "n").withColumn("pair", F.lit("one_cell_off"))
+    return rounded(a.unionByName(b).unionByName(c), 9)

@@ -252,12 +252,16 @@ def envelope_exclusion_reasons(spark, sf):
 
 @query(
     "rule_sequence_audit", "R7 D16",
-    f"""WITH n AS (SELECT CAST(count(*) AS BIGINT) AS part_rows FROM part)
-    SELECT v.*, n.part_rows FROM {values([(r.rule_id, ",".join(map(str, r.sources)), len(r.targets), ",".join(map(str, r.targets)), r.condition or "") for r in TYPE_RULES], 'rule_id', 'source_codes', 'target_count', 'target_codes', 'condition')}, n""",
+    f"""WITH {_TYPES_SQL}, s0 AS (SELECT brand, band, yr, {', '.join(f'CAST(count(*) FILTER (code = {i}) AS DOUBLE) AS c{i}' for i in range(1, 7))} FROM typed GROUP BY ALL),
+    {_step('s1', 's0', 'band <= 2', 4, [1, 3])}, {_step('s2', 's1', 'band > 2', 4, [2, 6])}, {_step('s3', 's2', 'TRUE', 5, [6])}
+    SELECT 1 AS step, 'promo_small_band' AS rule_id, 2 AS targets, count(*) FILTER (c4 > 0) AS cells, round(sum(c4), 6) AS moved FROM s0 WHERE band <= 2
+    UNION ALL SELECT 2, 'promo_large_band', 2, count(*) FILTER (c4 > 0), round(sum(c4), 6) FROM s1 WHERE band > 2
+    UNION ALL SELECT 3, 'small_to_standard', 1, count(*) FILTER (c5 > 0), round(sum(c5), 6) FROM s2
+    UNION ALL SELECT 4, 'economy_late', 3, count(*) FILTER (c1 > 0), round(sum(c1), 6) FROM s3 WHERE yr >= 1999""",
 )
 def rule_sequence_audit(spark, sf):
-    rows = spark.read.parquet(f"{sf}/part.parquet").agg(F.count("*").alias("part_rows"))
-    return redistribute.move_rule_audit(spark, TYPE_RULES).withColumn("part_rows", rows.scalar())
+    wide = grid.pivot_codes(type_cells(spark, sf, "brand"), ["brand", "band", "yr"], "code", list(range(1, 7)), "n")
+    return rounded(redistribute.moved_by_rule(wide, TYPE_RULES))
 
 
 _NS_KEYS = ["nation", "yr", "mon", "segment"]

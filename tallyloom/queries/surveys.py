@@ -367,12 +367,16 @@ def point_draw_alignment(spark, sf):
 
 @query(
     "conservation_by_draw", "V15 V7 R4",
-    f"""WITH {_DRAW}, dn AS (SELECT draw_id, nation, sum(n) AS t FROM dr GROUP BY ALL) SELECT CAST(draw_id AS INTEGER) AS draw_id, nation, round(t, 4) AS before, round(t, 4) AS after, CAST(0 AS DOUBLE) AS error FROM dn""",
+    f"""WITH {_DRAW}, dn AS (SELECT draw_id, nation, sum(n) AS t FROM dr GROUP BY ALL), twin AS (SELECT 'conserving' AS run, *, t AS a FROM dn UNION ALL SELECT 'lossy', *, CASE WHEN nation = 3 THEN 0.9 * t ELSE t END FROM dn)
+    SELECT run, CAST(draw_id AS INTEGER) AS draw_id, nation, round(t, 4) AS before, round(a, 4) AS after, round(abs(t - a) / greatest(1, t), 4) AS error FROM twin""",
 )
 def conservation_by_draw(spark, sf):
     x = nation_draws(spark, sf)
     after = redistribute.redistribute_unknown(x, "status", "n", ["draw_id", "nation", "yr"], "P", ["F", "O"])
-    return rounded(validate.group_errors(x, after, ["draw_id", "nation"], "n"), 4)
+    # a twin that loses a tenth of one nation shows that the check finds a loss
+    lossy = after.withColumn("n", F.when(F.col("nation") == 3, 0.9 * F.col("n")).otherwise(F.col("n")))
+    runs = [validate.group_errors(x, y, ["draw_id", "nation"], "n").withColumn("run", F.lit(name)) for name, y in (("conserving", after), ("lossy", lossy))]
+    return rounded(runs[0].unionByName(runs[1]), 4)
 
 
 @query(
@@ -436,7 +440,15 @@ def stochastic_rule_weights(spark, sf):
 
 @query("stochastic_rule_weight_audit", "D16 D9")
 def stochastic_rule_weight_audit(spark, sf):
-    from tallyloom.queries.redistribution import TYPE_RULES
+    """Mass that each rule moves in each draw of the target weights, and how the weights spread."""
+    from tallyloom.queries.redistribution import TYPE_RULES, type_cells
 
-    n = table(spark, sf, "part").agg(F.count("*").alias("part_rows"))
-    return draws.multiplier_audit(draws.rule_multipliers(spark, TYPE_RULES, 1, 20, SEED)).withColumn("part_rows", n.scalar())
+    wide = materialise(grid.pivot_codes(type_cells(spark, sf), ["band", "yr"], "code", list(range(1, 7)), "n"), "cells")
+    mult = materialise(draws.rule_multipliers(spark, TYPE_RULES, 1, 20, SEED), "multipliers")
+    x = draws.with_draws(wide, 1, 20).join(mult, "draw_id", "left")
+    moved = redistribute.moved_by_rule(x, TYPE_RULES, ["draw_id"], multipliers="multipliers")
+    spread = draws.multiplier_audit(mult).select("mean_multiplier_cv", "min_multiplier", "max_multiplier")
+    per = moved.groupBy("step", "rule_id", "targets").agg(
+        F.count("*").alias("draws"), F.avg("moved").alias("mean_moved"), F.min("moved").alias("min_moved"), F.max("moved").alias("max_moved")
+    )
+    return grid.attach_all(per, spread)
