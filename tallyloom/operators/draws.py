@@ -217,19 +217,25 @@ def draw_pair(a: Column, b: Column, vaa: Column, vab: Column, vbb: Column, *key)
 
 
 @F.pandas_udf(ArrayType(DoubleType()))
-def mvn_draw(key: pd.Series, mean: pd.Series, covariance: pd.Series) -> pd.Series:
-    """k-variate normal draw; the covariance comes flattened, negative eigenvalues are truncated."""
+def covariance_root(covariance: pd.Series) -> pd.Series:
+    """Root of a flattened covariance, flattened by rows; negative eigenvalues are truncated."""
     out = []
-    for k, m, c in zip(key, mean, covariance):
-        m = np.asarray(m, float)
-        c = np.asarray(c, float).reshape(len(m), len(m))
-        vals, vecs = np.linalg.eigh(0.5 * (c + c.T))
-        z = np.random.Generator(np.random.Philox(key=int(k, 16))).standard_normal(len(m))
-        out.append(m + vecs @ (np.sqrt(np.maximum(vals, 0.0)) * z))
+    for c in covariance:
+        k = math.isqrt(len(c))
+        m = np.asarray(c, float).reshape(k, k)
+        vals, vecs = np.linalg.eigh(0.5 * (m + m.T))
+        out.append((vecs * np.sqrt(np.maximum(vals, 0.0))).ravel())
     return pd.Series(out)
 
 
 def mvn_draws(fits: DataFrame, keys, mean: str, covariance: str, first: int, last: int, seed: int) -> DataFrame:
-    x = with_draws(fits, first, last)
-    key = _key(seed, F.col("draw_id"), "mvn", *[F.col(k) for k in keys])
-    return x.withColumn("coefficients", mvn_draw(key, F.col(mean), F.col(covariance)))
+    """k-variate normal draws: each fit is factored once, each draw multiplies its root by hash normals."""
+    x = with_draws(fits.withColumn("_root", covariance_root(F.col(covariance))), first, last)
+    k = F.size(mean)
+    z = F.transform(F.sequence(F.lit(1), k), lambda j: normal(seed, F.col("draw_id"), "mvn", *[F.col(c) for c in keys], j))
+    x = x.withColumn("_z", z)
+    product = F.transform(
+        F.col(mean),
+        lambda m, i: m + F.aggregate(F.zip_with(F.slice("_root", i * k + 1, k), F.col("_z"), lambda r, s: r * s), F.lit(0.0), lambda a, b: a + b),
+    )
+    return x.withColumn("coefficients", product).drop("_root", "_z")

@@ -139,7 +139,7 @@ def type_cells(spark, sf, *keys):
     return aggregate.tally(x, [*keys, "band", "yr", "code"], "n")
 
 
-_TYPES_SQL = f"""{LINES_PART}, typed AS (SELECT *, CAST(list_position({P_TYPES}, ptype) AS INTEGER) AS code,
+TYPES_SQL = f"""{LINES_PART}, typed AS (SELECT *, CAST(list_position({P_TYPES}, ptype) AS INTEGER) AS code,
     CAST(ceil(psize / 10.0) AS INTEGER) AS band FROM lp)"""
 
 
@@ -159,7 +159,7 @@ def _step(name, prev, on, src, tgts):
 
 @query(
     "ordered_rules_part_types", "R7 A5",
-    f"""WITH {_TYPES_SQL}, s0 AS (SELECT brand, band, yr,
+    f"""WITH {TYPES_SQL}, s0 AS (SELECT brand, band, yr,
       {', '.join(f'CAST(count(*) FILTER (code = {i}) AS DOUBLE) AS c{i}' for i in range(1, 7))} FROM typed GROUP BY ALL),
     {_step('s1', 's0', 'band <= 2', 4, [1, 3])}, {_step('s2', 's1', 'band > 2', 4, [2, 6])},
     {_step('s3', 's2', 'TRUE', 5, [6])}, {_step('s4', 's3', 'yr >= 1999', 1, [2, 3, 6])}
@@ -186,7 +186,7 @@ def _excl(i):
     return f"({conds[i]})"
 
 
-_ENV_SQL = f"""{_TYPES_SQL}, base AS (SELECT brand, band, yr, code, CAST(count(*) AS DOUBLE) AS n FROM typed GROUP BY ALL),
+_ENV_SQL = f"""{TYPES_SQL}, base AS (SELECT brand, band, yr, code, CAST(count(*) AS DOUBLE) AS n FROM typed GROUP BY ALL),
   fl AS (SELECT *, CASE WHEN code <= 3 THEN 'first' ELSE 'second' END AS env,
     CASE WHEN CASE code {' '.join(f'WHEN {i} THEN {_excl(i)}' for i in range(1, 7))} END THEN 0 ELSE n END AS a FROM base),
   tt AS (SELECT *, sum(n) OVER w AS tb, sum(a) OVER w AS ta FROM fl WINDOW w AS (PARTITION BY brand, band, yr, env)),
@@ -252,7 +252,7 @@ def envelope_exclusion_reasons(spark, sf):
 
 @query(
     "rule_sequence_audit", "R7 D16",
-    f"""WITH {_TYPES_SQL}, s0 AS (SELECT brand, band, yr, {', '.join(f'CAST(count(*) FILTER (code = {i}) AS DOUBLE) AS c{i}' for i in range(1, 7))} FROM typed GROUP BY ALL),
+    f"""WITH {TYPES_SQL}, s0 AS (SELECT brand, band, yr, {', '.join(f'CAST(count(*) FILTER (code = {i}) AS DOUBLE) AS c{i}' for i in range(1, 7))} FROM typed GROUP BY ALL),
     {_step('s1', 's0', 'band <= 2', 4, [1, 3])}, {_step('s2', 's1', 'band > 2', 4, [2, 6])}, {_step('s3', 's2', 'TRUE', 5, [6])}
     SELECT 1 AS step, 'promo_small_band' AS rule_id, 2 AS targets, count(*) FILTER (c4 > 0) AS cells, round(sum(c4), 6) AS moved FROM s0 WHERE band <= 2
     UNION ALL SELECT 2, 'promo_large_band', 2, count(*) FILTER (c4 > 0), round(sum(c4), 6) FROM s1 WHERE band > 2

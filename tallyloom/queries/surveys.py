@@ -10,6 +10,7 @@ from tallyloom.plans import views
 from tallyloom.queries.inputs import (
     LINES_SUPPLIER, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, lines_supplier, order_cells, table, values,
 )
+from tallyloom.queries.redistribution import TYPE_RULES, TYPES_SQL, type_cells
 from tallyloom.queries.registry import query, rounded
 from tallyloom.session import materialise, small_table
 
@@ -417,32 +418,78 @@ def fraction_intervals_in_draws(spark, sf):
     return rounded(summarise.fraction_intervals(nation_draws(spark, sf), ["nation"], "status", "n", {"open_of_all": ["O"]}, {"open_of_all": STATUSES}))
 
 
-# ---------------------------------------------------------------- draws without a SQL counterpart (Gamma variates)
+# ---------------------------------------------------------------- Gamma variates
 
 
-@query("dirichlet_composition_draws", "D7 M6")
+def log_gamma_sql(key: str, shape: str) -> str:
+    """Acceptance sampling on the same hash uniforms as the column expression."""
+    d = f"(CASE WHEN {shape} < 1 THEN {shape} + 1 ELSE {shape} END - 1.0::DOUBLE / 3)"
+    c = f"(1 / sqrt(9 * {d}))"
+    v = f"power(1 + {c} * s.x, 3)"
+    half = "0.5 / 4294967296.0::DOUBLE"
+    numbers = f"list_transform(range(1, 17), lambda j: {{'x': {z_sql(key, 'j')}, 'u': {u_sql(key, 'j', chr(39) + 'u' + chr(39))} + {half}}})"
+    tries = f"list_transform({numbers}, lambda s: CASE WHEN {v} > 0 THEN CASE WHEN ln(s.u) < 0.5 * s.x * s.x + {d} - {d} * {v} + {d} * ln({v}) THEN ln({d} * {v}) END END)"
+    first = f"list_filter({tries}, lambda y: y IS NOT NULL)[1]"
+    return f"({first} + CASE WHEN {shape} < 1 THEN ln({u_sql(key, chr(39) + 'boost' + chr(39))} + {half}) / {shape} ELSE 0 END)"
+
+
+_DIRICHLET = f"""{cells_sql('regionkey', 'yr', 'priority')}, p AS (SELECT *, greatest(n / sum(n) OVER (PARTITION BY regionkey, yr), 2.220446049250313e-16) AS f, sum(n) OVER (PARTITION BY regionkey, yr) AS eff FROM cells),
+  q AS (SELECT p.*, d, md5(concat_ws('|', '{SEED}', d, 'composition', regionkey, yr, priority)) AS k, greatest(f / sum(f) OVER (PARTITION BY regionkey, yr, d) * eff, 2.220446049250313e-16) AS shape FROM p, range(1, 21) t(d)),
+  lg AS (SELECT *, {log_gamma_sql('k', 'shape')} AS lg FROM q), e AS (SELECT *, exp(lg - max(lg) OVER (PARTITION BY d, regionkey, yr)) AS e FROM lg)"""
+
+
+@query(
+    "dirichlet_composition_draws", "D7 M6",
+    f"WITH {_DIRICHLET} SELECT CAST(d AS INTEGER) AS draw_id, regionkey, yr, priority, round(e / sum(e) OVER (PARTITION BY d, regionkey, yr), 6) AS draw_fraction FROM e",
+)
 def dirichlet_composition_draws(spark, sf):
     cells = order_cells(spark, sf, "regionkey", "yr", "priority")
     x = compose.share(cells, ["regionkey", "yr"], "n", "f")
     size = cells.groupBy("regionkey", "yr").agg(F.sum("n").alias("eff"))
-    return draws.dirichlet_draws(x.join(size, ["regionkey", "yr"]), ["regionkey", "yr"], "priority", "f", "eff", 1, 20, SEED)
+    return rounded(draws.dirichlet_draws(x.join(size, ["regionkey", "yr"]), ["regionkey", "yr"], "priority", "f", "eff", 1, 20, SEED))
+
+
+def _weighted_step(name: str, prev: str, on: str, src: int, targets: dict[int, str]) -> str:
+    """One move in proportion to weighted targets, or to the weights alone where the targets are empty."""
+    mass, total = " + ".join(f"c{t} * {w}" for t, w in targets.items()), " + ".join(targets.values())
+    cols = []
+    for i in range(1, 7):
+        if i == src:
+            cols.append(f"CASE WHEN {on} THEN 0 ELSE c{i} END AS c{i}")
+        elif i in targets:
+            w = targets[i]
+            cols.append(f"CASE WHEN {on} THEN c{i} + c{src} * CASE WHEN {mass} > 0 THEN c{i} * {w} / ({mass}) ELSE {w} / ({total}) END ELSE c{i} END AS c{i}")
+        else:
+            cols.append(f"c{i}")
+    return f"{name} AS (SELECT d, band, yr, {', '.join(cols)}, a1, a3, b2, b6, e2, e3, e6 FROM {prev})"
+
+
+_SLOTS = [("promo_small_band", 1, "a1", 0.25), ("promo_small_band", 3, "a3", 0.25), ("promo_large_band", 2, "b2", 0.25), ("promo_large_band", 6, "b6", 0.25)]
+_SLOTS += [("economy_late", t, f"e{t}", 0.28888888888888886) for t in (2, 3, 6)]
+_WEIGHTED = f"""{TYPES_SQL}, slot AS (SELECT * FROM {values(_SLOTS, 'rule_id', 'target', 'name', 'shape')}),
+  key AS (SELECT slot.*, d, md5(concat_ws('|', '{SEED}', d, 'targets', rule_id, target)) AS k FROM slot, range(1, 21) t(d)),
+  g AS (SELECT *, greatest(exp({log_gamma_sql('k', 'shape')}) / shape, 2.2250738585072014e-308) AS g FROM key),
+  w AS (SELECT *, g / avg(g) OVER (PARTITION BY d, rule_id) AS w FROM g),
+  m AS (SELECT d, {', '.join(f"max(w) FILTER (name = '{n}') AS {n}" for _, _, n, _ in _SLOTS)} FROM w GROUP BY d),
+  s0 AS (SELECT m.*, x.* FROM m, (SELECT band, yr, {', '.join(f'CAST(count(*) FILTER (code = {i}) AS DOUBLE) AS c{i}' for i in range(1, 7))} FROM typed GROUP BY ALL) x),
+  {_weighted_step('s1', 's0', 'band <= 2', 4, {1: 'a1', 3: 'a3'})}, {_weighted_step('s2', 's1', 'band > 2', 4, {2: 'b2', 6: 'b6'})},
+  {_weighted_step('s3', 's2', 'TRUE', 5, {6: '1'})}, {_weighted_step('s4', 's3', 'yr >= 1999', 1, {2: 'e2', 3: 'e3', 6: 'e6'})}"""
 
 
-@query("stochastic_rule_weights", "D9 D16 R7")
+@query(
+    "stochastic_rule_weights", "D9 D16 R7",
+    f"WITH {_WEIGHTED} SELECT CAST(d AS INTEGER) AS draw_id, band, yr, {', '.join(f'round(c{i}, 5) AS c{i}' for i in range(1, 7))} FROM s4",
+)
 def stochastic_rule_weights(spark, sf):
-    from tallyloom.queries.redistribution import TYPE_RULES, type_cells
-
     wide = grid.pivot_codes(type_cells(spark, sf), ["band", "yr"], "code", list(range(1, 7)), "n")
     mult = draws.rule_multipliers(spark, TYPE_RULES, 1, 20, SEED)
     x = draws.with_draws(wide, 1, 20).join(mult, "draw_id", "left")
-    return redistribute.apply_move_rules(x, TYPE_RULES, multipliers="multipliers").drop("multipliers")
+    return rounded(redistribute.apply_move_rules(x, TYPE_RULES, multipliers="multipliers").drop("multipliers"), 5)
 
 
 @query("stochastic_rule_weight_audit", "D16 D9")
 def stochastic_rule_weight_audit(spark, sf):
     """Mass that each rule moves in each draw of the target weights, and how the weights spread."""
-    from tallyloom.queries.redistribution import TYPE_RULES, type_cells
-
     wide = materialise(grid.pivot_codes(type_cells(spark, sf), ["band", "yr"], "code", list(range(1, 7)), "n"), "cells")
     mult = materialise(draws.rule_multipliers(spark, TYPE_RULES, 1, 20, SEED), "multipliers")
     x = draws.with_draws(wide, 1, 20).join(mult, "draw_id", "left")
