@@ -36,6 +36,7 @@ class JointInputs:
     intercepts: DataFrame
     population: DataFrame
     prevalence: DataFrame
+    survey_causes: DataFrame | None = None  # stratum_id, psu_id, the strata, nbdcode, year, weighted: anchors that follow the bootstrap
 
 
 def completeness_draws(j: JointInputs, s: Study, first: int, last: int, seed: int) -> DataFrame:
@@ -48,9 +49,8 @@ def completeness_draws(j: JointInputs, s: Study, first: int, last: int, seed: in
     return draws.apply_factors(draws.with_draws(j.completed, first, last), f, [*DRAW, "Death_Prov"], affected, "Deaths")
 
 
-def survey_envelope_draws(j: JointInputs, s: Study, first: int, last: int, seed: int) -> DataFrame:
-    """Replicate survey envelope and level per draw."""
-    m = survey.bootstrap_multipliers(j.survey_psus, "stratum_id", "psu_id", last - first + 1, seed, first)
+def survey_envelope_draws(j: JointInputs, s: Study, m: DataFrame, first: int, last: int) -> DataFrame:
+    """Replicate survey envelope and level per draw, from unit multipliers ``m``."""
     keys = ["Death_Prov", "Sex", "age5", "DeathYear"]
     rep = survey.replicate_totals(j.survey_level, m, "stratum_id", "psu_id", keys, "weighted")
     full = grid.complete_cells(
@@ -61,24 +61,52 @@ def survey_envelope_draws(j: JointInputs, s: Study, first: int, last: int, seed:
     return full.withColumnRenamed("weighted", "survey").join(level, [*DRAW, "DeathYear"])
 
 
-def fraction_draws(j: JointInputs, s: Study, first: int, last: int, seed: int) -> DataFrame:
-    """Dirichlet draw of each anchor composition, then the usual annual path."""
+def replicate_counts(j: JointInputs, m: DataFrame, first: int, last: int) -> DataFrame:
+    """Cause counts of the resampled units, for the anchors whose records carry units.
+
+    The multipliers are those of the level, so level and composition of a draw belong together.
+    """
+    keys = [*cfg.STRATA, "nbdcode", "year"]
+    years = j.survey_causes.select("year").distinct()
+    rep = survey.replicate_totals(j.survey_causes, m, "stratum_id", "psu_id", keys, "weighted")
+    keep = draws.with_draws(j.survey_counts.join(years, "year", "left_semi").select(*keys, "effective_n"), first, last)
+    out = keep.join(rep, [*DRAW, *keys], "left")
+    return out.select(*DRAW, *keys, F.coalesce("weighted", F.lit(0.0)).alias("count"), "effective_n")
+
+
+def fraction_draws(j: JointInputs, s: Study, m: DataFrame, first: int, last: int, seed) -> DataFrame:
+    """Anchor compositions of each draw, then the usual annual path.
+
+    Anchors with unit records follow the bootstrap; the others are drawn from a Dirichlet.
+    """
+    fixed = j.survey_counts
+    if j.survey_causes is not None:
+        fixed = fixed.join(j.survey_causes.select("year").distinct(), "year", "left_anti")
+    counts = dirichlet_counts(fixed, first, last, seed)
+    if j.survey_causes is not None:
+        counts = counts.unionByName(replicate_counts(j, m, first, last))
+    return point.injury_fractions(counts, s, DRAW)
+
+
+def dirichlet_counts(survey_counts: DataFrame, first: int, last: int, seed) -> DataFrame:
+    """Counts of each anchor with its composition drawn around the observed one."""
     group = [*cfg.STRATA, "year"]
-    total = j.survey_counts.groupBy(*group).agg(F.sum("count").alias("_t"))
-    x = j.survey_counts.join(total, group).withColumn("f", F.when(F.col("_t") > 0, F.col("count") / F.col("_t")).otherwise(0.0))
+    total = survey_counts.groupBy(*group).agg(F.sum("count").alias("_t"))
+    x = survey_counts.join(total, group).withColumn("f", F.when(F.col("_t") > 0, F.col("count") / F.col("_t")).otherwise(0.0))
     d = draws.dirichlet_draws(x.filter("_t > 0"), group, "nbdcode", "f", "effective_n", first, last, seed)
-    keep = j.survey_counts.select(*group, "nbdcode", "count", "effective_n").join(total, group)
+    keep = survey_counts.select(*group, "nbdcode", "count", "effective_n").join(total, group)
     drawn = draws.with_draws(keep, first, last).join(d, [*DRAW, *group, "nbdcode"], "left")
-    counts = drawn.withColumn("count", F.coalesce(F.col("draw_fraction") * F.col("_t"), F.lit(0.0))).drop("_t", "draw_fraction")
-    return point.injury_fractions(counts, s, DRAW)
+    return drawn.withColumn("count", F.coalesce(F.col("draw_fraction") * F.col("_t"), F.lit(0.0))).drop("_t", "draw_fraction")
 
 
 def run_block(j: JointInputs, s: Study, first: int, last: int, seed: int) -> dict[str, DataFrame]:
     """Draws first..last: completeness, surveys, calibration, fractions, reallocation, redistribution."""
     base = materialise(completeness_draws(j, s, first, last, seed_of(seed, "completeness")), "draw-completeness")
-    factors = point.envelope_factors(base, survey_envelope_draws(j, s, first, last, seed_of(seed, "injury_envelope")), s, DRAW)
+    m = survey.bootstrap_multipliers(j.survey_psus, "stratum_id", "psu_id", last - first + 1, seed_of(seed, "injury_envelope"), first)
+    m = materialise(m, "draw-multipliers")
+    factors = point.envelope_factors(base, survey_envelope_draws(j, s, m, first, last), s, DRAW)
     cal = materialise(point.calibrate_injuries(base, factors, DRAW), "draw-calibrated")
-    split = materialise(point.split_injuries(cal, fraction_draws(j, s, first, last, seed_of(seed, "injury")), DRAW), "draw-split")
+    split = materialise(point.split_injuries(cal, fraction_draws(j, s, m, first, last, seed_of(seed, "injury")), DRAW), "draw-split")
     spec = point.hiv_spec(s)
     panel = materialise(point.hiv_panel(split, j.population, j.prevalence, s, DRAW), "draw-panel")
     model = seed_of(seed, "hiv_model")

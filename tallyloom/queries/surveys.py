@@ -487,7 +487,15 @@ def stochastic_rule_weights(spark, sf):
     return rounded(redistribute.apply_move_rules(x, TYPE_RULES, multipliers="multipliers").drop("multipliers"), 5)
 
 
-@query("stochastic_rule_weight_audit", "D16 D9")
+@query(
+    "stochastic_rule_weight_audit", "D16 D9",
+    f"""WITH {_WEIGHTED}, mv AS (SELECT 1 AS step, 'promo_small_band' AS rule_id, 2 AS targets, d, coalesce(sum(c4) FILTER (band <= 2), 0) AS moved FROM s0 GROUP BY d
+      UNION ALL SELECT 2, 'promo_large_band', 2, d, coalesce(sum(c4) FILTER (band > 2), 0) FROM s1 GROUP BY d UNION ALL SELECT 3, 'small_to_standard', 1, d, sum(c5) FROM s2 GROUP BY d
+      UNION ALL SELECT 4, 'economy_late', 3, d, coalesce(sum(c1) FILTER (yr >= 1999), 0) FROM s3 GROUP BY d),
+      per AS (SELECT d, rule_id, min(w) AS lo, max(w) AS hi, avg(w) AS m, stddev_samp(w) AS sd FROM w GROUP BY ALL), sp AS (SELECT avg(sd / m) AS cv, min(lo) AS lo, max(hi) AS hi FROM per)
+    SELECT step, rule_id, targets, count(*) AS draws, round(avg(moved), 4) AS mean_moved, round(min(moved), 4) AS min_moved, round(max(moved), 4) AS max_moved,
+      round(any_value(cv), 4) AS mean_multiplier_cv, round(any_value(lo), 4) AS min_multiplier, round(any_value(hi), 4) AS max_multiplier FROM mv, sp GROUP BY step, rule_id, targets""",
+)
 def stochastic_rule_weight_audit(spark, sf):
     """Mass that each rule moves in each draw of the target weights, and how the weights spread."""
     wide = materialise(grid.pivot_codes(type_cells(spark, sf), ["band", "yr"], "code", list(range(1, 7)), "n"), "cells")
@@ -498,4 +506,4 @@ def stochastic_rule_weight_audit(spark, sf):
     per = moved.groupBy("step", "rule_id", "targets").agg(
         F.count("*").alias("draws"), F.avg("moved").alias("mean_moved"), F.min("moved").alias("min_moved"), F.max("moved").alias("max_moved")
     )
-    return grid.attach_all(per, spread)
+    return rounded(grid.attach_all(per, spread), 4)

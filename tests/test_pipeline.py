@@ -107,6 +107,27 @@ def test_cube_is_consistent(run):
     assert validate.unique_key(run["cube"], ["Grouping", "Sex", "nbdcode", "DeathYear", "Age"]).first()["ok"]
 
 
+def test_composition_follows_the_replicates(spark):
+    from tallyloom.operators import survey
+
+    psus = spark.createDataFrame([(1, f"u{k}") for k in range(5)], "stratum_id int, psu_id string")
+    cell = {"Death_Prov": 1, "Sex": 1, "Popgroup": 1, "age5": 4}
+    assert sorted(cell) == sorted(cfg.STRATA)
+    records = [(1, f"u{k}", *cell.values(), 131 + k % 2, 2001, 1.0 + k) for k in range(5)]
+    names = ", ".join(f"{c} int" for c in cell)
+    causes = spark.createDataFrame(records, f"stratum_id int, psu_id string, {names}, nbdcode int, year int, weighted double")
+    counts = spark.createDataFrame([(*cell.values(), c, y, 3.0, 20.0) for c in (131, 132) for y in (1999, 2001)], f"{names}, nbdcode int, year int, count double, effective_n double")
+    m = survey.bootstrap_multipliers(psus, "stratum_id", "psu_id", 4, 7, 1)
+    j = joint.JointInputs(*[None] * 4, counts, *[None] * 4, survey_causes=causes)
+    got = {(r["draw_id"], r["nbdcode"]): r["count"] for r in joint.replicate_counts(j, m, 1, 4).collect()}
+    times = {(r["draw_id"], r["psu_id"]): r["multiplier"] for r in m.collect()}
+    for d in range(1, 5):
+        for c in (131, 132):
+            assert got[d, c] == sum((1.0 + k) * times.get((d, f"u{k}"), 0.0) for k in range(5) if 131 + k % 2 == c)
+    first = joint.dirichlet_counts(counts.filter("year = 1999"), 1, 4, 5)
+    assert {round(r["t"], 9) for r in first.groupBy("draw_id").agg(F.sum("count").alias("t")).collect()} == {6.0}
+
+
 @pytest.mark.skipif(not os.environ.get("TALLYLOOM_SLOW"), reason="several minutes: set TALLYLOOM_SLOW=1")
 def test_joint_block_conserves_and_restarts(spark, inputs, run, tmp_path):
     psus = spark.createDataFrame([(h, f"{h}-{u}") for h in (1, 2) for u in range(6)], "stratum_id int, psu_id string")
