@@ -37,6 +37,9 @@ HEADLINE = [
     "poisson_trends_with_offset",
     "reassembled_after_reallocation",
     "model_difference_metrics",
+    "verified_certificate_groups",
+    "stochastic_rule_weights",
+    "weighted_quantile_of_quantity",
 ]
 
 
