@@ -52,9 +52,10 @@ def template_firsts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     lines = materialise(_lines(docs).select("doc_id", "leaf", "key"), "lines")
     known = materialise(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "templates")
     varied = known.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1").select("leaf")
-    # the texts of varied leaves, each line once
+    # each line once, so a frequent line is one row a task before the shuffle; then those of varied leaves
     plain = _lines(docs).select("leaf", "key", F.array_join("tokens", " ").alias("plain"))
-    texts = plain.join(varied, "leaf").groupBy("leaf", "key").agg(F.min("plain").alias("plain"))
+    wanted = known.select("leaf", "key").join(varied, "leaf")
+    texts = plain.groupBy("leaf", "key").agg(F.min("plain").alias("plain")).join(wanted, ["leaf", "key"])
     texts = materialise(texts.select("leaf", "key", F.split("plain", " ").alias("tokens")), "varied")
     seen = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
     top = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
