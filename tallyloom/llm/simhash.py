@@ -194,7 +194,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     nodes = materialise(components(link_fingerprints(fps.select("fp").distinct())), "nodes")
     named = nodes.join(classes, nodes.node == classes.fp).groupBy("root").agg(F.min("least").alias("name"))
     wider = nodes.join(named, "root").select(F.col("node").alias("fp"), "name")
-    ids = classes.join(wider, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id"))
+    # one row per fingerprint, as a table of its own, so that the join can split a frequent fingerprint
+    ids = materialise(classes.join(wider, "fp", "left").select("fp", F.coalesce("name", "least").alias("component_id")), "ids")
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
