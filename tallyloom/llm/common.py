@@ -44,6 +44,15 @@ def blocks(ids: list, texts: list, most_chars: int = 2_000_000) -> Iterator[tupl
         yield ids[start:], [x or "" for x in texts[start:]]
 
 
+def settled(df: DataFrame, condition) -> DataFrame:
+    """Rows that meet ``condition``, which is computed once, above the columns it reads.
+
+    A filter is otherwise moved below the projections and repeats their expressions wherever it
+    reads them, which is quadratic for arrays that are indexed.
+    """
+    return df.withColumns({"_meets": condition, "_drawn": F.rand()}).where(F.col("_meets") & (F.col("_drawn") >= 0)).drop("_meets", "_drawn")
+
+
 def ascii_lower(c):
     """Lower-case A-Z only."""
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

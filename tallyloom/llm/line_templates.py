@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import table
+from tallyloom.llm.common import settled, table
 from tallyloom.llm.registry import query
 from tallyloom.session import materialise
 
@@ -42,7 +42,7 @@ def _key(tokens: Column) -> Column:
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, tokens, leaf, key) of the lines that can be templates."""
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    rows = rows.select("doc_id", _tokens(F.col("line")).alias("tokens")).where(F.size("tokens") >= MIN_TOKENS)
+    rows = settled(rows.select("doc_id", _tokens(F.col("line")).alias("tokens")), F.size("tokens") >= MIN_TOKENS)
     lead = [F.get("tokens", F.lit(k)) for k in range(DEPTH)]
     return rows.select("doc_id", "tokens", F.xxhash64(F.size("tokens"), *lead).alias("leaf"), _key(F.col("tokens")).alias("key"))
 
@@ -92,7 +92,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """The pipeline's form: the columns of ``docs``, ``n_chars`` with the text; a document that loses all its words is dropped."""
     out = drop_recurring(docs.select(F.struct("*").alias("_row"), "doc_id", "text"))
     changed = F.col("_n_dropped") > 0
-    out = out.where(~F.coalesce(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    out = settled(out, ~F.coalesce(changed & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     new = {"text": F.col("text")}
     if "n_chars" in docs.columns:
         kind = dict(docs.dtypes)["n_chars"]

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import ascii_lower, table
+from tallyloom.llm.common import ascii_lower, settled, table
 from tallyloom.llm.registry import query
 
 SPACES = " \t\n\x0b\f\r"
@@ -141,7 +141,8 @@ def judge(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS, text: str = "text
 
 def keep_good(docs: DataFrame, limits: tuple[Limit, ...] = LIMITS) -> DataFrame:
     """The rows of ``docs`` that pass, with all their own columns."""
-    return judge(docs.select(F.struct("*").alias("_row"), "text"), limits).where("_kept").select("_row.*")
+    judged = judge(docs.select(F.struct("*").alias("_row"), "text"), limits)
+    return settled(judged, F.col("_kept")).select("_row.*")
 
 
 _LIST = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))
