@@ -36,6 +36,8 @@ class JointInputs:
     intercepts: DataFrame
     population: DataFrame
     prevalence: DataFrame
+    calibrated: DataFrame | None = None  # with redistributed: what the preflight rebuilds and compares
+    redistributed: DataFrame | None = None
     survey_causes: DataFrame | None = None  # stratum_id, psu_id, the strata, nbdcode, year, weighted: anchors that follow the bootstrap
 
 
@@ -128,21 +130,42 @@ def run_block(j: JointInputs, s: Study, first: int, last: int, seed: int) -> dic
 
 
 def report_series(cells: DataFrame, s: Study) -> DataFrame:
-    """National, both-sex and summary series of each draw with one column per base age."""
+    """Series of each draw with one column per base age, for provinces and for population groups.
+
+    ``scope`` tells the two apart; the place column of the other scope is NULL. Provinces also have
+    the national row, and both scopes both sexes.
+    """
     series = F.array(
         F.concat(F.lit("nbd_"), F.col("nbdcode").cast("string")), F.lit("all_causes"), F.when(point.is_injury(), F.lit("all_injuries"))
     )
     x = cells.withColumn("cause_id", F.explode(F.array_compact(series)))
-    keys = ["draw_id", "Death_Prov", "Sex", "DeathYear", "cause_id", "age5"]
-    m = aggregate.margins(x.groupBy(*keys).agg(F.sum("Deaths").alias("Deaths")), keys, {"Death_Prov": s.national, "Sex": 3}, ["Deaths"])
-    m = m.withColumn("age", F.col("age5") - 1)
-    return grid.pivot_codes(m, ["draw_id", "Death_Prov", "Sex", "DeathYear", "cause_id"], "age", [a - 1 for a in s.ages], "Deaths", prefix="age_")
+    x = x.groupBy("draw_id", "Death_Prov", "Popgroup", "Sex", "DeathYear", "cause_id", "age5").agg(F.sum("Deaths").alias("Deaths"))
+    scopes = []
+    for scope, place, margins in (("province", "Death_Prov", {"Death_Prov": s.national, "Sex": 3}), ("population_group", "Popgroup", {"Sex": 3})):
+        keys = ["draw_id", place, "Sex", "DeathYear", "cause_id", "age5"]
+        m = aggregate.margins(x.groupBy(*keys).agg(F.sum("Deaths").alias("Deaths")), keys, margins, ["Deaths"])
+        m = m.withColumns({"age": F.col("age5") - 1, "scope": F.lit(scope)})
+        scopes.append(grid.pivot_codes(m, ["draw_id", "scope", place, "Sex", "DeathYear", "cause_id"], "age", [a - 1 for a in s.ages], "Deaths", prefix="age_"))
+    return scopes[0].unionByName(scopes[1], allowMissingColumns=True)
+
+
+def preflight(j: JointInputs, s: Study) -> DataFrame:
+    """The point run's last stages again, from its calibrated cells, against what it saved.
+
+    One row as of ``validate.table_error``; drawing starts only if no cell is over tolerance.
+    """
+    panel = materialise(point.hiv_panel(j.calibrated, j.population, j.prevalence, s), "preflight-panel")
+    moved = materialise(apply(j.calibrated, panel, j.trends, j.intercepts, point.hiv_spec(s)), "preflight-moved")
+    red = point.redistribute_causes(moved).cells
+    return validate.table_error(j.redistributed, red, [*CELL, "nbdcode"], "Deaths")
 
 
 def run_joint(j: JointInputs, s: Study, path: str, draws_total: int, per_block: int, seed: int, policy=validate.Policy.RAISE) -> DataFrame:
     """Append missing blocks of draws to the store and return the store."""
     spark = j.completed.sparkSession
     todo = list(range(-(-draws_total // per_block)))
+    if j.calibrated is not None and j.redistributed is not None and (off := preflight(j, s).first())["over_tolerance"]:
+        raise AssertionError(f"the point run cannot be rebuilt: {off.asDict()}")
     if stores.store_exists(spark, path):
         todo = sorted(r["draw_block"] for r in stores.pending_blocks(spark, path, draws_total, per_block).collect())
     for b in todo:

@@ -107,6 +107,28 @@ def test_cube_is_consistent(run):
     assert validate.unique_key(run["cube"], ["Grouping", "Sex", "nbdcode", "DeathYear", "Age"]).first()["ok"]
 
 
+def test_point_run_is_rebuilt_before_drawing(spark, inputs, run):
+    j = joint.JointInputs(
+        None, run["scalars"], None, None, None, run["trends"], run["intercepts"], inputs.population, inputs.prevalence,
+        calibrated=run["calibrated"], redistributed=run["redistributed"],
+    )
+    assert joint.preflight(j, S).first()["over_tolerance"] == 0
+    j.redistributed = run["redistributed"].withColumn("Deaths", F.when(F.col("nbdcode") == 31, F.col("Deaths") + 1).otherwise(F.col("Deaths")))
+    assert joint.preflight(j, S).first()["over_tolerance"] > 0
+
+
+def test_series_of_a_draw_have_both_scopes(spark):
+    cells = spark.createDataFrame(
+        [(1, p, g, sex, 2001, 31, age, 2.0) for p in S.provinces for g in S.groups for sex in (1, 2) for age in (1, 4)],
+        "draw_id int, Death_Prov int, Popgroup int, Sex int, DeathYear int, nbdcode int, age5 int, Deaths double",
+    )
+    out = {(r["scope"], r["Death_Prov"], r["Popgroup"], r["Sex"]): r["age_0"] for r in joint.report_series(cells, S).filter("cause_id = 'all_causes'").collect()}
+    per = 2.0 * len(S.groups)
+    assert out["province", 1, None, 1] == per and out["province", S.national, None, 3] == 4 * per
+    assert out["population_group", None, 1, 1] == 4.0 and out["population_group", None, 2, 3] == 8.0
+    assert len(out) == 3 * (len(S.provinces) + 1 + len(S.groups))
+
+
 def test_composition_follows_the_replicates(spark):
     from tallyloom.operators import survey
 
