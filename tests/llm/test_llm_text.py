@@ -168,6 +168,12 @@ def test_quality_keeps_prose_and_columns(spark, odd):
     assert quality_rules.keep_good(odd.where("false")).count() == 0
 
 
+def test_quality_filter_does_not_repeat_the_measures(spark, odd):
+    """Once the filter was moved below the word array, which was then split anew for every index."""
+    plan = quality_rules.keep_good(odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 2
+
+
 def sql_rows(sql, docs):
     con = duckdb.connect()
     con.register("documents", docs.toPandas())
