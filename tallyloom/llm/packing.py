@@ -15,23 +15,23 @@ gives no sequences. Other columns do not matter.
 
 from __future__ import annotations
 
-import os
+import json
 import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.byte_bpe import CHUNK, split_plain
 from tallyloom.llm.common import blocks, map_rows, table
 from tallyloom.llm.registry import query
 from tallyloom.session import materialise
 
-#: Chunks of text that a task remembers with their ids.
-CACHE = 700_000
+#: How byte-level vocabularies split text before the merges; a fixed value.
+BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 class SegmentTree:
@@ -117,39 +117,30 @@ def full_length(per: int, length: int) -> int:
     return per * length
 
 
+def byte_ranks(vocabulary: str) -> dict[bytes, int]:
+    """Tokens of a byte-level vocabulary file as bytes, with their ids, which are also their merge ranks.
+
+    The file writes printable bytes as themselves and every other byte as the next code point from 256 on.
+    """
+    with open(vocabulary, encoding="utf-8") as f:
+        content = json.load(f)
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = [b for b in range(256) if b not in printable]
+    byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
+    special = {t["content"] for t in content["added_tokens"]}
+    return {bytes(byte_of[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in special}
+
+
 class PieceReader:
-    """Texts to pieces of at most ``capacity`` ids."""
+    """Texts to pieces of at most ``capacity`` ids; strings of special tokens are ordinary text."""
 
     def __init__(self, vocabulary: str, end_id: int, capacity: int):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one thread a task
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.tokenizer.encode_special_tokens = True
+        self.encoding = tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=byte_ranks(vocabulary), special_tokens={})
         self.end, self.capacity = int(end_id).to_bytes(4, "little"), capacity
-        self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
 
     def ids(self, texts: list[str]) -> list[bytes]:
-        """Ids with the end mark; a chunk of text is tokenised once, because no pre-token leaves it."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-            self.words.clear()
-        chunks = [CHUNK.findall(t) for t in texts]
-        new = list(set().union(*chunks).difference(self.known))
-        parts = [split_plain(c) or [c] for c in new]
-        words = list({w for p in parts for w in p}.difference(self.words))
-        for at in range(0, len(words), 20_000):
-            some = words[at : at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)]
-            flat, at_id = np.array([i for x in found for i in x], "<u4").tobytes(), 0
-            for w, x in zip(some, found, strict=True):
-                self.words[w] = flat[at_id : at_id + 4 * len(x)]
-                at_id += 4 * len(x)
-        known = self.known
-        for c, p in zip(new, parts, strict=True):
-            known[c] = b"".join([self.words[w] for w in p])
-        return [b"".join([known[c] for c in x]) + self.end for x in chunks]
+        """Ids with the end mark."""
+        return [self.encoding.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() + self.end for t in texts]
 
     def cut(self, ids: bytes) -> list[tuple[int, bytes]]:
         """(start, ids) of the pieces; the first takes what the full ones leave."""
