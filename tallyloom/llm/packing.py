@@ -9,8 +9,9 @@ corpus. Pieces are then numbered within their length, by writing block and by ro
 look their place up in the plan; only block histograms are shuffled and joined, never texts.
 
 Defined cases: a null text is empty and packs as its end mark alone. Repeated rows are packed once
-each. A document longer than the capacity is cut; its first piece is the shorter one. An empty table
-gives no sequences. Other columns do not matter.
+each. A document longer than the capacity is cut; its first piece is the shorter one. The string of an
+added token is that token wherever it stands. An empty table gives no sequences. Other columns do not
+matter.
 """
 
 from __future__ import annotations
@@ -117,8 +118,9 @@ def full_length(per: int, length: int) -> int:
     return per * length
 
 
-def byte_ranks(vocabulary: str) -> dict[bytes, int]:
-    """Tokens of a byte-level vocabulary file as bytes, with their ids, which are also their merge ranks.
+def byte_ranks(vocabulary: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Tokens of a byte-level vocabulary file as bytes, with their ids, which are also their merge ranks;
+    and its added tokens, which are found in a text before anything else.
 
     The file writes printable bytes as themselves and every other byte as the next code point from 256 on.
     """
@@ -127,20 +129,23 @@ def byte_ranks(vocabulary: str) -> dict[bytes, int]:
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
     other = [b for b in range(256) if b not in printable]
     byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(other)}
-    special = {t["content"] for t in content["added_tokens"]}
-    return {bytes(byte_of[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in special}
+    added = {t["content"]: t["id"] for t in content["added_tokens"]}
+    if any(t.get(k) for t in content["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        raise ValueError("only added tokens that are matched as they stand are known")
+    return {bytes(byte_of[c] for c in t): i for t, i in content["model"]["vocab"].items() if t not in added}, added
 
 
 class PieceReader:
-    """Texts to pieces of at most ``capacity`` ids; strings of special tokens are ordinary text."""
+    """Texts to pieces of at most ``capacity`` ids; the string of an added token gets that token's id."""
 
     def __init__(self, vocabulary: str, end_id: int, capacity: int):
-        self.encoding = tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=byte_ranks(vocabulary), special_tokens={})
+        ranks, added = byte_ranks(vocabulary)
+        self.encoding = tiktoken.Encoding("pieces", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens=added)
         self.end, self.capacity = int(end_id).to_bytes(4, "little"), capacity
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Ids with the end mark."""
-        return [self.encoding.encode_to_numpy(t, disallowed_special=()).astype("<u4").tobytes() + self.end for t in texts]
+        return [self.encoding.encode_to_numpy(t, allowed_special="all").astype("<u4").tobytes() + self.end for t in texts]
 
     def cut(self, ids: bytes) -> list[tuple[int, bytes]]:
         """(start, ids) of the pieces; the first takes what the full ones leave."""

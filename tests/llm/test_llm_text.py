@@ -141,6 +141,24 @@ def test_packing(spark, odd):
     assert packing.SegmentTree(8).tightest(3) is None
 
 
+@pytest.fixture(scope="module")
+def own():
+    return Tokenizer.from_file(JSON)
+
+
+@settings(max_examples=200, deadline=None)
+@given(parts=st.lists(st.sampled_from(["<|endoftext|>", "<|endoftext|", "|>", "a", "b's", " ", "  ", "\n", "é漢", "12"]), max_size=12))
+def test_packing_knows_added_tokens(own, parts):
+    text = "".join(parts)
+    want = [*own.encode(text, add_special_tokens=False).ids, 2]
+    assert packing.piece_reader(JSON, 2, 1024).ids([text]) == [np.array(want, "<u4").tobytes()]
+
+
+def test_packing_added_token_in_a_text():
+    ids = np.frombuffer(packing.piece_reader(JSON, 2, 1024).ids(["a<|endoftext|>b"])[0], "<u4")
+    assert ids.tolist() == [64, 50256, 65, 2]
+
+
 def plain_counts(text):
     words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
     windows = Counter(zip(words, words[1:], words[2:], strict=False))
