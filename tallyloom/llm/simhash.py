@@ -204,7 +204,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Of repeated rows with one id and one text, one stays.
     """
-    kept = near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
+    return rows_named(docs, near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct())
+
+
+def rows_named(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows whose id is in ``kept`` (_kept), repeated rows once, and those without an id."""
     named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id IS NULL"))
 

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tallyloom.llm import components, html_cut, neighbours, simhash, toxicity, url_filter
+from tallyloom.llm import components, html_cut, near_copies, neighbours, simhash, toxicity, url_filter
 from test_llm_text import check_packing, documents, plain_counts
 
 URLS = [
@@ -317,6 +317,53 @@ def test_simhash_cases(spark):
     assert simhash.near_duplicates(docs.where("false")).count() == 0
 
 
+def plain_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate({i: i + 32 for i in range(65, 91)}))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_groups(texts):
+    sets = [plain_shingles(t) for t in texts]
+    near = [(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+    return classes_of(near, len(sets)), near
+
+
+def varied_texts(n=160, seed=3):
+    """Copies with up to six words changed: similarities on both sides of 0.8."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(300)]
+    bases = [[rng.choice(words) for _ in range(150)] for _ in range(25)]
+    out = [None, "", " \n", "one two", "One  TWO"]
+    while len(out) < n:
+        t = list(rng.choice(bases))
+        for _ in range(rng.randint(0, 6)):
+            t[rng.randrange(len(t))] = rng.choice(words)
+        out.append(" ".join(t))
+    return out
+
+
+@pytest.mark.parametrize("chars", [4000, 4_000_000])
+def test_near_copies_against_brute_force(spark, monkeypatch, chars):
+    monkeypatch.setattr(near_copies, "BLOCK_CHARS", chars)  # the small one deals groups into blocks
+    texts = varied_texts()
+    docs = documents(spark, [(i, t, "e", "s", 0) for i, t in enumerate(texts)]).withColumn("tid", F.lit("own"))
+    want, near = plain_groups(texts)
+    kept = near_copies.keep_distinct(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+    assert len(near) > 100
+
+
+def test_near_copies_stage_reaches_the_similarity(spark, tmp_path):
+    """A pair at 0.80-0.85 differs in more than four bits of a fingerprint, and stayed in the corpus."""
+    texts = [t for t in varied_texts() if t and len(t) > 20]
+    _, near = plain_groups(texts)
+    sets = [plain_shingles(t) for t in texts]
+    a, b = next((a, b) for a, b in near if len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.85 and (plain_fingerprint(texts[a]) ^ plain_fingerprint(texts[b])).bit_count() > 4)
+    docs = documents(spark, [(1, texts[a], "e", "s", 0), (2, texts[b], "e", "s", 0), (None, texts[a], "e", "s", 0)])
+    assert {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["simhash"](spark, docs, str(tmp_path)).collect()} == {1, None}
+    assert near_copies.keep_distinct(docs.where("false")).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     rng = random.Random(3)
     edges = [(i, i + 1) for i in range(60)] + [(100, 100 + i) for i in range(1, 40)] + [(rng.randint(200, 300), rng.randint(200, 300)) for _ in range(60)]
