@@ -411,6 +411,13 @@ def test_pipeline_against_plain_stages(spark, tmp_path):
     check_packing(corpus_pipeline.run(spark, str(tmp_path)).collect(), now.collect())
 
 
+def test_quality_stage_keeps_a_clean_long_document(spark, tmp_path):
+    """A document of more than a million words was dropped for its length."""
+    words = "transform(sequence(1, 1000001), i -> if(i % 4 = 0, 'the', translate(string(i), '0123456789', 'abcdefghij')))"
+    docs = spark.sql(f"SELECT 1L AS doc_id, array_join({words}, ' ') AS text")
+    assert [r["doc_id"] for r in dict(corpus_pipeline.STAGES)["quality_rules"](spark, docs, str(tmp_path)).select("doc_id").collect()] == [1]
+
+
 def test_pipeline_on_empty_tables(spark, tmp_path):
     documents(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
