@@ -6,7 +6,10 @@ import importlib
 
 from tallyloom.llm.registry import LLM_QUERIES
 
-MODULES = ["url_filter", "byte_bpe", "line_templates", "html_cut", "masked_lm", "quality_rules", "toxicity", "packing", "neighbours", "simhash"]
+MODULES = [
+    "url_filter", "byte_bpe", "line_templates", "html_cut", "masked_lm", "quality_rules", "toxicity", "packing", "neighbours", "simhash",
+    "conversation_trie", "language_id", "conversation_repair",
+]
 
 for _m in MODULES:
     importlib.import_module(f"tallyloom.llm.{_m}")
