@@ -6,14 +6,14 @@ the vectors of its n-grams, a language's prototype those of its training texts,
 whose prototype has the greatest cosine with its vector. Every run of other characters is one space, and the text has a
 space at both ends, so that beginnings and endings of words count.
 
-The learning sample is bounded: ``MAX_ROWS`` documents in the order of their number within their language
-(by a hash of the id), so that every language comes in before any gets its second document. Its texts are bundled
-where they lie; what comes together are at most ``MAX_ROWS`` vectors, added up by language. Predicting is one pass without
+The learning sample is bounded: about ``MAX_ROWS`` documents, drawn by a hash of the id, with one quota for every
+language (of more than ``MAX_ROWS`` languages, the most frequent). Languages are counted first, so that drawing is a
+filter where the rows lie. What comes together are the sums of vectors by language. Predicting is one pass without
 a shuffle over whole texts, in blocks of about two million characters; the distinct n-grams of a block are bound once.
 
 Defined cases: ``und`` with score 0 for a null text, a text without letters, and where nothing was learned.
 Letters are what Unicode calls letters, after lower-casing. Languages with one cosine: the name that sorts first. A null
-id counts as empty text, so it is held out. Documents that repeat an id learn one by one, within the bound. An empty
+id counts as empty text, so it is held out. Documents that repeat an id learn once, from the least text. An empty
 table gives an empty result. Other columns do not matter.
 """
 
@@ -23,15 +23,15 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import blocks, map_rows, table
 from tallyloom.llm.registry import query
-from tallyloom.session import materialise
+from tallyloom.session import small_table
 
 DIMENSIONS, N = 1024, 3
-#: Documents that prototypes are learned from.
+#: Documents that prototypes are learned from, as the hash draws them.
 MAX_ROWS = 8_000
 FOLDS = 5
 UNKNOWN = "und"
@@ -110,15 +110,24 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % FOLDS
 
 
+def _shares(counts: list[tuple[str, int]], rows: int) -> list[tuple[str, float]]:
+    """Share of each language's documents, so that all have one quota and together ``rows``; rarer languages go whole."""
+    left, out = rows, []
+    for k, (lang, n) in enumerate(sorted(counts, key=lambda c: (c[1], c[0]))):
+        take = min(n, left / (len(counts) - k))
+        left -= take
+        out.append((lang, take / n))
+    return out
+
+
 def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their prototypes at unit length; from rows that are not held out and have a text and a language."""
-    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0)
-    own = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # a language's first rows are cut off before the shuffle
-    first = rows.select("doc_id", "lang").withColumn("nth", F.row_number().over(own)).where(F.col("nth") <= max_rows)
-    sample = materialise(first.orderBy("nth", "lang").limit(max_rows).select("doc_id", "lang").distinct(), "sample")
-    # at most `max_rows` pairs of an id and a name
-    texts = docs.select("doc_id", "lang", "text").where("text IS NOT NULL").join(F.broadcast(sample), ["doc_id", "lang"])
+    rows = docs.where("lang IS NOT NULL AND text IS NOT NULL").where(fold(F.col("doc_id")) != 0).select("doc_id", "lang", "text")
+    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_rows)
+    shares = small_table(docs.sparkSession, _shares([(r["lang"], r["n"]) for r in counts.collect()], max_rows), "lang string, share double")
+    # at most `max_rows` names and shares
+    drawn = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("share") * (1 << 40))
+    texts = drawn.groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def vectors(batches: Iterator[dict]) -> Iterator[dict]:
         letters = Letters()
@@ -132,7 +141,7 @@ def learn(docs: DataFrame, max_rows: int = MAX_ROWS) -> tuple[list[str], np.ndar
                 yield {"lang": own, "vector": [found[named == x].sum(axis=0).tolist() for x in own]}
 
     total: dict[str, np.ndarray] = {}
-    # a language has at most one vector in each block; blocks hold at most `max_rows` documents
+    # a language has at most one vector in each block of the sample
     for r in map_rows(texts, vectors, "lang string, vector array<float>").toLocalIterator():
         total[r["lang"]] = total.get(r["lang"], 0) + np.array(r["vector"])
     names = sorted(total)

@@ -230,7 +230,7 @@ def test_language_id_equals_plain_vectors(spark):
     names, prototypes = language_id.learn(docs)
     held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 0
     plain = {}
-    for i, text, lang, _ in rows:
+    for i, text, lang, _ in dict.fromkeys(rows):
         if lang and text and not held(i) and re.search(r"[^\W\d_]", text):
             v = plain_vector(text)
             plain[lang] = plain.get(lang, 0) + v / np.linalg.norm(v)
@@ -253,7 +253,9 @@ def test_language_id_equals_plain_vectors(spark):
 def test_language_sample_serves_every_language(spark):
     rows = [(i, f"wort {i % 7} abc", "de") for i in range(200)] + [(1000 + i, "mot éé", "fr") for i in range(6)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    assert language_id.learn(docs, 6)[0] == ["de", "fr"]
+    assert language_id.learn(docs, 10)[0] == ["de", "fr"]
+    shares = dict(language_id._shares([("a", 100), ("b", 2), ("c", 1000)], 42))
+    assert shares["b"] == 1 and shares["a"] * 100 == shares["c"] * 1000 == 20
 
 
 def test_language_id_on_held_out_documents(spark):
