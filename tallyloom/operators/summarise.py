@@ -1,38 +1,73 @@
-"""From draws to intervals."""
+"""From draws to intervals.
+
+Draws of one cell are never gathered into an array. Limits are order statistics: a cell's draws are numbered in order of
+value by a window, which streams and spills, and an aggregate on the same key picks the numbers it needs; both
+use one exchange, and any number of draws will do. What is shuffled before that is packed, with a column for
+each draw of a block, so that the key of a cell travels once for ``SLOTS`` draws.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import finite, safe_ratio
-from tallyloom.functions.quantiles import type8
-from tallyloom.operators.aggregate import membership
-from tallyloom.operators.hierarchy import map_measures
-from tallyloom.operators.rates import asr_wide
+from tallyloom.operators.rates import asr_wide, comparison_series
+from tallyloom.session import small_table
+
+#: Draws that share one row of a packed table.
+SLOTS = 32
+#: The quantiles of a summary.
+LIMITS = {"median": 0.5, "lower": 0.025, "upper": 0.975}
+
+
+def pack_draws(rows: DataFrame, keys, value: str, slots: int = SLOTS) -> DataFrame:
+    """(keys, draw_pack, d0 ... ): sums of ``value`` with a column for each draw of a pack; draw ids count from 1."""
+    at = F.col("draw_id") - 1
+    slot = F.pmod(at, F.lit(slots))
+    sums = [F.sum(F.when(slot == k, F.col(value))).alias(f"d{k}") for k in range(slots)]
+    return rows.groupBy(*keys, F.floor(at / slots).cast("int").alias("draw_pack")).agg(*sums)
 
-MAX_DRAWS = 100_000
 
+def unpack_draws(packed: DataFrame, keys, value: str) -> DataFrame:
+    """(keys, value): one row per draw of a packed table, without the order of draws."""
+    slots = [F.col(c) for c in packed.columns if c not in keys and c != "draw_pack"]
+    return packed.select(*keys, F.explode(F.array(*slots)).alias(value)).filter(F.col(value).isNotNull())
 
-def summarise_draws(draws: DataFrame, keys, value: str, max_draws: int = MAX_DRAWS, expected: int | None = None) -> DataFrame:
+
+def _around(n: Column, p: float) -> tuple[Column, Column, Column]:
+    """Numbers of the two order statistics around a type-8 quantile of n values, and the weight of the second."""
+    h = n * F.lit(float(p)) + F.lit((p + 1.0) / 3.0)
+    j = F.floor(h)
+    hold = lambda i: F.least(F.greatest(i, F.lit(1)), n)
+    return hold(j), hold(j + 1), h - j
+
+
+def summarise_draws(draws: DataFrame, keys, value: str, expected: int | None = None) -> DataFrame:
     """Mean, median, sd, extremes and type-8 95 % limits over the draws of each key.
 
-    The values of one key are gathered to be sorted; there is one per draw, and more
-    than ``max_draws`` (or fewer than ``expected``) fails the job.
+    With ``expected``, a key with another number of finite draws fails the job.
     """
-    g = draws.filter(finite(value)).groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"), F.avg(value).alias("mean"),
-        F.stddev_samp(value).alias("sd"), F.min(value).alias("min"), F.max(value).alias("max"),
-        F.count("*").alias("n_draws"),
+    keys = list(keys)
+    own = W.partitionBy(*keys)
+    x = draws.filter(finite(value)).select(*keys, F.col(value).cast("double").alias("_v"))
+    x = x.withColumns({"_i": F.row_number().over(own.orderBy("_v")), "_n": F.count("*").over(own)})
+    picks = []
+    for name, p in LIMITS.items():
+        lo, hi, _ = _around(F.col("_n"), p)
+        picks += [F.max(F.when(F.col("_i") == lo, F.col("_v"))).alias(f"_{name}_lo"), F.max(F.when(F.col("_i") == hi, F.col("_v"))).alias(f"_{name}_hi")]
+    g = x.groupBy(*keys).agg(
+        F.avg("_v").alias("mean"), F.stddev_samp("_v").alias("sd"), F.min("_v").alias("min"), F.max("_v").alias("max"), F.count("*").alias("n_draws"), *picks
     )
-    bad = F.col("n_draws") > max_draws
     if expected is not None:
-        bad = bad | (F.col("n_draws") != expected)
-    a = F.when(bad, F.raise_error(F.lit("unexpected number of draws for a cell")).cast("array<double>")).otherwise(F.col("_a"))
-    return g.withColumn("_a", a).select(
-        *keys, "mean", type8("_a", 0.5).alias("median"), "sd", "min", "max",
-        type8("_a", 0.025).alias("lower"), type8("_a", 0.975).alias("upper"), "n_draws",
-    )
+        off = F.raise_error(F.lit("unexpected number of draws for a cell")).cast("bigint")
+        g = g.withColumn("n_draws", F.when(F.col("n_draws") != expected, off).otherwise(F.col("n_draws")))
+    limit = {}
+    for name, p in LIMITS.items():
+        lo, hi, weight = F.col(f"_{name}_lo"), F.col(f"_{name}_hi"), _around(F.col("n_draws"), p)[2]
+        limit[name] = F.when(lo == hi, lo).otherwise(lo * (1.0 - weight) + hi * weight).alias(name)
+    return g.select(*keys, "mean", limit["median"], "sd", "min", "max", limit["lower"], limit["upper"], "n_draws")
 
 
 def enrich(summary: DataFrame, point: DataFrame | None = None, keys=(), point_value: str = "point") -> DataFrame:
@@ -53,24 +88,17 @@ def enrich(summary: DataFrame, point: DataFrame | None = None, keys=(), point_va
 
 
 def convergence(draws: DataFrame, keys, value: str, checkpoints: list[int], total: int) -> DataFrame:
-    """Limits after the first n draws for several n, against all draws.
-
-    The values are gathered once per key in draw order and sliced, so every
-    checkpoint comes from one shuffle.
-    """
-    points = sorted({max(1, c) for c in [*checkpoints, total] if c <= total})
-    g = draws.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("draw_id"), F.col(value).cast("double").alias("v")))).alias("_p")
-    )
-    x = g.withColumn("n_draws", F.explode(F.array(*[F.lit(p) for p in points])))
-    head = F.sort_array(F.transform(F.filter("_p", lambda p: p["draw_id"] <= F.col("n_draws")), lambda p: p["v"]))
-    full = F.sort_array(F.transform("_p", lambda p: p["v"]))
-    x = x.withColumns({"_h": head, "_f": full})
-    out = {}
-    for name, p in (("lower", 0.025), ("median", 0.5), ("upper", 0.975)):
-        out[name] = type8("_h", p)
-        out[f"{name}_change_from_final"] = type8("_h", p) - type8("_f", p)
-    return x.select(*keys, "n_draws", *[c.alias(n) for n, c in out.items()])
+    """Limits after the first n draws for several n, against all draws: a draw goes to every checkpoint that has it."""
+    keys = list(keys)
+    points = F.array(*[F.lit(p) for p in sorted({max(1, c) for c in [*checkpoints, total] if c <= total})])
+    x = draws.withColumn("_at", F.explode(F.filter(points, lambda p: p >= F.col("draw_id")))).drop("n_draws")
+    s = summarise_draws(x, [*keys, "_at"], value).drop("n_draws").withColumnRenamed("_at", "n_draws")
+    own = W.partitionBy(*keys)
+    out = []
+    for name in ("lower", "median", "upper"):
+        last = F.max(F.when(F.col("n_draws") == total, F.col(name))).over(own)
+        out += [F.col(name), (F.col(name) - last).alias(f"{name}_change_from_final")]
+    return s.select(*keys, "n_draws", *out)
 
 
 def co_movement(draws: DataFrame, keys, code: str, driver, value: str) -> DataFrame:
@@ -108,34 +136,32 @@ def intervals_with_rates(summary: DataFrame, population: DataFrame, keys, value:
 def interval_cube(
     wide_draws: DataFrame, mapping: DataFrame, by, age_columns: list[str], age_specs: dict[int, list[int]],
     population: DataFrame | None = None, population_columns: list[str] | None = None, weights: list[float] | None = None,
-    asr_code: int | None = None, expected: int | None = None,
+    asr_code: int | None = None, expected: int | None = None, slots: int = SLOTS,
 ) -> DataFrame:
     """Intervals for every series x age specification, age-standardised within each draw.
 
-    ``wide_draws`` has one row per (draw, cell, cause) with a column per base age.
-    Series are mapped once for all ages, every age specification is a sum over columns
-    of the same row, and all of them leave in a single explode before the one
-    shuffle of the summary.
+    ``wide_draws`` has one row per (draw, cell, cause) with a column per base age; ``mapping`` has cause_id, series_id, weight.
+    A sum over ages and a standardised rate are linear in the causes, so each row gives all its values in one
+    explode, and the first aggregate adds up causes and packs draws at once.
     """
     by = list(by)
-    mapped = map_measures(wide_draws, mapping, ["draw_id", *by], "cause_id", "series_id", age_columns)
+    x = wide_draws.join(mapping.select("cause_id", "series_id", F.col("weight").cast("double").alias("_w")), "cause_id")
     if population is not None:
-        mapped = mapped.join(population, [*by, "series_id"], "left")
-    specs = [
-        F.struct(F.lit(int(code)).alias("age_id"), sum((F.col(age_columns[a]) for a in ages), F.lit(0.0)).alias("value"))
-        for code, ages in age_specs.items()
-    ]
+        x = x.join(population, [*by, "series_id"], "left")
+    total = lambda ages: sum((F.col(age_columns[a]) for a in ages), F.lit(0.0))
+    values = {int(code): total(ages) for code, ages in age_specs.items()}
     if asr_code is not None:
-        specs.append(F.struct(F.lit(int(asr_code)).alias("age_id"), asr_wide(age_columns, population_columns, weights).alias("value")))
-    long = mapped.select("draw_id", *by, "series_id", F.explode(F.array(*specs)).alias("_s")).select(
-        "draw_id", *by, "series_id", "_s.age_id", "_s.value"
-    )
-    return summarise_draws(long, [*by, "series_id", "age_id"], "value", expected=expected)
-
-
-def fraction_intervals(draws: DataFrame, by, code: str, value: str, numerators: dict, denominators: dict) -> DataFrame:
-    """Intervals of a fraction formed inside each draw."""
-    n = membership(draws, code, numerators, "series_id").groupBy("draw_id", *by, "series_id").agg(F.sum(value).alias("_n"))
-    d = membership(draws, code, denominators, "series_id").groupBy("draw_id", *by, "series_id").agg(F.sum(value).alias("_d"))
-    j = n.join(d, ["draw_id", *by, "series_id"]).withColumn("fraction", safe_ratio("_n", "_d", None))
-    return summarise_draws(j, [*by, "series_id"], "fraction")
+        values[int(asr_code)] = asr_wide(age_columns, population_columns, weights)
+    specs = F.array(*[F.struct(F.lit(code).alias("age_id"), (v * F.col("_w")).alias("value")) for code, v in values.items()])
+    long = x.select("draw_id", *by, "series_id", F.explode(specs).alias("_s")).select("draw_id", *by, "series_id", "_s.age_id", "_s.value")
+    keys = [*by, "series_id", "age_id"]
+    return summarise_draws(unpack_draws(pack_draws(long, keys, "value", slots), keys, "value"), keys, "value", expected)
+
+
+def fraction_intervals(draws: DataFrame, by, code: str, value: str, numerators: dict, denominators: dict, expected: int | None = None) -> DataFrame:
+    """Intervals of a fraction formed inside each draw; one aggregate adds up numerator and denominator."""
+    rows = [(c, s, c in set(numerators[s]), c in set(denominators[s])) for s in numerators for c in sorted({*numerators[s], *denominators[s]})]
+    kind = draws.schema[code].dataType.simpleString()
+    members = small_table(draws.sparkSession, rows, f"{code} {kind}, series_id string, in_numerator boolean, in_denominator boolean")
+    inside = comparison_series(draws, ["draw_id", *by], code, value, members)
+    return summarise_draws(inside, [*by, "series_id"], "fraction", expected)

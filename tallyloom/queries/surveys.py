@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions.hashing import component_seed
-from tallyloom.operators import aggregate, compose, draws, grid, redistribute, summarise, survey, validate
-from tallyloom.plans import views
+from tallyloom.operators import aggregate, compose, draws, grid, rates, redistribute, summarise, survey, validate
+from tallyloom.plans import intervals, views
 from tallyloom.queries.inputs import (
     LINES_SUPPLIER, PRIORITIES, STATUSES, UNKNOWN_PRIORITY, YEARS, cells_sql, lines_supplier, order_cells, table, values,
 )
 from tallyloom.queries.redistribution import TYPE_RULES, TYPES_SQL, type_cells
 from tallyloom.queries.registry import query, rounded
-from tallyloom.session import materialise, small_table
+from tallyloom.session import materialise, run_folder, small_table
+from tallyloom.sources import stores
 
 SEED = 20200101
 DRAWS = 40
@@ -418,6 +421,77 @@ def fraction_intervals_in_draws(spark, sf):
     return rounded(summarise.fraction_intervals(nation_draws(spark, sf), ["nation"], "status", "n", {"open_of_all": ["O"]}, {"open_of_all": STATUSES}))
 
 
+_ASR_WEIGHTS = [0.4, 0.1, 0.2, 0.2, 0.1]
+_AGE_SPECS = {1: ([0, 1, 2], [1, 2]), 2: ([3, 4, 5, 6], [3, 4, 5, 6]), 25: (list(range(7)), list(range(1, 7)))}
+_CELL_BY = ["storage_scope", "sex_code", "nation"]
+_SCOPE_SQL = "CASE WHEN nation < 10 THEN 'province' ELSE 'population_group' END AS storage_scope, CAST(nation % 2 + 1 AS INTEGER) AS sex_code"
+
+
+def _asr_sql() -> str:
+    pairs = [("c0 + c1 + c2", "p1 + p2"), *[(f"c{k}", f"p{k}") for k in range(3, 7)]]
+    return "1e5 * (" + " + ".join(f"{w} * ({c}) / ({p})" for w, (c, p) in zip(_ASR_WEIGHTS, pairs)) + f") / {sum(_ASR_WEIGHTS)}"
+
+
+def _spec_sql(columns: str) -> str:
+    out = [f"SELECT {columns}, {code} AS age_id, 'count' AS measure, {' + '.join(f'c{a}' for a in n)} AS v, CAST({' + '.join(f'p{a}' for a in d)} AS DOUBLE) AS population FROM rated" for code, (n, d) in _AGE_SPECS.items()]
+    return " UNION ALL ".join([*out, f"SELECT {columns}, 99, 'asr', {_asr_sql()}, NULL FROM rated"])
+
+
+_PUBLISHED = f"""{_DRAW}, pop AS (SELECT c_nationkey AS nation, {', '.join(f'CAST(count(*) + {10 * a} AS DOUBLE) AS p{a}' for a in range(7))} FROM customer GROUP BY 1),
+    twofold AS (SELECT draw_id, nation, yr, status, n FROM dr UNION ALL SELECT 0, nation, yr, status, n FROM cells),
+    series AS (SELECT * FROM {values(_SERIES_ROWS, 'status', 'series_id', 'wt')}),
+    rated AS (SELECT draw_id, nation, series_id, {', '.join(f'coalesce(sum(n * wt) FILTER (yr = {y}), 0) AS c{i}' for i, y in enumerate(YEARS))}, {', '.join(f'any_value(p{a}) AS p{a}' for a in range(7))}
+        FROM twofold JOIN series USING (status) JOIN pop USING (nation) GROUP BY ALL),
+    spec AS ({_spec_sql('draw_id, nation, series_id')} UNION ALL SELECT draw_id, nation, 'open_of_all', 25, 'fraction', sum(n) FILTER (status = 'O') / sum(n), NULL FROM twofold GROUP BY ALL),
+    q AS (SELECT nation, series_id, age_id, measure, max(population) AS population, list_sort(list(v) FILTER (draw_id > 0)) AS a, avg(v) FILTER (draw_id > 0) AS mean, max(v) FILTER (draw_id = 0) AS point FROM spec GROUP BY ALL)
+    SELECT {_SCOPE_SQL}, nation, series_id, age_id, measure, round(point, 4) AS point, round(mean, 4) AS mean, round({t8('a', 0.5)}, 4) AS median, round({t8('a', 0.025)}, 4) AS lower, round({t8('a', 0.975)}, 4) AS upper,
+      len(a) AS n_draws, round(1e5 * point / population, 4) AS rate_point, round(1e5 * ({t8('a', 0.025)}) / population, 4) AS rate_lower, round(1e5 * ({t8('a', 0.975)}) / population, 4) AS rate_upper, 'aligned' AS alignment FROM q"""
+
+
+def _scoped(df):
+    return df.withColumns({"storage_scope": F.when(F.col("nation") < 10, "province").otherwise("population_group"), "sex_code": (F.col("nation") % 2 + 1).cast("int")})
+
+
+def _wide_ages(df, *keys):
+    wide = grid.pivot_codes(_scoped(df), [*keys, *_CELL_BY, "status"], "yr", YEARS, "n", prefix="y")
+    return wide.select(*keys, *_CELL_BY, F.col("status").alias("cause_id"), *[F.col(f"y{y}").alias(f"age_{k}") for k, y in enumerate(YEARS)])
+
+
+@query("published_intervals_from_draw_store", "D10 D17 D18 S9 S11 Q4 Q5 A20 A21 Y4 Y5 Y9", f"WITH {_PUBLISHED}")
+def published_intervals_from_draw_store(spark, sf):
+    """Two blocks of draws are written, read as a store, checked, summarised and published as an interval store."""
+    path = f"{run_folder(spark)}/published-{uuid.uuid4().hex}"
+    cells = materialise(order_cells(spark, sf, "nation", "yr", "status"), "cells")
+    drawn = materialise(_wide_ages(nation_draws(spark, sf), "draw_id"), "wide-draws")
+    for block in range(2):
+        first = block * DRAWS // 2 + 1
+        stores.write_draw_block(drawn.filter(F.col("draw_id").between(first, first + DRAWS // 2 - 1)), f"{path}/draws", block)
+    mapping = small_table(spark, _SERIES_ROWS, "cause_id string, series_id string, weight double")
+    customers = table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("c"))
+    pops = [f"pop_{a}" for a in range(7)]
+    population = _scoped(customers).select(*_CELL_BY, F.explode(F.array(*[F.lit(s) for s in ("done", "open", "all")])).alias("series_id"), *[(F.col("c") + 10 * a).cast("double").alias(p) for a, p in enumerate(pops)])
+    ages = [f"age_{a}" for a in range(7)]
+    point = materialise(_wide_ages(cells), "wide-points")
+    # published points come from the long form, by another way than the draws
+    long = point.unpivot([*_CELL_BY, "cause_id"], ages, "a", "deaths").withColumn("age", F.substring("a", 5, 2).cast("int"))
+    by_age = long.join(mapping, "cause_id").groupBy(*_CELL_BY, "series_id", "age").agg(F.sum("deaths").alias("deaths"))
+    dens = population.unpivot([*_CELL_BY, "series_id"], pops, "a", "population").withColumn("age", F.substring("a", 5, 2).cast("int")).drop("a")
+    by_age = materialise(by_age.join(dens, [*_CELL_BY, "series_id", "age"]), "points")
+    standard = small_table(spark, [(k + 1, w) for k, w in enumerate(_ASR_WEIGHTS)], "standard_age int, F double")
+    keys = [*_CELL_BY, "series_id"]
+    asr = rates.age_standardise(by_age, keys, "age", "deaths", "population", standard, ages=range(7)).select(*keys, F.lit(99).alias("age_id"), F.lit("asr").alias("measure"), F.col("ASR").alias("point"))
+    specs = small_table(spark, [(a, c) for c, (n, _) in _AGE_SPECS.items() for a in n], "age int, age_id int")
+    counts = by_age.join(specs, "age").groupBy(*keys, "age_id").agg(F.sum("deaths").alias("point")).select(*keys, "age_id", F.lit("count").alias("measure"), "point")
+    part = long.groupBy(*_CELL_BY).agg((F.sum(F.when(F.col("cause_id") == "O", F.col("deaths"))) / F.sum("deaths")).alias("point"))
+    part = part.select(*_CELL_BY, F.lit("open_of_all").alias("series_id"), F.lit(25).alias("age_id"), F.lit("fraction").alias("measure"), "point")
+    i = intervals.IntervalInputs(
+        _CELL_BY, ages, mapping, population, pops, _ASR_WEIGHTS, _AGE_SPECS, 99, counts.unionByName(asr).unionByName(part), point, {"open_of_all": (["O"], STATUSES)}
+    )
+    out = intervals.publish_intervals(spark, f"{path}/draws", f"{path}/intervals", i, DRAWS)
+    names = ["age_id", "measure", "point", "mean", "median", "lower", "upper", "n_draws", "rate_point", "rate_lower", "rate_upper", "alignment"]
+    return rounded(out.select("storage_scope", "sex_code", "nation", "series_id", *names), 4)
+
+
 # ---------------------------------------------------------------- Gamma variates
 
 
