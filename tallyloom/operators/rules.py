@@ -120,6 +120,34 @@ def last_field_by_priority(fields: list[str], groups: list[str]) -> Column:
     return F.coalesce(*picks)
 
 
+def borders_of(rules, *columns: str) -> list[float]:
+    """Every number that a condition compares one of the columns with: between two neighbours no condition changes."""
+    text = " ".join(r if isinstance(r, str) else r.condition for r in rules)
+    compared = re.finditer(rf"\b(?:{'|'.join(columns)})\s*(?:[<>]=?|=|BETWEEN)\s*(\d+)(?:\s+AND\s+(\d+))?", text)
+    # the second number belongs to a BETWEEN, or else to a comparison with a number first, which no condition has
+    return sorted({float(n) for m in compared for n in m.groups() if n is not None})
+
+
+def elementary(column: str | Column, borders: list[float]) -> Column:
+    """One value for each elementary interval of a number: the border itself, or a value between two neighbours.
+
+    Comparisons with borders come out the same for the value and for what it stands for; the search is a
+    balanced tree of comparisons inside generated code. NULL stays NULL.
+    """
+    c = F.col(column) if isinstance(column, str) else column
+    between = [borders[0] - 1.0, *[(a + b) / 2 for a, b in zip(borders, borders[1:])], borders[-1] + 1.0]
+
+    def search(low: int, high: int) -> Column:
+        """``c`` lies above border ``low - 1`` and below border ``high``."""
+        if low == high:
+            return F.lit(between[low])
+        middle = (low + high) // 2
+        at = F.lit(borders[middle])
+        return F.when(c == at, at).when(c < at, search(low, middle)).otherwise(search(middle + 1, high))
+
+    return F.when(c.isNotNull(), search(0, len(borders)))
+
+
 def count_valid(fields: list[str], lo: str, hi: str) -> Column:
     out = F.lit(0)
     for f in fields:

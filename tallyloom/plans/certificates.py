@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.ages import band_of_years
 from tallyloom.operators.aggregate import tally
 from tallyloom.operators.rules import (
-    CodeOverride, Rule, apply_rules, count_valid, days_between, in_numbers, in_ranges, last_field_by_priority, map_codes, remap,
+    CodeOverride, Rule, apply_rules, borders_of, count_valid, days_between, elementary, in_numbers, in_ranges, last_field_by_priority, map_codes, remap,
 )
 from tallyloom.operators.schema import Field, standardise
 from tallyloom.session import materialise
@@ -174,11 +176,20 @@ UNDER_FIVE = [
 ]
 
 
-def verify(records: DataFrame, lookup: DataFrame) -> DataFrame:
-    """Apply the record rules; narrow transformations and one small lookup join, no shuffle.
+#: What the rules can see of a record; the rest of a record follows its decision.
+INPUTS = ["DeathType", "cause", "AgeYear", "agecalc", "early", "nrcauses", "has_cardio"]
+#: Stands for the record's own circulatory cause in a decision.
+OWN_CARDIO = "@"
+#: Ages at which some rule or override changes its mind, and the under-five classes in days.
+AGE_BORDERS = borders_of([*UNDER_FIVE, *verification_rules(), *closing_rules(), *(o.condition for o in OVERRIDES)], "AgeYear", "age_clean", "_age")
+DAY_BORDERS = borders_of(UNDER_FIVE, "agecalc")
+
 
-    The result carries the recoded cause ``uc_recode``; its class is assigned to the
-    collapsed groups.
+def prepare(records: DataFrame) -> DataFrame:
+    """Certificates with what the rules need, brought down to what can make a difference.
+
+    Contributory causes matter with diabetes (the circulatory cause among them) and with I10 (whether there are
+    several); days of age by their elementary interval, and only in infants.
     """
     x = standardise(records, CERTIFICATE)
     x = x.withColumn("sex_clean", F.col("Sex").cast("int"))
@@ -189,32 +200,72 @@ def verify(records: DataFrame, lookup: DataFrame) -> DataFrame:
             Rule.of("DeathType = 1 AND UnderlyingCause = 'P95'", DeathType="2D"),
         ],
     )
-    x = x.withColumns(
+    days = days_between(("DeathYear", "DeathMonth", "DeathDay"), ("BirthYear", "BirthMonth", "BirthDay"), F.col("AgeYear") == 188)
+    x = x.withColumns({f"{f}3": F.substring(f, 1, 3) for f in FIELDS})
+    return x.select(
+        "DeathType", "Death_Prov", "sex_clean", "DeathYear", "DeathMonth", "Popgroup", "AgeYear", F.col("UnderlyingCause").alias("cause"),
+        F.when((F.col("DeathType") == 1) & (F.col("AgeYear") == 0), elementary(days, DAY_BORDERS)).alias("agecalc"),
+        (F.col("DeathYear") <= 2005).alias("early"),
+        F.when(F.col("UnderlyingCause") == "I10", F.least(count_valid(FIELDS, "A00", "Y99"), F.lit(2))).alias("nrcauses"),
+        F.when(F.expr(in_ranges("UnderlyingCause", DIABETES)), last_field_by_priority([f"{f}3" for f in FIELDS], CARDIOVASCULAR)).alias("cardio"),
+    )
+
+
+def _inputs(x: DataFrame) -> dict:
+    return {"AgeYear": elementary("AgeYear", AGE_BORDERS), "has_cardio": F.col("cardio").isNotNull()}
+
+
+def decide(inputs: DataFrame, lookup: DataFrame) -> DataFrame:
+    """The ordered rules on distinct inputs: ``uc_recode``, ``age_u5``, and ``new_age``, ``new_sex`` where a rule sets them."""
+    x = inputs.withColumns(
         {
-            "uc_recode": F.col("UnderlyingCause"), "cause": F.col("UnderlyingCause"), "age_clean": F.col("AgeYear"), "age_u5": F.lit(9),
-            "nrcauses": count_valid(FIELDS, "A00", "Y99"),
-            "agecalc": days_between(("DeathYear", "DeathMonth", "DeathDay"), ("BirthYear", "BirthMonth", "BirthDay"), F.col("AgeYear") == 188),
-            **{f"{f}3": F.substring(f, 1, 3) for f in FIELDS},
+            "uc_recode": F.col("cause"), "age_clean": F.col("AgeYear"), "age_u5": F.lit(9), "sex_clean": F.lit(None).cast("int"),
+            "cardio": F.when(F.col("has_cardio"), F.lit(OWN_CARDIO)), "DeathYear": F.when(F.col("early"), 2005).when(~F.col("early"), 2006),
         }
     )
-    x = x.withColumn("cardio", last_field_by_priority([f"{f}3" for f in FIELDS], CARDIOVASCULAR))
     x = apply_rules(x, UNDER_FIVE)
-    x = map_codes(x, "UnderlyingCause", lookup, "nbd_initial", OVERRIDES, BLANK_CAUSE, "age_clean", "age_u5")
+    x = map_codes(x, "cause", lookup, "nbd_initial", OVERRIDES, BLANK_CAUSE, "age_clean", "age_u5")
     x = apply_rules(x, verification_rules() + closing_rules())
-    return x.withColumns({"Sex": F.col("sex_clean"), "age_": F.col("age_clean")}).drop("sex_clean", "age_clean", "cardio", *[f"{f}3" for f in FIELDS])
+    new_age = F.when(~F.col("age_clean").eqNullSafe(F.col("AgeYear")), F.col("age_clean"))
+    return x.select(*INPUTS, "uc_recode", "age_u5", new_age.alias("new_age"), F.col("sex_clean").alias("new_sex"))
+
+
+def _decided(x: DataFrame, lookup: DataFrame) -> DataFrame:
+    """``prepare``'s rows with their decisions: the rules see each distinct input once, however many rows have it."""
+    keyed = x.withColumns({f"_{c}": _inputs(x).get(c, F.col(c) if c in x.columns else None) for c in INPUTS})
+    distinct = keyed.select(*[F.col(f"_{c}").alias(c) for c in INPUTS]).distinct()
+    table = materialise(decide(distinct, lookup), "decisions").withColumnsRenamed({c: f"=_{c}" for c in INPUTS})
+    same = reduce(lambda a, b: a & b, [keyed[f"_{c}"].eqNullSafe(table[f"=_{c}"]) for c in INPUTS])
+    out = keyed.join(table, same)
+    return out.withColumns(
+        {
+            "uc_recode": F.when(F.col("uc_recode") == OWN_CARDIO, F.col("cardio")).otherwise(F.col("uc_recode")),
+            "Sex": F.coalesce("new_sex", "sex_clean"), "age_": F.coalesce("new_age", "AgeYear"),
+        }
+    )
+
+
+def verify(records: DataFrame, lookup: DataFrame) -> DataFrame:
+    """Records with the recoded cause ``uc_recode``, ``Sex``, ``age_`` and ``age_u5`` after all rules.
+
+    The rules are a decision table over the distinct inputs, joined back to the records; the class of the recoded
+    cause is assigned to the collapsed groups.
+    """
+    x = _decided(materialise(prepare(records), "prepared"), lookup)
+    return x.select("DeathType", "Death_Prov", "Sex", "DeathYear", "DeathMonth", "Popgroup", "cause", "uc_recode", "age_", "age_u5", "AgeYear", "nrcauses", "agecalc")
 
 
 def verified_groups(records: DataFrame, lookup: DataFrame) -> DataFrame:
     """Certificates to counts on the largest key later steps need.
 
-    Records are collapsed on the recoded cause first (the only record-level shuffle)
-    and that small table is written; the final classification then runs once per
-    distinct group instead of once per record.  The stage table also keeps the
-    optimiser from tracing the lookup key through every rule.
+    Records are collapsed to their distinct rule inputs and group fields before any rule (the only record-level
+    shuffle; nothing is lost, since records that agree there get one decision). Rules, the second classification
+    and the final sums work on those counts.
     """
-    key = [k for k in GROUP_KEY if k != "nbdcode"]
-    groups = materialise(tally(verify(records, lookup), [*key, "uc_recode"], "num"), "recoded-groups")
-    coded = map_codes(groups, "uc_recode", lookup, "nbdcode", OVERRIDES, BLANK_CAUSE, "age_", "age_u5")
+    fields = ["DeathType", "Death_Prov", "sex_clean", "DeathYear", "DeathMonth", "Popgroup", "AgeYear", "cause", "agecalc", "early", "nrcauses", "cardio"]
+    cells = materialise(tally(prepare(records), fields, "num"), "certificate-cells")
+    x = _decided(cells, lookup)
+    coded = map_codes(x, "uc_recode", lookup, "nbdcode", OVERRIDES, BLANK_CAUSE, "age_", "age_u5")
     return coded.groupBy(*GROUP_KEY).agg(F.sum("num").alias("num"))
 
 

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import code_text, icd_category, text_between
 from tallyloom.operators import aggregate, rules, schema
 from tallyloom.plans import certificates
-from tallyloom.queries.inputs import LINES_PART, lines_part, orders_geo, table
+from tallyloom.queries.inputs import LINES_PART, in_list, lines_part, orders_geo, table, values
 from tallyloom.queries.registry import query, rounded
+from tallyloom.session import small_table
 
 _ALIAS = [
     schema.Field("orderKey", ("O_ORDER-KEY", "o_orderkey"), "bigint"), schema.Field("status", ("O.OrderStatus",), "string"),
@@ -193,18 +196,67 @@ def split_by_code_set(spark, sf):
     return both.groupBy("yr", "envelope", broad.alias("broad")).agg(F.count("*").alias("n"))
 
 
-@query("verified_certificate_groups", "P13 P9 P12 P14 P15 P16 P17 A2 P2")
+# cause codes of the certificates below, each with a class that rules look at
+CERTIFICATE_CODES = [
+    ("A15", 1), ("A33", 22), ("B20", 13), ("C15", 30), ("C34", 37), ("C50", 40), ("C53", 41), ("C61", 44), ("E11", 79), ("F10", 65), ("G30", 69), ("G80", 149), ("I10", 82), ("I21", 83), ("I64", 86),
+    ("J18", 11), ("J42", 91), ("K70", 100), ("N40", 105), ("O15", 14), ("P23", 20), ("P36", 21), ("P95", 23), ("Q35", 62), ("M05", 108), ("R99", 143), ("V89", 200), ("X99", 172), ("  ", None), ("N17", 73),
+]
+_CERTIFICATE_SQL = f"""base AS (SELECT *, year(l_shipdate) AS yr, l_shipdate::DATE - CAST(l_partkey % 400 AS INTEGER) AS born FROM lineitem),
+    cert AS (SELECT CAST(CASE WHEN l_returnflag = 'R' THEN 2 ELSE 1 END AS DOUBLE) AS DeathType, CAST(yr AS DOUBLE) AS DeathYear, CAST(month(l_shipdate) AS DOUBLE) AS DeathMonth, CAST(l_suppkey % 9 + 1 AS DOUBLE) AS Death_Prov,
+      CAST(CASE WHEN l_linenumber % 4 = 3 THEN 8 ELSE l_linenumber % 4 + 1 END AS INTEGER) AS sex0, CAST(l_linenumber % 4 + 1 AS DOUBLE) AS Popgroup, l_linenumber = 5 AS pregnant,
+      CAST(CASE WHEN l_linenumber = 7 THEN 999 WHEN l_quantity <= 12 THEN 0 WHEN l_quantity = 13 THEN NULL ELSE (l_quantity - 13) * 2.5 END AS DOUBLE) AS AgeYear, abs(date_diff('day', born, l_shipdate::DATE)) AS days,
+      nullif(trim({{pick('l_partkey')}}), '') AS cause, nullif(trim({{pick('l_orderkey')}}), '') AS a, nullif(trim({{pick('l_suppkey')}}), '') AS b FROM base)"""
+
+
+def _pick_sql(key: str) -> str:
+    return f"({[c for c, _ in CERTIFICATE_CODES]})[CAST(('0x' || substr(md5(CAST({key} AS VARCHAR)), 1, 4)) AS BIGINT) % {len(CERTIFICATE_CODES)} + 1]"
+
+
+def _certificate_rules_sql() -> str:
+    """The ordered rules one after another, each a statement over all records; the other way round than the decision table."""
+    from tallyloom.operators.rules import in_ranges
+
+    plain = lambda text: re.sub(r"(\d)D\b", r"\1", text)
+    known = [(c, n) for c, n in CERTIFICATE_CODES if n is not None]
+    cardio = " ".join(f"WHEN {in_ranges(f, r)} THEN {f}" for r in certificates.CARDIOVASCULAR for f in ("b", "a"))
+    valid = " + ".join(f"CAST(coalesce({f} BETWEEN 'A00' AND 'Y99', false) AS INTEGER)" for f in ("a", "b"))
+    steps = [_CERTIFICATE_SQL.replace("{pick('l_partkey')}", _pick_sql("l_partkey")).replace("{pick('l_orderkey')}", _pick_sql("l_orderkey")).replace("{pick('l_suppkey')}", _pick_sql("l_suppkey"))]
+    steps.append(f"""lookup AS (SELECT * FROM {values(known, 'category', 'code')}),
+    r0 AS (SELECT CASE WHEN DeathType = 1 AND cause = 'P95' THEN 2.0 ELSE DeathType END AS DeathType, Death_Prov, CASE WHEN pregnant AND sex0 >= 8 AND DeathType = 1 THEN 2 ELSE sex0 END AS sex_clean,
+      DeathYear, DeathMonth, Popgroup, AgeYear, CASE WHEN AgeYear = 188 THEN NULL ELSE days END AS agecalc, cause, cause AS uc_recode, AgeYear AS age_clean, 9 AS age_u5, {valid} AS nrcauses, CASE {cardio} END AS cardio, 0 AS nbd_initial FROM cert)""")
+
+    def step(rules, at):
+        for r in rules:
+            changes = ", ".join(f"CASE WHEN {plain(r.condition)} THEN {plain(v)} ELSE {c} END AS {c}" for c, v in r.assign)
+            steps.append(f"r{at + 1} AS (SELECT * REPLACE ({changes}) FROM r{at})")
+            at += 1
+        return at
+
+    def classed(source, cause, age, u5):
+        whens = " ".join(f"WHEN {cause} IN {in_list(o.categories)} AND ({o.condition.replace('_age', f'coalesce({age}, 1e300)').replace('_u5', u5)}) THEN {o.value}" for o in reversed(certificates.OVERRIDES))
+        return f"(SELECT s.*, CASE {whens} WHEN {cause} IS NULL THEN {certificates.BLANK_CAUSE} ELSE l.code END AS class FROM {source} s LEFT JOIN lookup l ON l.category = {cause})"
+
+    at = step(certificates.UNDER_FIVE, 0)
+    steps.append(f"r{at + 1} AS (SELECT * EXCLUDE (class) REPLACE (class AS nbd_initial) FROM {classed(f'r{at}', 'cause', 'age_clean', 'age_u5')})")
+    at = step(certificates.verification_rules() + certificates.closing_rules(), at + 1)
+    final = classed(f"r{at}", "uc_recode", "age_clean", "age_u5")
+    return f"""WITH {', '.join(steps)} SELECT DeathType, Death_Prov, sex_clean AS Sex, DeathYear, DeathMonth, CAST(class AS INTEGER) AS nbdcode, age_clean AS age_, age_u5, Popgroup, CAST(count(*) AS DOUBLE) AS num FROM {final} GROUP BY ALL"""
+
+
+@query("verified_certificate_groups", "P13 P9 P12 P14 P15 P16 P17 A2 P2", _certificate_rules_sql())
 def verified_certificate_groups(spark, sf):
     """Line items dressed as certificates go through the full verification and collapse."""
-    codes = ["A15", "B20", "C15", "C34", "C50", "C61", "E11", "F10", "G30", "I10", "I21", "I64", "J18", "K70", "N40", "O15", "P23", "P36", "Q35", "R99", "V89", "X99", "  ", "N17"]
-    pick = lambda c: F.element_at(F.array(*[F.lit(v) for v in codes]), (F.pmod(F.hash(c), F.lit(len(codes))) + 1).cast("int"))
-    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity")
+    codes = F.array(*[F.lit(c) for c, _ in CERTIFICATE_CODES])
+    pick = lambda c: F.element_at(codes, (F.conv(F.substring(F.md5(F.col(c).cast("string")), 1, 4), 16, 10).cast("int") % len(CERTIFICATE_CODES) + 1).cast("int"))
+    n, q = F.col("l_linenumber"), F.col("l_quantity")
+    l = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", F.to_date("l_shipdate").alias("died"), "l_returnflag", "l_quantity")
+    l = l.withColumn("born", F.date_sub("died", (F.col("l_partkey") % 400).cast("int")))
+    parts = {f"{who}{name}": fn(day) for who, day in (("Death", "died"), ("Birth", "born")) for name, fn in (("Year", F.year), ("Month", F.month), ("Day", F.dayofmonth))}
     x = l.select(
-        F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("DeathType"), F.year("l_shipdate").alias("DeathYear"), F.month("l_shipdate").alias("DeathMonth"), F.dayofmonth("l_shipdate").alias("DeathDay"),
-        (F.year("l_shipdate") - F.col("l_quantity")).alias("BirthYear"), F.lit(7).alias("BirthMonth"), F.lit(1).alias("BirthDay"), (F.col("l_quantity") * 2 - 2).alias("AgeYear"),
-        (F.col("l_linenumber") % 3 + 1).alias("gender"), F.lit(0).alias("Pregnancy"), (F.col("l_linenumber") % 4 + 1).alias("population_group"), (F.col("l_suppkey") % 9 + 1).alias("province"),
+        F.when(F.col("l_returnflag") == "R", 2).otherwise(1).alias("DeathType"), *[c.alias(name) for name, c in parts.items()],
+        F.when(n == 7, 999).when(q <= 12, 0).when(q != 13, (q - 13) * 2.5).alias("AgeYear"), F.when(n % 4 == 3, 8).otherwise(n % 4 + 1).alias("gender"),
+        F.when(n == 5, 1).otherwise(0).alias("Pregnancy"), (n % 4 + 1).alias("population_group"), (F.col("l_suppkey") % 9 + 1).alias("province"),
         pick("l_partkey").alias("ucause"), pick("l_orderkey").alias("CauseA"), pick("l_suppkey").alias("CauseB"),
     )
-    lookup = x.select(icd_category("ucause").alias("category")).distinct().filter("category IS NOT NULL")
-    lookup = lookup.withColumn("code", (F.pmod(F.hash("category"), F.lit(120)) + 1).cast("int"))
+    lookup = small_table(spark, [(c, n) for c, n in CERTIFICATE_CODES if n is not None], "category string, code int")
     return certificates.verified_groups(x, lookup)
