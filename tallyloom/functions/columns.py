@@ -120,5 +120,8 @@ def slug(c) -> Column:
 
 def date_of(year, month, day) -> Column:
     """Calendar date from parts; an impossible date is NULL."""
-    y, m, d = (number(p).cast("int") for p in (year, month, day))
-    return F.format_string("%04d-%02d-%02d", y, m, d).try_cast("date")
+    y, m, d = (number(p).try_cast("int") for p in (year, month, day))
+    first = F.make_date(y, m, F.lit(1))
+    # a day beyond the end of its month would land in the next one
+    fits = m.between(1, 12) & y.between(1, 9999) & d.between(1, 31)
+    return F.when(fits, F.when(d <= F.dayofmonth(F.last_day(first)), F.date_add(first, d - 1)))

@@ -13,7 +13,7 @@ from tallyloom.operators.rules import (
     CodeOverride, Rule, apply_rules, borders_of, count_valid, days_between, elementary, in_numbers, in_ranges, last_field_by_priority, map_codes, remap,
 )
 from tallyloom.operators.schema import Field, standardise
-from tallyloom.session import materialise
+from tallyloom.session import generated_apart, materialise
 
 CERTIFICATE = [
     Field("DeathType", ("death_type",)), Field("DeathYear", ("yd", "year_of_death")), Field("DeathMonth", (), required=False),
@@ -191,7 +191,7 @@ def prepare(records: DataFrame) -> DataFrame:
     Contributory causes matter with diabetes (the circulatory cause among them) and with I10 (whether there are
     several); days of age by their elementary interval, and only in infants.
     """
-    x = standardise(records, CERTIFICATE)
+    x = generated_apart(standardise(generated_apart(records), CERTIFICATE))
     x = x.withColumn("sex_clean", F.col("Sex").cast("int"))
     x = apply_rules(
         x,
@@ -201,10 +201,10 @@ def prepare(records: DataFrame) -> DataFrame:
         ],
     )
     days = days_between(("DeathYear", "DeathMonth", "DeathDay"), ("BirthYear", "BirthMonth", "BirthDay"), F.col("AgeYear") == 188)
-    x = x.withColumns({f"{f}3": F.substring(f, 1, 3) for f in FIELDS})
+    x = generated_apart(x.withColumns({"days": days, **{f"{f}3": F.substring(f, 1, 3) for f in FIELDS}}))
     return x.select(
         "DeathType", "Death_Prov", "sex_clean", "DeathYear", "DeathMonth", "Popgroup", "AgeYear", F.col("UnderlyingCause").alias("cause"),
-        F.when((F.col("DeathType") == 1) & (F.col("AgeYear") == 0), elementary(days, DAY_BORDERS)).alias("agecalc"),
+        F.when((F.col("DeathType") == 1) & (F.col("AgeYear") == 0), elementary("days", DAY_BORDERS)).alias("agecalc"),
         (F.col("DeathYear") <= 2005).alias("early"),
         F.when(F.col("UnderlyingCause") == "I10", F.least(count_valid(FIELDS, "A00", "Y99"), F.lit(2))).alias("nrcauses"),
         F.when(F.expr(in_ranges("UnderlyingCause", DIABETES)), last_field_by_priority([f"{f}3" for f in FIELDS], CARDIOVASCULAR)).alias("cardio"),

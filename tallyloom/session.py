@@ -81,6 +81,15 @@ def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def generated_apart(df: DataFrame) -> DataFrame:
+    """The same rows and partitions, with the code of what follows generated apart from what came before.
+
+    A long chain of projections becomes one method, which the virtual machine does not compile beyond a certain
+    size. A coalesce to more partitions than there are moves nothing and ends the method.
+    """
+    return df.coalesce(2**31 - 1)
+
+
 def _literal(v) -> str:
     if v is None:
         return "NULL"
