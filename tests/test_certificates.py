@@ -30,6 +30,7 @@ def test_age_borders_hold_every_number_of_the_rules():
 
 def test_impossible_dates_are_missing(spark):
     parts = [(y, m, d) for y, m, d in itertools.product((1900, 2000, 2001), (0, 1, 2, 12, 13, None), (0, 1, 28, 29, 30, 31, 32, None))]
+    parts = [tuple(None if v is None else float(v) for v in p) for p in parts]
     for r in spark.createDataFrame(parts, "y double, m double, d double").withColumn("x", date_of("y", "m", "d")).collect():
         try:
             expect = datetime.date(int(r["y"]), int(r["m"]), int(r["d"]))
