@@ -1,21 +1,23 @@
 """Line dedup by a log-template tree, in DataFrame operations only.
 
-Lines are parsed to a fixed depth: number of tokens, then the first three tokens, with every run of
-digits read as one field. A leaf whose lines differ generalises further: the most frequent token of
-each position makes the leaf's template, and a line belongs to it if at least ``SIMILARITY`` of its
-tokens agree; the rest are its variable fields. Any other line is a template of its own. A template
-that occurs in several documents stays in the document with the smallest id and is dropped from all
-others, so that a corpus of copies keeps each text once.
-
-Texts are exploded into lines where they lie; what is shuffled is one row of hashes per line, the lines
-of leaves with several variants (once), and the texts once, to meet their dropped lines. Every
-aggregate reduces a frequent line or leaf before the shuffle, and nothing is gathered but the token
-list of one template and the dropped lines of one document.
-
-Defined cases: a null text stays null. Lines of fewer than ``MIN_TOKENS`` tokens are never templates.
-Lines that repeat within one document only are kept. Rows with one id count as one document; rows
-without an id keep all lines. A text from which nothing is dropped does not change. Other columns
-pass through.
+Lines are parsed to a fixed depth: number of tokens, then the first three tokens, with every run of digits
+read as one field. A leaf holds any number of templates, and a template is a line that exists: its
+variants agree with it in at least four fifths of their tokens, the rest being variable fields. A variant differs in
+at most a fifth of n tokens, so if the tokens behind the leading ones are cut into one segment more than that, some
+segment agrees. Within a leaf, lines with one segment in common are therefore held against the earliest of
+them (by first document, then by digest), never against each other. A line that finds such a partner is a variant of it, unless the
+partner is a variant itself; so every dropped line agrees with a line that stays in an earlier document.
+A template that recurs stays in its first document and goes, with its variants, from all later ones. Lines of fewer than five
+tokens cannot vary; they go where they stand in ``SHORT_DOCUMENTS`` documents or more, since a word or two recur by chance.
+
+Tokens are made once, where the texts lie, and written beside the lines' numbers and digests; what is shuffled is one
+row of digests per line, once the lines with their leaf to find the leaves that hold several, and the texts once to meet
+the numbers of their dropped lines. Every aggregate reduces a frequent line or leaf before the shuffle; nothing is
+gathered but the numbers of one document's dropped lines.
+
+Defined cases: a null text stays null. Lines without a token stay. Lines that repeat within one document only are kept.
+Rows with one id count as one document; rows without an id keep all lines. A text from which nothing is dropped does not change.
+Other columns pass through.
 """
 
 from __future__ import annotations
@@ -27,65 +29,79 @@ from tallyloom.llm.common import settled, table
 from tallyloom.llm.registry import query
 from tallyloom.session import materialise
 
-DEPTH, MIN_TOKENS, SIMILARITY = 3, 5, 0.8
-
-
-def _tokens(line: Column) -> Column:
-    """Tokens of a line, with each run of digits as one 0."""
-    return F.array_remove(F.split(F.regexp_replace(line, "[0-9]+", "0"), r"[\x20\x09-\x0D]+"), "")
-
-
-def _key(tokens: Column) -> Column:
-    return F.xxhash64(F.array_join(tokens, " "))
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, tokens, leaf, key) of the lines that can be templates."""
-    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    rows = settled(rows.select("doc_id", _tokens(F.col("line")).alias("tokens")), F.size("tokens") >= MIN_TOKENS)
-    lead = [F.get("tokens", F.lit(k)) for k in range(DEPTH)]
-    return rows.select("doc_id", "tokens", F.xxhash64(F.size("tokens"), *lead).alias("leaf"), _key(F.col("tokens")).alias("key"))
-
-
-def template_firsts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines (doc_id, leaf, key), and (leaf, key, first) of recurring lines: the first document of their template."""
-    lines = materialise(_lines(docs).select("doc_id", "leaf", "key"), "lines")
-    known = materialise(lines.groupBy("leaf", "key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "templates")
-    varied = known.groupBy("leaf").agg(F.count("*").alias("variants")).where("variants > 1").select("leaf")
-    # each line once, so a frequent line is one row a task before the shuffle; then those of varied leaves
-    plain = _lines(docs).select("leaf", "key", F.array_join("tokens", " ").alias("plain"))
-    wanted = known.select("leaf", "key").join(varied, "leaf")
-    texts = plain.groupBy("leaf", "key").agg(F.min("plain").alias("plain")).join(wanted, ["leaf", "key"])
-    texts = materialise(texts.select("leaf", "key", F.split("plain", " ").alias("tokens")), "varied")
-    seen = texts.select("leaf", F.posexplode("tokens").alias("at", "token")).groupBy("leaf", "at", "token").agg(F.count("*").alias("n"))
-    top = seen.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("top"))
-    # a leaf's positions are as many as its token count says
-    shape = top.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.col("top.token").alias("token")))).alias("shape"))
-    agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda t, s: t == s["token"]), lambda x: x))
-    alike = texts.join(shape, "leaf").where(agree >= SIMILARITY * F.size("tokens")).select("leaf", "key", F.lit(True).alias("alike"))
-    marked = known.join(alike, ["leaf", "key"], "left")
-    merged = marked.where("alike").groupBy("leaf").agg(F.min("first").alias("leaf_first"), F.max("last").alias("leaf_last"))
-    joined = marked.where("alike").join(merged, "leaf").select("leaf", "key", F.col("leaf_first").alias("first"), F.col("leaf_last").alias("last"))
-    alone = marked.where("alike IS NULL").select("leaf", "key", "first", "last")
-    return lines, joined.unionByName(alone).where("first < last").select("leaf", "key", "first")
+#: Leading tokens of a leaf; one variable field for so many tokens; and where lines of fewer tokens count as templates.
+DEPTH, VARIABLE, SHORT_DOCUMENTS = 3, 5, 20
+SPACE = r"[\x20\x09-\x0D]"
+
+
+def _plain(line: Column) -> Column:
+    """Tokens of a line joined by single spaces, with each run of digits as one 0."""
+    return F.trim(F.regexp_replace(F.regexp_replace(line, "[0-9]+", "0"), rf"{SPACE}{{2,}}|[\x09-\x0D]", " "))
+
+
+def parsed_lines(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, at, plain, n, leaf, key) of the lines that have a token; ``row`` tells rows of one id apart by their text."""
+    rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
+    plain = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "row", "at", _plain(F.col("line")).alias("plain"))
+    lead = F.substring_index("plain", " ", DEPTH)
+    n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
+    keyed = plain.select("doc_id", "row", "at", "plain", n.alias("n"), lead.alias("lead"), F.unhex(F.md5("plain")).alias("key"))
+    return keyed.select("doc_id", "row", "at", "plain", "n", F.xxhash64("n", "lead").alias("leaf"), "key")
+
+
+def variants(lines: DataFrame, known: DataFrame) -> DataFrame:
+    """(key, first): variants of a template, and the first document of it. ``known`` has leaf, key, first of the lines that can vary."""
+    several = known.groupBy("leaf").agg(F.count("*").alias("lines")).where("lines > 1").select("leaf")
+    texts = lines.where(F.col("n") >= VARIABLE).select("leaf", "key", "plain").join(several, "leaf").groupBy("leaf", "key").agg(F.min("plain").alias("plain"))
+    texts = materialise(texts.join(known, ["leaf", "key"]).select("leaf", "key", "first", F.split("plain", " ").alias("tokens")), "several")
+    rest = F.size("tokens") - DEPTH
+    pieces = F.floor(F.size("tokens") / VARIABLE).cast("int") + 1
+    at = texts.select("leaf", "key", "first", "tokens", F.explode(F.sequence(F.lit(0), pieces - 1)).alias("k"), rest.alias("rest"), pieces.alias("pieces"))
+    start, end = (F.floor(k * F.col("rest") / F.col("pieces")).cast("int") for k in (F.col("k"), F.col("k") + 1))
+    segment = F.array_join(F.slice("tokens", start + DEPTH + 1, end - start), " ")
+    filed = at.select("key", "first", F.xxhash64("leaf", "k", segment).alias("block"))
+    earliest = filed.groupBy("block").agg(F.min(F.struct("first", "key")).alias("head"), F.count("*").alias("lines")).where("lines > 1")
+    pairs = filed.join(earliest, "block").where(F.col("head.key") != F.col("key")).select("key", F.col("head.key").alias("partner")).distinct()
+    own = texts.select("key", "tokens")
+    heads = texts.select(F.col("key").alias("partner"), F.col("tokens").alias("shape"), F.col("first").alias("since"))
+    agree = F.size(F.filter(F.zip_with("tokens", "shape", lambda a, b: a == b), lambda x: x))
+    alike = pairs.join(own, "key").join(heads, "partner").where((F.size("tokens") == F.size("shape")) & (agree * VARIABLE >= F.size("tokens") * (VARIABLE - 1)))
+    alike = materialise(alike.select("key", "partner", "since"), "alike")
+    stays = alike.join(alike.select(F.col("key").alias("partner")).distinct(), "partner", "left_anti")
+    return stays.groupBy("key").agg(F.min("since").alias("first"))
+
+
+def recurring(lines: DataFrame) -> DataFrame:
+    """(key, first): lines of a recurring template, and the document in which it stays."""
+    known = materialise(lines.groupBy("leaf", "key").agg(F.min("n").alias("n"), F.min("doc_id").alias("first"), F.max("doc_id").alias("last")), "known")
+    long = known.where(F.col("n") >= VARIABLE)
+    found = variants(lines, long.select("leaf", "key", "first")).withColumnRenamed("first", "since")
+    varied = long.join(found, "key", "left").select("key", F.coalesce("since", "first").alias("first"), "last").where("first < last")
+    short = lines.where(F.col("n") < VARIABLE).select("key", "doc_id").distinct().groupBy("key")
+    short = short.agg(F.min("doc_id").alias("first"), F.count("*").alias("documents")).where(F.col("documents") >= SHORT_DOCUMENTS)
+    return varied.select("key", "first").unionByName(short.select("key", "first"))
 
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped, and ``_n_lines``, ``_n_dropped``."""
-    lines, firsts = template_firsts(docs)
-    dropped = lines.join(firsts, ["leaf", "key"]).where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("_keys"))
-    out = docs.join(dropped.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left")
+    lines = materialise(parsed_lines(docs), "lines")
+    gone = lines.select("doc_id", "row", "at", "key").join(recurring(lines), "key").where("doc_id > first")
+    gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("_gone"))
+    gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row_key"), "_gone")
+    out = docs.join(gone, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_row_key")), "left")
     every = F.split("text", "\n")
-    kept = F.filter(every, lambda x: ~F.array_contains(F.col("_keys"), _key(_tokens(x))) | (F.size(_tokens(x)) < MIN_TOKENS))
-    out = out.withColumn("_kept", F.when(F.col("_keys").isNotNull(), kept).otherwise(every))
+    # what lies between two dropped lines is one slice
+    none = F.array().cast("array<int>")
+    starts, ends = F.concat(F.array(F.lit(0)), F.transform("_gone", lambda k: k + 1)), F.concat(F.col("_gone"), F.array(F.size("_lines")))
+    kept = F.flatten(F.zip_with(starts, ends, lambda a, b: F.slice("_lines", a + 1, b - a)))
+    out = out.withColumns({"_lines": F.when(F.col("_gone").isNotNull(), every), "_n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long")})
     out = out.withColumns(
         {
-            "_n_lines": F.coalesce(F.size(every), F.lit(0)).cast("long"),
-            "_n_dropped": F.coalesce(F.size(every) - F.size("_kept"), F.lit(0)).cast("long"),
-            "text": F.when(F.col("_keys").isNotNull(), F.array_join("_kept", "\n")).otherwise(F.col("text")),
+            "_n_dropped": F.size(F.coalesce("_gone", none)).cast("long"),
+            "text": F.when(F.col("_gone").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text")),
         }
     )
-    return out.drop("_keys", "_kept", "_id")
+    return out.drop("_gone", "_lines", "_id", "_row_key")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -100,24 +116,25 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     return out.select(*[new.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
 
 
-#: The same in plain SQL; leaves and keys are the tokens themselves.
+#: The same in plain SQL; leaves and segments are the tokens themselves.
 DEDUP_SQL = r"""
 split_l AS (SELECT *, string_split(text, chr(10)) AS l FROM {docs}),
 line AS (SELECT doc_id, x, string_split_regex(regexp_replace(x, '[0-9]+', '0', 'g'), '[\x20\x09-\x0D]+') AS raw
-    FROM (SELECT doc_id, unnest(l) AS x FROM split_l)),
-tok AS (SELECT * FROM (SELECT doc_id, x, list_filter(raw, lambda t: t <> '') AS t FROM line) WHERE len(t) >= 5),
-keyed AS (SELECT doc_id, x, t, array_to_string(t, ' ') AS key, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM tok),
-known AS (SELECT leaf, key, t, min(doc_id) AS first, max(doc_id) AS last FROM keyed GROUP BY leaf, key, t),
-varied AS (SELECT * FROM known WHERE leaf IN (SELECT leaf FROM known GROUP BY leaf HAVING count(*) > 1)),
-pos AS (SELECT leaf, key, unnest(t) AS token, generate_subscripts(t, 1) AS ix FROM varied),
-top AS (SELECT leaf, ix, max(struct_pack(n := n, token := token)) AS best
-    FROM (SELECT leaf, ix, token, count(*) AS n FROM pos GROUP BY ALL) GROUP BY leaf, ix),
-alike AS (SELECT p.leaf, p.key FROM pos p JOIN top USING (leaf, ix) GROUP BY p.leaf, p.key
-    HAVING count(*) FILTER (WHERE p.token = best.token) >= 0.8 * count(*)),
-merged AS (SELECT leaf, min(first) AS first, max(last) AS last FROM known JOIN alike USING (leaf, key) GROUP BY leaf),
-firsts AS (SELECT k.leaf, k.key, coalesce(m.first, k.first) AS first, coalesce(m.last, k.last) AS last FROM known k
-    LEFT JOIN alike a ON a.leaf = k.leaf AND a.key = k.key LEFT JOIN merged m ON m.leaf = a.leaf),
-gone AS (SELECT doc_id, list(DISTINCT x) AS xs FROM keyed JOIN firsts USING (leaf, key) WHERE first < last AND doc_id > first GROUP BY doc_id),
+    FROM (SELECT doc_id, unnest(l) AS x FROM split_l WHERE doc_id IS NOT NULL)),
+tok AS (SELECT * FROM (SELECT doc_id, x, list_filter(raw, lambda t: t <> '') AS t FROM line) WHERE len(t) > 0),
+keyed AS (SELECT doc_id, x, t, len(t) AS n, md5(array_to_string(t, ' ')) AS key, len(t) || ' ' || array_to_string(t[1:3], ' ') AS leaf FROM tok),
+known AS (SELECT leaf, key, t, n, min(doc_id) AS first, max(doc_id) AS last, count(DISTINCT doc_id) AS documents FROM keyed GROUP BY leaf, key, t, n),
+several AS (SELECT *, n // 5 + 1 AS pieces FROM known WHERE n >= 5 AND leaf IN (SELECT leaf FROM known GROUP BY leaf HAVING count(*) > 1)),
+filed AS (SELECT leaf, key, t, first, k, array_to_string(t[4 + k * (n - 3) // pieces : 3 + (k + 1) * (n - 3) // pieces], ' ') AS segment
+    FROM (SELECT *, unnest(range(pieces)) AS k FROM several)),
+heads AS (SELECT leaf, k, segment, min(struct_pack(first := first, key := key)) AS head FROM filed GROUP BY ALL HAVING count(*) > 1),
+pairs AS (SELECT DISTINCT f.key, f.t, h.head.key AS partner, h.head.first AS since FROM filed f JOIN heads h USING (leaf, k, segment) WHERE h.head.key <> f.key),
+alike AS (SELECT p.key, p.partner, p.since FROM pairs p JOIN several s ON s.key = p.partner
+    WHERE 5 * len(list_filter(range(1, len(p.t) + 1), lambda i: p.t[i] = s.t[i])) >= 4 * len(p.t)),
+variant AS (SELECT key, min(since) AS since FROM alike WHERE partner NOT IN (SELECT key FROM alike) GROUP BY key),
+firsts AS (SELECT k.key, coalesce(v.since, k.first) AS first FROM known k LEFT JOIN variant v ON v.key = k.key
+    WHERE CASE WHEN n < 5 THEN documents >= 20 ELSE coalesce(v.since, k.first) < last END),
+gone AS (SELECT doc_id, list(DISTINCT x) AS xs FROM keyed JOIN firsts USING (key) WHERE doc_id > first GROUP BY doc_id),
 deduped AS (SELECT s.* EXCLUDE (l) REPLACE (CASE WHEN g.xs IS NULL THEN text
     ELSE array_to_string(list_filter(l, lambda x: NOT list_contains(g.xs, x)), chr(10)) END AS text), len(l) AS n_lines,
     len(l) - len(list_filter(l, lambda x: NOT coalesce(list_contains(g.xs, x), false))) AS n_dropped

@@ -267,3 +267,50 @@ def test_masked_lm_learns_neighbours(spark):
     got = model.network.log_probabilities(classes[:-2], classes[2:])
     hit = (got.argmax(axis=1) == classes[1:-1]).mean()
     assert hit > 0.6 > 1.5 * max(Counter(words).values()) / len(words)
+
+
+def plain_tokens(line):
+    return re.sub("[0-9]+", "0", line).split(" ") if line else []
+
+
+def test_every_dropped_line_agrees_with_a_line_that_stays(spark):
+    """Two families in one leaf, chains of variants, short lines, and lines that agree with no existing line only in a mixture."""
+    rng = random.Random(11)
+    families = ["a b c d e f g h i j", "a b c x y z u v w t", "a b c d e", "a b c q r"]
+    rows = []
+    for i in range(120):
+        text = []
+        for _ in range(rng.randint(1, 4)):
+            words = rng.choice(families).split()
+            for _ in range(rng.randint(0, 3)):
+                words[rng.randrange(len(words))] = rng.choice("abcdexyz") + str(rng.randint(0, 9)) * rng.randint(0, 1)
+            text.append(" ".join(words))
+        if i % 4 == 0:
+            text.append("All rights reserved.")
+        if i % 40 == 0:
+            text.append("Some times.")
+        rows.append((i, "\n".join(text), "en", "s", 0))
+    docs = documents(spark, rows)
+    out = {r["doc_id"]: (r["text"] or "").split("\n") if r["text"] else [] for r in line_templates.drop_recurring(docs).collect()}
+    stays = [(i, plain_tokens(x)) for i, kept in out.items() for x in kept]
+    dropped = 0
+    for i, text, *_ in rows:
+        left = list(out[i])
+        for x in text.split("\n"):
+            if left and left[0] == x:
+                left.pop(0)
+                continue
+            dropped += 1
+            t = plain_tokens(x)
+            assert any(j < i and len(t) == len(s) and 5 * sum(a == b for a, b in zip(t, s, strict=True)) >= 4 * len(t) for j, s in stays), x
+    assert dropped > 60
+    assert sum("All rights reserved." in kept for kept in out.values()) == 1 and sum("Some times." in kept for kept in out.values()) == 3
+    # both long families of the leaf are generalised
+    assert sum(x.startswith("a b c x y z") for kept in out.values() for x in kept) < sum(x.startswith("a b c x y z") for _, t, *_ in rows for x in t.split("\n")) / 3
+
+
+def test_line_templates_keep_lines_alike_to_a_mixture_only(spark):
+    """Lines that share the leading tokens but not four fifths with each other were merged through a template that was no line."""
+    docs = documents(spark, [(1, "Des erberber das. Beheit zu.", "de", "s", 0), (2, "Des erberber das. Für und.", "de", "s", 0), (3, "Des erberber das. Beheit und.", "de", "s", 0), (4, "Des erberber das. Beheit 12.", "de", "s", 0)])
+    out = {r["doc_id"]: r["_n_dropped"] for r in line_templates.drop_recurring(docs).collect()}
+    assert out == {1: 0, 2: 0, 3: 1, 4: 1}
