@@ -70,14 +70,14 @@ def _remove(spark: SparkSession, path: str) -> None:
         log.info("intermediate tables stay in %s: %s", path, gone)
 
 
-def materialise(df: DataFrame, name: str = "stage") -> DataFrame:
+def materialise(df: DataFrame, name: str = "stage", compression: str = "snappy") -> DataFrame:
     """Write ``df`` as a columnar table under the checkpoint folder and read it back.
 
     For tables that several passes scan: the passes then see short plans, file
     statistics and column pruning, and a lost executor re-reads files.
     """
     path = f"{run_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
