@@ -40,13 +40,17 @@ def _plain(line: Column) -> Column:
 
 
 def parsed_lines(docs: DataFrame) -> DataFrame:
-    """(doc_id, row, at, plain, n, leaf, key) of the lines that have a token; ``row`` tells rows of one id apart by their text."""
+    """(doc_id, row, at, plain, n, leaf, key) of the lines that have a token; ``row`` tells rows of one id apart by their text.
+
+    ``plain`` is null where a line cannot vary.
+    """
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("row"), F.posexplode(F.split("text", "\n")).alias("at", "line"))
     plain = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]")).select("doc_id", "row", "at", _plain(F.col("line")).alias("plain"))
     lead = F.substring_index("plain", " ", DEPTH)
     n = F.length("plain") - F.length(F.replace("plain", F.lit(" "), F.lit(""))) + 1
     keyed = plain.select("doc_id", "row", "at", "plain", n.alias("n"), lead.alias("lead"), F.unhex(F.md5("plain")).alias("key"))
-    return keyed.select("doc_id", "row", "at", "plain", "n", F.xxhash64("n", "lead").alias("leaf"), "key")
+    text = F.when(F.col("n") >= VARIABLE, F.col("plain")).alias("plain")
+    return keyed.select("doc_id", "row", "at", text, "n", F.xxhash64("n", "lead").alias("leaf"), "key")
 
 
 def variants(lines: DataFrame, known: DataFrame) -> DataFrame:
@@ -84,7 +88,7 @@ def recurring(lines: DataFrame) -> DataFrame:
 
 def drop_recurring(docs: DataFrame) -> DataFrame:
     """``docs`` with recurring lines dropped, and ``_n_lines``, ``_n_dropped``."""
-    lines = materialise(parsed_lines(docs), "lines")
+    lines = materialise(parsed_lines(docs), "lines", "zstd")
     gone = lines.select("doc_id", "row", "at", "key").join(recurring(lines), "key").where("doc_id > first")
     gone = gone.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set("at")).alias("_gone"))
     gone = gone.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row_key"), "_gone")
