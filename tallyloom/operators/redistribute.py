@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql.types import StructType
 
 from tallyloom.functions.columns import add_all, col, or_zero
 from tallyloom.operators.donors import borrow, donor_table
@@ -273,6 +277,99 @@ def apply_move_rules(df: DataFrame, rules, prefix: str = "c", multipliers: str |
     return df
 
 
+@dataclass(frozen=True)
+class CompiledRules:
+    """Ordered rules as index arrays over a fixed list of codes; conditions read key columns and are evaluated beforehand."""
+
+    codes: tuple[int, ...]
+    conditions: tuple[str, ...]
+    steps: tuple[tuple[list[int], list[int], int | None], ...]  # places of sources and targets, condition
+    rule_ids: tuple[str, ...]
+
+    @staticmethod
+    def of(rules, codes, prefix: str = "c") -> "CompiledRules":
+        place = {c: k for k, c in enumerate(codes)}
+        conditions = tuple(dict.fromkeys(r.condition for r in rules if r.condition))
+        steps = []
+        for r in rules:
+            if r.condition and re.search(rf"\b{prefix}\d+\b", r.condition):
+                raise ValueError(f"rule {r.rule_id}: a compiled condition reads key columns only")
+            if set(r.sources) & set(r.targets):
+                raise ValueError(f"rule {r.rule_id}: a source is a target")
+            steps.append(([place[c] for c in r.sources], [place[c] for c in r.targets], conditions.index(r.condition) if r.condition else None))
+        return CompiledRules(tuple(codes), conditions, tuple(steps), tuple(r.rule_id for r in rules))
+
+    def move(self, mass: np.ndarray, on: np.ndarray, weights: list[np.ndarray | None]) -> np.ndarray:
+        """Act on ``mass`` (cells x codes) in place, rule by rule; returns what each rule moved (cells x rules)."""
+        moved = np.zeros((len(mass), len(self.steps)))
+        for k, (sources, targets, condition) in enumerate(self.steps):
+            act = slice(None) if condition is None else np.flatnonzero(on[:, condition])
+            own = mass[act]
+            taken = own[:, sources].sum(axis=1)
+            own[:, sources] = 0.0
+            if len(targets) == 1:
+                own[:, targets[0]] += taken
+            else:
+                w = np.ones((len(own), len(targets))) if weights[k] is None else weights[k][act]
+                at = own[:, targets]
+                scaled = at * w
+                total = scaled.sum(axis=1, keepdims=True)
+                share = np.where(total > 0, scaled / np.where(total > 0, total, 1.0), w / w.sum(axis=1, keepdims=True))
+                own[:, targets] = at + taken[:, None] * share
+            mass[act] = own
+            moved[act, k] = taken
+        return moved
+
+
+def compiled_moves(wide: DataFrame, keys, rules, codes, prefix: str = "c", multipliers: str | None = None, tolerance: float = 1e-8) -> DataFrame:
+    """The ordered rules on wide cells as one narrow step: (keys, masses, moved).
+
+    ``masses`` holds a value for each of ``codes``, ``moved`` what each rule took from its sources. The plan is
+    the same for any number of rules: conditions become one array of flags, and a batch of cells is a matrix on which each
+    rule is a few vector operations.
+    """
+    keys, codes = list(keys), list(codes)
+    plan = CompiledRules.of(list(rules), codes, prefix)
+    flags = F.array(*[F.coalesce(F.expr(c), F.lit(False)) for c in plan.conditions]).cast("array<boolean>")
+    own = F.array().cast("array<array<double>>")
+    if multipliers is not None:
+        own = F.array(*[F.coalesce(F.try_element_at(multipliers, F.lit(i)), F.array().cast("array<double>")) for i in plan.rule_ids])
+    x = wide.select(*keys, F.array(*[or_zero(f"{prefix}{c}") for c in codes]).alias("masses"), flags.alias("_on"), own.alias("_w"))
+    schema = StructType([*x.select(*keys).schema.fields, *StructType.fromDDL("masses array<double>, moved array<double>").fields])
+
+    def matrix(column: pa.Array, width: int) -> np.ndarray:
+        return np.asarray(column.flatten().to_numpy(zero_copy_only=False)).reshape(len(column), width)
+
+    def lists(a: np.ndarray) -> pa.Array:
+        offsets = np.arange(0, a.size + 1, a.shape[1], dtype=np.int32) if a.shape[1] else np.zeros(len(a) + 1, np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(a).reshape(-1)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            column = dict(zip(b.schema.names, b.columns))
+            mass = matrix(column["masses"], len(plan.codes)).copy()
+            if not (mass >= -tolerance).all() or np.isinf(mass).any():  # a NaN fails the comparison
+                raise ValueError("invalid count in a cell")
+            np.maximum(mass, 0.0, out=mass)
+            weights: list[np.ndarray | None] = [None] * len(plan.steps)
+            if multipliers is not None:
+                rows = column["_w"].to_pylist()
+                for k, (_, targets, _) in enumerate(plan.steps):
+                    if len(targets) > 1:
+                        weights[k] = np.array([r[k] or [1.0] * len(targets) for r in rows]).reshape(len(rows), len(targets))
+            moved = plan.move(mass, matrix(column["_on"], len(plan.conditions)), weights)
+            yield pa.RecordBatch.from_arrays([*[column[k] for k in keys], lists(mass), lists(moved)], names=[*keys, "masses", "moved"])
+
+    return x.mapInArrow(run, schema)
+
+
+def masses_long(moved: DataFrame, keys, codes, code: str, value: str, tolerance: float = 1e-12) -> DataFrame:
+    """One row per cell and code with a mass, of ``compiled_moves``."""
+    names = F.array(*[F.lit(c) for c in codes])
+    long = moved.select(*keys, F.posexplode("masses").alias("_at", value)).filter(F.abs(value) > tolerance)
+    return long.select(*keys, F.element_at(names, F.col("_at") + 1).alias(code), value)
+
+
 def moved_by_rule(df: DataFrame, rules, by=(), prefix: str = "c", multipliers: str | None = None) -> DataFrame:
     """Mass that each rule moves when the rules act in order: (by, step, rule_id, targets, cells, moved).
 

@@ -151,8 +151,8 @@ def redistribute_causes(cells: DataFrame, draw=(), multipliers: DataFrame | None
     name = None
     if multipliers is not None:
         wide, name = wide.join(multipliers, "draw_id", "left"), "multipliers"
-    moved = redistribute.apply_move_rules(wide, cfg.MOVE_RULES, multipliers=name)
-    long = grid.unpivot_codes(moved, keys, [f"c{c}" for c in cfg.ALL_CODES], "nbdcode", "Deaths")
+    moved = redistribute.compiled_moves(wide, keys, cfg.MOVE_RULES, cfg.ALL_CODES, multipliers=name)
+    long = redistribute.masses_long(moved, keys, cfg.ALL_CODES, "nbdcode", "Deaths")
     levels = {n: [*draw, *ks] for n, ks in cfg.FALLBACK_LEVELS.items()}
     return redistribute.renormalise_envelopes(
         long, keys, "nbdcode", "Deaths", {"natural": cfg.NATURAL_CODES, "injury": cfg.INJURY_CODES}, cfg.EXCLUSIONS, levels,

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators import aggregate, compose, grid, redistribute, validate
+from tallyloom.plans import study
 from tallyloom.queries.inputs import (
-    LINES_PART, PRIORITIES, P_TYPES, UNKNOWN_PRIORITY, cells_sql, in_list, lines_part, order_cells, values,
+    LINES_PART, PRIORITIES, P_TYPES, UNKNOWN_PRIORITY, cells_sql, in_list, lines_part, order_cells, table, values,
 )
 from tallyloom.queries.registry import query, rounded
 
@@ -264,6 +265,36 @@ def rule_sequence_audit(spark, sf):
     return rounded(redistribute.moved_by_rule(wide, TYPE_RULES))
 
 
+_STUDY_CELLS = "place age5 yr".split()
+
+
+def _study_rules_sql() -> str:
+    """The study's rules one statement after another over wide cells."""
+    code = "CAST(l_partkey % 214 + 1 AS INTEGER)"
+    wide = ", ".join(f"CAST(count(*) FILTER (code = {c}) AS DOUBLE) AS c{c}" for c in study.ALL_CODES)
+    steps = [f"src AS (SELECT CAST(l_suppkey % 3 AS INTEGER) AS place, CAST(l_quantity % 20 + 1 AS INTEGER) AS age5, CAST(year(l_shipdate) AS INTEGER) AS yr, {code} AS code FROM lineitem)"]
+    steps.append(f"r0 AS MATERIALIZED (SELECT place, age5, yr, {wide} FROM src GROUP BY ALL)")
+    for k, r in enumerate(study.MOVE_RULES):
+        on, taken = r.condition or "TRUE", " + ".join(f"c{c}" for c in r.sources)
+        total = " + ".join(f"c{c}" for c in r.targets)
+        new = [f"CASE WHEN {on} THEN 0 ELSE c{c} END AS c{c}" for c in r.sources]
+        new += [f"CASE WHEN {on} THEN c{c} + ({taken}) * CASE WHEN {total} > 0 THEN c{c} / ({total}) ELSE 1.0::DOUBLE / {len(r.targets)} END ELSE c{c} END AS c{c}" for c in r.targets]
+        steps.append(f"r{k + 1} AS MATERIALIZED (SELECT * REPLACE ({', '.join(new)}) FROM r{k})")
+    return f"WITH {', '.join(steps)} SELECT place, age5, yr, CAST(substr(name, 2) AS INTEGER) AS code, round(n, 6) AS n FROM (UNPIVOT r{len(study.MOVE_RULES)} ON COLUMNS('^c[0-9]+$') INTO NAME name VALUE n) WHERE abs(n) > 1e-12"
+
+
+@query("study_rules_on_cells", "R7 R1 R3 A5 A6", _study_rules_sql())
+def study_rules_on_cells(spark, sf):
+    """All rules of the study in order on cells of line items, with 214 codes."""
+    x = table(spark, sf, "lineitem").select(
+        (F.col("l_suppkey") % 3).cast("int").alias("place"), (F.col("l_quantity") % 20 + 1).cast("int").alias("age5"), F.year("l_shipdate").cast("int").alias("yr"),
+        (F.col("l_partkey") % 214 + 1).cast("int").alias("code"), F.lit(1.0).alias("n"),
+    )
+    wide = grid.pivot_codes(x, _STUDY_CELLS, "code", study.ALL_CODES, "n")
+    moved = redistribute.compiled_moves(wide, _STUDY_CELLS, study.MOVE_RULES, study.ALL_CODES)
+    return rounded(redistribute.masses_long(moved, _STUDY_CELLS, study.ALL_CODES, "code", "n"))
+
+
 _NS_KEYS = ["nation", "yr", "mon", "segment"]
 
 

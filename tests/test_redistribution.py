@@ -170,3 +170,25 @@ def test_fractions_must_cover_mass(spark):
         R.apply_fractions(cells, frac, ["g"], "c", "v", "f").collect()
     ok = R.apply_fractions(cells.filter("g = 1"), frac, ["g"], "c", "v", "f")
     assert rows(ok, "c", "v") == [("a", 1.25), ("b", 3.75)]
+
+
+def test_compiled_rules_equal_the_projections(spark):
+    """The same rules as stacked projections, with and without weights; the plan does not grow with the rules."""
+    rules = R.parse_rules("a | 1 2 | 3 |\nb | 3 | 4 5 | k > 1\nc | 6 | 1 2 4 | k = 1\nd | 4 | 6 |\ne | 5 | 1 2 3 | k > 0")
+    rows = [(k, d, *(float((k * 7 + d * 3 + c * 5) % 11 if (k + c) % 3 else 0) for c in range(1, 7))) for k in range(4) for d in range(5)] + [(None, 0, *[1.0] * 6), (2, 9, *[0.0] * 5, None)]
+    df = spark.createDataFrame(rows, "k int, d int, " + ", ".join(f"c{c} double" for c in range(1, 7)))
+    weights = F.create_map(F.lit("b"), F.array(F.lit(0.5), F.lit(1.5)), F.lit("e"), F.array(F.lit(2.0), F.lit(0.5), F.lit(0.5)))
+    for name in (None, "w"):
+        x = df if name is None else df.withColumn("w", weights)
+        plain = {(r["k"], r["d"]): [r[f"c{c}"] for c in range(1, 7)] for r in R.apply_move_rules(x, rules, multipliers=name).collect()}
+        got = R.compiled_moves(x, ["k", "d"], rules, range(1, 7), multipliers=name)
+        for r in got.collect():
+            assert r["masses"] == pytest.approx(plain[r["k"], r["d"]], abs=1e-12) and len(r["moved"]) == 5
+        depth = lambda n: R.compiled_moves(x, ["k", "d"], rules * n, range(1, 7), multipliers=name)._jdf.queryExecution().optimizedPlan().treeString().count("\n")
+        assert depth(1) == depth(20)
+    long = R.masses_long(got, ["k", "d"], range(1, 7), "code", "n")
+    assert long.filter("k = 2 AND d = 9").count() == 0 and long.filter("k IS NULL").agg(F.sum("n")).first()[0] == pytest.approx(6.0)
+    with pytest.raises(ValueError, match="key columns"):
+        R.CompiledRules.of(R.parse_rules("x | 1 | 2 | c3 > 0"), range(1, 7))
+    with pytest.raises(Exception, match="invalid count"):
+        R.compiled_moves(df.withColumn("c1", F.lit(-1.0)), ["k", "d"], rules, range(1, 7)).collect()
