@@ -6,13 +6,14 @@ from functools import reduce
 from itertools import product
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import finite, or_zero
-from tallyloom.session import small_table
+from tallyloom.session import materialise, small_table
 
-#: Most labels that are listed for one group.
-MAX_LABELS = 10_000
+#: Labels that one row lists; a group with more has NULL there, and all of them in ``label_chunks``.
+LISTED = 10_000
 
 
 def grouped_sum(df: DataFrame, by, values) -> DataFrame:
@@ -171,7 +172,7 @@ def coverage(df: DataFrame, by, year: str, cell, label: str) -> DataFrame:
     """Rows, first and last year, distinct cells and the joined labels per group.
 
     Rows are summed per cell and label first, so a group's rows never meet; the labels of a
-    group are gathered only up to ``MAX_LABELS``, above which the job fails.
+    group are joined up to ``LISTED``, and ``label_chunks`` has those of any group.
     """
     by, cell = list(by), list(cell)
     known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in cell])
@@ -183,17 +184,39 @@ def coverage(df: DataFrame, by, year: str, cell, label: str) -> DataFrame:
     main = cells.groupBy(*groups).agg(
         F.sum("_n").alias("rows"), F.min("_a").alias("first_year"), F.max("_b").alias("last_year"), F.count("_cell").alias("cells")
     )
-    labels = small.groupBy(*groups, "_l").agg(F.count("*").alias("_n")).groupBy(*groups).agg(joined_labels("_l", "labels"))
+    labels = in_order(small.groupBy(*groups, "_l").agg(F.count("*").alias("_n")), groups, "_l").groupBy(*groups).agg(joined_labels("_l", "labels"))
     same = reduce(lambda a, b: a & b, [main[g].eqNullSafe(labels[g]) for g in groups])
     return main.join(labels, same).select(*[main[g].alias(c) for g, c in zip(groups, by)], "rows", "first_year", "last_year", "cells", "labels")
 
 
 def joined_labels(label: str, name: str) -> Column:
-    """Sorted labels joined by commas, from rows that are distinct already; too many fail the job."""
-    some = F.when(F.count(label) <= MAX_LABELS, F.collect_list(label)).otherwise(
-        F.raise_error(F.lit(f"more than {MAX_LABELS} labels in one group")).cast("array<string>")
-    )
-    return F.array_join(F.sort_array(some), ",").alias(name)
+    """Sorted labels joined by commas, from rows that are distinct already; NULL for more than ``LISTED``.
+
+    A row keeps ``LISTED`` labels and one more at most: each carries its number in order, counted by a
+    window beforehand, or the sum of lengths would be gathered first.
+    """
+    held = F.collect_list(F.when(F.col("_nth") <= LISTED, F.col(label)))
+    return F.when(F.count(label) <= LISTED, F.array_join(F.sort_array(held), ",")).alias(name)
+
+
+def in_order(df: DataFrame, by, label: str) -> DataFrame:
+    """``_nth`` of each label in its group, for ``joined_labels``; the window streams and spills."""
+    return df.withColumn("_nth", F.when(F.col(label).isNotNull(), F.row_number().over(W.partitionBy(*by).orderBy(F.col(label).asc_nulls_last()))))
+
+
+def label_chunks(df: DataFrame, by, label: str, size: int = 1000) -> DataFrame:
+    """All distinct labels of every group in order, in rows of at most ``size``: (by, chunk, first, labels).
+
+    Rows are sorted over all tasks by group and label, so a large group is many tasks' work; chunks of
+    a group order by ``chunk``.
+    """
+    by = list(by)
+    rows = df.filter(F.col(label).isNotNull()).select(*by, F.col(label).cast("string").alias("_l")).distinct()
+    # written, so that numbers given by place hold
+    placed = materialise(rows.repartitionByRange(*by, "_l").sortWithinPartitions(*by, "_l").withColumn("_at", F.monotonically_increasing_id()), "labels")
+    chunk = F.floor(F.col("_at") / size)
+    g = placed.groupBy(*by, chunk.alias("chunk")).agg(F.sort_array(F.collect_list("_l")).alias("labels"))
+    return g.select(*by, "chunk", F.get("labels", F.lit(0)).alias("first"), F.array_join("labels", ",").alias("labels"))
 
 
 def kish(weight: str) -> Column:

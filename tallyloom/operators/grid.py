@@ -1,6 +1,6 @@
 """Grids of cells and the long/wide reshapes around them.
 
-Grids are built by exploding bounded code lists, never by a cross join.
+Grids are built by exploding code lists and numbers of levels, never by a cross join; a dimension may have any number of levels.
 """
 
 from __future__ import annotations
@@ -8,38 +8,57 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-MAX_LEVELS = 10_000
+from tallyloom.session import materialise
+
+#: Rows of a table that travel as one array value; a larger table is numbered and joined.
+ARRAY_ROWS = 10_000
 
 
 def literal_levels(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
-def bounded_rows(small: DataFrame, max_rows: int = MAX_LEVELS) -> Column:
-    """All rows of a small table as one array value, refused above ``max_rows``.
-
-    The row limit is applied before anything is gathered, so an oversized table
-    fails the job instead of filling a task.
-    """
+def packed_rows(small: DataFrame) -> Column:
+    """All rows of a table as one array value; for tables whose number of rows has been checked."""
     row = F.struct(*[F.col(c) for c in small.columns])
-    packed = small.limit(max_rows + 1).agg(F.collect_list(row).alias("r"))
-    guarded = packed.select(
-        F.when(F.size("r") <= max_rows, F.col("r")).otherwise(
-            F.raise_error(F.lit(f"more than {max_rows} rows in a table expected to be small"))
-        ).alias("r")
-    )
-    return guarded.scalar()
+    return small.agg(F.collect_list(row).alias("r")).scalar()
+
 
+def numbered(df: DataFrame, name: str = "_i") -> DataFrame:
+    """Rows with the numbers 0, 1, ... in some order: numbered inside hash buckets, which begin where the last one ends."""
+    spark = df.sparkSession
+    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    h = F.xxhash64(*df.columns)
+    x = df.withColumn("_b", F.pmod(h, F.lit(buckets)).cast("int"))
+    inside = x.withColumn("_k", F.row_number().over(W.partitionBy("_b").orderBy(h, *df.columns)) - 1)
+    # one row for each bucket, of which there are as many as shuffle partitions
+    sizes = x.groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = sizes.select("_b", (F.sum("_n").over(W.orderBy("_b")) - F.col("_n")).alias("_start"))
+    return inside.join(starts, "_b").withColumn(name, F.col("_start") + F.col("_k")).drop("_b", "_k", "_start")
 
-def attach_all(left: DataFrame, right: DataFrame, max_rows: int = MAX_LEVELS) -> DataFrame:
-    """Every left row with every row of a bounded right table; names must not clash."""
+
+def attach_all(left: DataFrame, right: DataFrame, array_rows: int = ARRAY_ROWS) -> DataFrame:
+    """Every left row with every right row; names must not clash.
+
+    The right table is written and counted. Few rows travel as one array value; more get numbers, every left row is
+    dealt the numbers in runs of ``array_rows``, and an equi join turns numbers into rows.
+    """
     clash = set(left.columns) & set(right.columns)
     if clash:
         raise ValueError(f"column names on both sides: {sorted(clash)}")
-    out = left.withColumn("_r", F.explode(bounded_rows(right, max_rows)))
-    return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns])
+    right = materialise(right, "attached")
+    n = right.count()
+    if n <= array_rows:
+        out = left.withColumn("_r", F.explode(packed_rows(right)))
+        return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns])
+    rows = materialise(numbered(right), "numbered")
+    first = F.col("_run") * array_rows
+    dealt = left.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // array_rows))))
+    dealt = dealt.withColumn("_i", F.explode(F.sequence(first, F.least(first + array_rows, F.lit(n)) - 1))).drop("_run")
+    return dealt.join(rows, "_i").select(*left.columns, *right.columns)
 
 
 def level_grid(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
@@ -53,9 +72,7 @@ def level_grid(spark: SparkSession, levels: dict[str, list]) -> DataFrame:
     return spark.range(total).select(*out)
 
 
-def observed_grid(
-    df: DataFrame, dimensions: list[str], levels: dict[str, list] | None = None, max_levels: int = MAX_LEVELS
-) -> DataFrame:
+def observed_grid(df: DataFrame, dimensions: list[str], levels: dict[str, list] | None = None) -> DataFrame:
     """Grid of the levels seen in ``df`` (or supplied), spread over the first dimension."""
     levels = levels or {}
     if all(d in levels for d in dimensions):
@@ -64,7 +81,7 @@ def observed_grid(
     grid = df.select(observed[0]).filter(F.col(observed[0]).isNotNull()).distinct()
     for d in observed[1:]:
         seen = df.select(d).filter(F.col(d).isNotNull()).distinct()
-        grid = attach_all(grid, seen, max_levels)
+        grid = attach_all(grid, seen)
     for d in dimensions:
         if d in levels:
             grid = grid.withColumn(d, F.explode(literal_levels(levels[d])))

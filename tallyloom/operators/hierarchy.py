@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.functions.columns import or_zero, plain_label
-from tallyloom.operators.aggregate import joined_labels
+from tallyloom.operators.aggregate import in_order, joined_labels
 from tallyloom.operators.grid import complete_codes
 from tallyloom.operators.validate import group_errors
 
@@ -124,6 +124,7 @@ def supported_series(mapping: DataFrame, available: DataFrame, series: str, sour
     have = available.select(source).distinct().withColumn("_have", F.lit(True))
     missing = F.when(F.col("_have").isNull(), F.col(source).cast("string"))
     flagged = per_code.join(have, source, "left").withColumn("_missing", missing)
+    flagged = in_order(flagged, [series], "_missing")
     out = flagged.groupBy(series).agg(
         F.count("*").alias("components"),
         F.count("_missing").alias("missing"),

@@ -244,6 +244,33 @@ def attach_bounded_levels(spark, sf):
     return both.withColumn("cells", both.agg(F.count("*")).scalar())
 
 
+@query(
+    "grid_of_many_levels", "J5 J6",
+    """WITH k AS (SELECT DISTINCT l_orderkey FROM lineitem), f AS (SELECT DISTINCT l_returnflag FROM lineitem)
+    SELECT l_returnflag, l_orderkey, coalesce(q, 0) AS l_quantity FROM f CROSS JOIN k LEFT JOIN (SELECT l_returnflag, l_orderkey, CAST(sum(l_quantity) AS DOUBLE) AS q FROM lineitem GROUP BY ALL) USING (l_returnflag, l_orderkey)""",
+)
+def grid_of_many_levels(spark, sf):
+    """Every order with every flag: a dimension of more levels than an array value holds."""
+    l = table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_quantity")
+    return grid.complete_cells(l, ["l_returnflag", "l_orderkey"], ["l_quantity"])
+
+
+@query(
+    "label_chunks_of_parts", "A24 A22",
+    """WITH d AS (SELECT DISTINCT l_returnflag, CAST(l_orderkey AS VARCHAR) AS l FROM lineitem)
+    SELECT l_returnflag, count(*) AS labels, min(l) AS first, max(l) AS last, CAST(sum(length(l)) AS BIGINT) AS chars, TRUE AS bounded FROM d GROUP BY ALL""",
+)
+def label_chunks_of_parts(spark, sf):
+    """All order numbers under a flag, in chunks; told by what the chunks hold."""
+    c = aggregate.label_chunks(table(spark, sf, "lineitem").select("l_returnflag", "l_orderkey"), ["l_returnflag"], "l_orderkey")
+    names = F.split("labels", ",")
+    n = F.size(names)
+    return c.groupBy("l_returnflag").agg(
+        F.sum(n).alias("labels"), F.min("first").alias("first"), F.max(F.element_at(names, -1)).alias("last"),
+        F.sum(F.char_length("labels") - n + 1).alias("chars"), (F.max(n) <= 1000).alias("bounded"),
+    )
+
+
 @query(
     "group_by_target_codes", "J7",
     f"""WITH {cells_sql('nation', 'mon', 'yr', 'priority')} SELECT g.nation, g.yr, g.mon, p.priority, coalesce(c.n, 0) AS n

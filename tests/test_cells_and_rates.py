@@ -102,8 +102,26 @@ def test_bounded_attachment(spark):
     assert grid.attach_all(left, right).count() == 12
     with pytest.raises(ValueError):
         grid.attach_all(left, left)
-    with pytest.raises(FAILED):
-        grid.attach_all(left, right, max_rows=2).collect()
+    expect = sorted((a, b) for a in range(3) for b in range(4))
+    for array_rows in (1, 2, 3, 4):
+        assert rows(grid.attach_all(left, right, array_rows), "a", "b") == expect
+    assert grid.attach_all(left, right.filter("false")).count() == 0
+    twice = grid.numbered(right.unionByName(right).withColumn("x", F.lit(None).cast("string")))
+    assert sorted(r["_i"] for r in twice.collect()) == list(range(8))
+
+
+def test_labels_of_large_groups_come_in_chunks(spark, monkeypatch):
+    df = spark.createDataFrame([(g, y, c, f"l{c:03d}") for g in ("a", "b", None) for y in (1, 2) for c in range(3 if g == "b" else 25)], "g string, y int, c int, l string")
+    chunks = aggregate.label_chunks(df, ["g"], "l", 10).orderBy("g", "chunk").collect()
+    got = {}
+    for r in chunks:
+        names = r["labels"].split(",")
+        assert len(names) <= 10 and r["first"] == names[0]
+        got[r["g"]] = got.get(r["g"], []) + names
+    assert got == {g: [f"l{c:03d}" for c in range(n)] for g, n in (("a", 25), ("b", 3), (None, 25))}
+    monkeypatch.setattr(aggregate, "LISTED", 10)
+    out = {r["g"]: (r["labels"], r["cells"]) for r in aggregate.coverage(df, ["g"], "y", ["c"], "l").collect()}
+    assert out == {"a": (None, 25), "b": ("l000,l001,l002", 3), None: (None, 25)}
 
 
 def test_pivot_and_back(spark):
