@@ -16,8 +16,7 @@ Measured recall at ten on the test vectors (random directions, the hardest case)
 
 Defined cases: vectors that are null, zero or hold null or non-finite components, and rows without an
 id, take no part. Vectors of another length than the query's are not candidates. Rows that share
-an id are candidates of their own, and the nearest stands for them in the result, which may then be
-shorter. Ties go to the smaller id. Other columns do not matter.
+an id are one candidate, by the nearest of them. Ties go to the smaller id. Other columns do not matter.
 """
 
 from __future__ import annotations
@@ -27,10 +26,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import map_rows, table
+from tallyloom.llm.common import table
 from tallyloom.llm.registry import query
 from tallyloom.session import materialise
 
@@ -79,20 +79,27 @@ def probes(inside: np.ndarray, count: int) -> list[np.ndarray]:
     return out
 
 
-def usable(vector: list | None) -> bool:
-    if not vector or any(x is None for x in vector):
-        return False
-    v = np.asarray(vector, np.float64)
-    return bool(np.isfinite(v).all() and v.any())
+def matrices(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places and vectors (double) of the usable rows of a batch (id, vec), by dimension; values are read as they lie."""
+    vec = batch.column("vec")
+    lengths = pc.fill_null(pc.list_value_length(vec), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    values = vec.flatten().to_numpy(zero_copy_only=False).astype(np.float64)  # a null component becomes NaN
+    starts = np.cumsum(lengths) - lengths
+    known = pc.is_valid(batch.column("id")).to_numpy(zero_copy_only=False)
+    for dim in np.unique(lengths[lengths > 0]).tolist():
+        at = np.flatnonzero((lengths == dim) & known)
+        x = values[starts[at][:, None] + np.arange(dim)]
+        good = np.isfinite(x).all(axis=1) & x.any(axis=1)
+        if good.any():
+            yield at[good], x[good]
 
 
-def _squares(batches: Iterator[dict]) -> Iterator[dict]:
+def _squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n, total = 0, 0.0
     for b in batches:
-        for v in b["vec"]:
-            if usable(v):
-                n, total = n + 1, total + float(np.square(np.asarray(v, np.float64)).sum())
-    yield {"n": [n], "total": [total]}
+        for at, x in matrices(b):
+            n, total = n + len(at), total + float(np.square(x).sum())
+    yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([total])], names=["n", "total"])
 
 
 def filed(vectors: DataFrame, every: int, scale: float) -> DataFrame:
@@ -100,29 +107,27 @@ def filed(vectors: DataFrame, every: int, scale: float) -> DataFrame:
     width = WIDTH * scale
     kind = dict(vectors.dtypes)["vec"]
 
-    def run(batches: Iterator[dict]) -> Iterator[dict]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: dict[int, list[tuple[int, list]]] = {}
-            for i, v in zip(b["id"], b["vec"], strict=True):
-                if i is not None and usable(v):
-                    rows.setdefault(len(v), []).append((i, v))
-            for dim, some in rows.items():
-                ids, x = [i for i, _ in some], np.array([v for _, v in some], np.float64)
+            for at, x in matrices(b):
+                ids, dim = b.column("id").take(pa.array(at)).to_numpy(), x.shape[1]
+                asks = np.flatnonzero(ids % every == 0)
                 for t in range(TABLES):
                     a, shift = directions(dim, t)
                     place = x @ a / width + shift
                     cell = np.floor(place)
-                    yield _table(bucket_of(cell, dim, t), dim, t, 1, ids, [v for _, v in some])
-                    for n in [n for n, i in enumerate(ids) if i % every == 0]:
-                        moves = cell[n] + np.stack(probes(place[n] - cell[n], PROBES))
-                        yield _table(bucket_of(moves, dim, t), dim, t, 0, [ids[n]] * len(moves), [some[n][1]] * len(moves))
+                    yield _filed_rows(b, bucket_of(cell, dim, t), dim, t, 1, at)
+                    moves = [cell[n] + np.stack(probes(place[n] - cell[n], PROBES)) for n in asks.tolist()]
+                    if moves:
+                        yield _filed_rows(b, bucket_of(np.concatenate(moves), dim, t), dim, t, 0, np.repeat(at[asks], [len(m) for m in moves]))
 
-    return map_rows(vectors, run, f"bucket long, dim int, tbl int, kind int, id long, vec {kind}")
+    return vectors.select("id", "vec").mapInArrow(run, f"bucket long, dim int, tbl int, kind int, id long, vec {kind}")
 
 
-def _table(buckets: np.ndarray, dim: int, t: int, kind: int, ids: list, vectors: list) -> dict:
-    n = len(ids)
-    return {"bucket": buckets, "dim": [dim] * n, "tbl": [t] * n, "kind": [kind] * n, "id": ids, "vec": vectors}
+def _filed_rows(b: pa.RecordBatch, buckets: np.ndarray, dim: int, t: int, kind: int, at: np.ndarray) -> pa.RecordBatch:
+    n, places = len(at), pa.array(at)
+    same = [pa.array(np.full(n, v, np.int32)) for v in (dim, t, kind)]
+    return pa.RecordBatch.from_arrays([pa.array(buckets), *same, b.column("id").take(places), b.column("vec").take(places)], names=["bucket", "dim", "tbl", "kind", "id", "vec"])
 
 
 class Cell:
@@ -139,10 +144,14 @@ class Cell:
         far = (q * q).sum(1)[:, None] + (x * x).sum(1) - 2 * q @ x.T
         same = own[:, None] == ids
         far[same] = np.inf
-        k = min(TOP, len(ids)) - 1
-        border = np.partition(far, k, axis=1)[:, k : k + 1]
+        # rows of one id lie together and count once, by their nearest
+        starts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+        by_id = far if len(starts) == len(ids) else np.minimum.reduceat(far, starts, axis=1)
+        k = min(TOP, len(starts)) - 1
+        border = np.partition(by_id, k, axis=1)[:, k : k + 1]
         # rounding must not decide: whatever may be among the nearest is measured exactly
-        n, m = np.nonzero((far <= border + 1e-9 * (1 + np.abs(border))) & ~same)
+        slack = 16 * np.finfo(np.float64).eps * x.shape[1] * ((q * q).sum(1)[:, None] + (x * x).sum(1).max())
+        n, m = np.nonzero((far <= border + slack) & ~same)
         for at in range(0, len(n), 65_536):
             a, b = n[at : at + 65_536], m[at : at + 65_536]
             self.found.append((own[a], ids[b], np.sqrt(np.square(q[a] - x[b]).sum(axis=1))))
@@ -153,6 +162,10 @@ class Cell:
         if not self.found:
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q, i, d = (np.concatenate(x) for x in zip(*self.found, strict=True))
+        order = np.lexsort((d, i, q))
+        q, i, d = q[order], i[order], d[order]
+        once = np.r_[True, (q[1:] != q[:-1]) | (i[1:] != i[:-1])]
+        q, i, d = q[once], i[once], d[once]
         order = np.lexsort((i, d, q))
         q, i, d = q[order], i[order], d[order]
         start = np.flatnonzero(np.r_[True, q[1:] != q[:-1]])
@@ -220,7 +233,7 @@ def _top(found: DataFrame) -> DataFrame:
 def nearest(vectors: DataFrame, every: int = 100, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): the ``TOP`` nearest found of each row whose id ``every`` divides."""
     source = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
-    total = map_rows(source, _squares, "n long, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
+    total = source.mapInArrow(_squares, "n long, total double").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).first()
     scale = float(np.sqrt(total["total"] / total["n"])) if total["n"] else 1.0
     rows = materialise(filed(source, every, scale), "filed")
     found = materialise(_top(search_cells(rows)), "nearest")

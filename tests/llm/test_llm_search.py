@@ -166,8 +166,8 @@ def test_toxicity_cases(spark):
     assert toxicity.drop_toxic(rows.where("false"), model).count() == 0
 
 
-def vectors(spark, rows):
-    return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, score double")
+def vectors(spark, rows, kind="float"):
+    return spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int, score double")
 
 
 def exact_neighbours(rows, every=100):
@@ -214,6 +214,28 @@ def test_neighbours_cases(spark, monkeypatch):
     assert neighbours.nearest(vectors(spark, rows).where("false")).count() == 0
 
 
+def test_neighbours_far_from_the_origin_and_with_repeated_ids(spark, monkeypatch):
+    """Rounding of large norms lost true neighbours; rows of one id crowded out the rest of a cell."""
+    monkeypatch.setattr(neighbours, "STEP", 64)
+    rng = np.random.default_rng(8)
+    base = rng.standard_normal(16) * 1e7
+    points = base + rng.standard_normal((400, 16)) * 0.05
+    rows = [(i, p.tolist(), 0, 0.0) for i, p in enumerate(points)]
+    rows += [(500, (points[0] + 1e-4 * rng.standard_normal(16)).tolist(), 0, 0.0) for _ in range(40)]
+    rows += [(0, (points[0] + 0.01).tolist(), 0, 0.0)]
+    got = {}
+    for r in neighbours.nearest(vectors(spark, rows, "double")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    for q in (0, 100, 200, 300, 500):
+        own = [np.array(v) for i, v, *_ in rows if i == q]
+        best = {}
+        for i, v, *_ in rows:
+            if i != q:
+                best[i] = min(best.get(i, np.inf), *(float(np.sqrt(np.square(o - np.array(v)).sum())) for o in own))
+        want = sorted((d, i) for i, d in best.items())[:10]
+        assert got[q] == [(i, d) for d, i in want]
+
+
 def test_probes_come_in_order_of_success():
     rng = np.random.default_rng(0)
     for _ in range(20):
