@@ -45,7 +45,7 @@ class Limit:
 #: The base rule of every document, and the threshold table of the method.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 LIMITS = (
-    Limit("words", 50, 1_000_000),
+    Limit("words", 50),
     Limit("mean_word", 2.0, 12.0),
     Limit("symbols_per_word", None, 0.1),
     Limit("stop_share", 0.02, None),
@@ -165,7 +165,7 @@ counted AS (SELECT d.*, len(w) AS n_words, length(regexp_replace(text, '[\x20\x0
     len(list_filter(l, lambda x: rtrim(x) LIKE '%...' OR rtrim(x) LIKE '%…')) AS n_ellipses
     FROM doc d JOIN listed USING (rid) LEFT JOIN covered c USING (rid)),
 based AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted),
-judged AS (SELECT *, NOT base_failed AND n_words <= 1000000 AND word_chars / n_words BETWEEN 2 AND 12
+judged AS (SELECT *, NOT base_failed AND word_chars / n_words BETWEEN 2 AND 12
     AND n_symbols / n_words <= 0.1 AND n_stop / n_words >= 0.02 AND n_letters / word_chars >= 0.6
     AND n_dup_lines / n_lines <= 0.4 AND n_bullets / n_lines <= 0.9 AND n_ellipses / n_lines <= 0.3 AS kept FROM based)
 """
