@@ -10,7 +10,7 @@ from tallyloom.operators import aggregate, grid, rates, validate
 from tallyloom.plans import views
 from tallyloom.queries.inputs import LINES_PART, in_list, lines_part, table, values
 from tallyloom.queries.registry import query, rounded
-from tallyloom.session import small_table
+from tallyloom.session import materialise, small_table
 
 AGES = list(range(20))
 WEIGHTS = [8.86, 8.69, 8.60, 8.47, 8.22, 7.93, 7.61, 7.15, 6.59, 6.04, 5.37, 4.55, 3.72, 2.96, 2.21, 1.52, 0.91, 0.60]
@@ -377,18 +377,35 @@ def assembled_model_table(spark, sf):
     return rounded(views.rates_long(two_models(spark, sf).unionByName(n), ["model", "nation", "yr"], ["estimate"]), 2)
 
 
+_TOLERANCE = "1e-6 * greatest(1, max(abs(d)))"
+
+
 @query(
     "report_check_suite", "V12 V6",
-    f"""WITH {_cube_sql()} SELECT c AS "check", 'pass' AS status, CAST(count(*) FILTER (Deaths < 0) AS BIGINT) AS failures FROM x4, (VALUES ('national_is_sum'), ('person_is_sum'), ('rate_arithmetic'), ('additive_ages')) t(c) GROUP BY c""",
+    f"""WITH {_cube_sql()}, sound AS (SELECT Grouping AS g, Sex AS s, DeathYear AS y, nbdcode AS c, age AS a, Deaths AS d, Pop AS p, CASE WHEN Pop > 0 THEN 1e5 * Deaths / Pop END AS rate FROM x4 WHERE Grouping <= 10),
+    x AS (SELECT 'sound' AS run, * FROM sound UNION ALL SELECT 'broken', * REPLACE (CASE WHEN g = 3 AND s = 3 AND a = 7 THEN 1.1 * d + 1 ELSE d END AS d) FROM sound),
+    bad AS (SELECT run, 'national_is_sum' AS "check" FROM x GROUP BY run, s, y, c, a HAVING abs(sum(CASE WHEN g = 10 THEN -d ELSE d END)) > {_TOLERANCE}
+      UNION ALL SELECT run, 'person_is_sum' FROM x GROUP BY run, g, y, c, a HAVING abs(sum(CASE WHEN s = 3 THEN -d ELSE d END)) > {_TOLERANCE}
+      UNION ALL SELECT run, 'rate_arithmetic' FROM x WHERE p > 0 AND abs(rate - 1e5 * d / p) > 1e-6 * greatest(1, abs(rate))
+      UNION ALL SELECT run, 'additive_ages' FROM x, (VALUES (25, 0), (26, 5)) t(code, low) WHERE a = code OR a BETWEEN low AND 19 GROUP BY run, g, s, y, c, code
+        HAVING abs(sum(CASE WHEN a = code THEN -d ELSE d END)) > 1e-6 * greatest(1, coalesce(sum(d) FILTER (a = code), 0)))
+    SELECT r.run, k."check", CASE WHEN count(b.run) = 0 THEN 'pass' ELSE 'fail' END AS status, count(b.run) AS failures
+    FROM (VALUES ('sound'), ('broken')) r(run) CROSS JOIN (VALUES ('national_is_sum'), ('person_is_sum'), ('rate_arithmetic'), ('additive_ages')) k("check") LEFT JOIN bad b ON b.run = r.run AND b."check" = k."check" GROUP BY ALL""",
 )
 def report_check_suite(spark, sf):
-    x = cube(spark, sf).filter("Grouping <= 10").select(
+    """The checks on the cube, and on a twin in which one age of one province is wrong, so that each check has something to find."""
+    sound = materialise(cube(spark, sf).filter("Grouping <= 10"), "cube").select(
         F.col("Grouping").alias("geography"), F.col("Sex").alias("sex"), F.col("DeathYear").alias("year"), F.col("nbdcode").alias("series"),
         F.col("Age").alias("age"), F.col("Deaths").alias("deaths"), F.col("Pop").alias("population"), rates.crude_rate("Deaths", "Pop").alias("crude_rate"),
     )
-    checks = views.report_checks(x)
-    bad = views.additive_ages(x, ["geography", "sex", "year", "series"], "age", "deaths", {25: AGES, 26: list(range(5, 20))})
-    extra = bad.agg(F.count("*").alias("failures")).select(
-        F.lit("additive_ages").alias("check"), F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"), "failures"
-    )
-    return checks.unionByName(extra)
+    wrong = (F.col("geography") == 3) & (F.col("sex") == 3) & (F.col("age") == 7)
+    broken = sound.withColumn("deaths", F.when(wrong, 1.1 * F.col("deaths") + 1).otherwise(F.col("deaths")))
+    out = None
+    for run, x in (("sound", sound), ("broken", broken)):
+        bad = views.additive_ages(x, ["geography", "sex", "year", "series"], "age", "deaths", {25: AGES, 26: list(range(5, 20))})
+        extra = bad.agg(F.count("*").alias("failures")).select(
+            F.lit("additive_ages").alias("check"), F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"), "failures"
+        )
+        checks = views.report_checks(x).unionByName(extra).withColumn("run", F.lit(run))
+        out = checks if out is None else out.unionByName(checks)
+    return out
