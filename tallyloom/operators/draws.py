@@ -8,12 +8,9 @@ from __future__ import annotations
 
 import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
-from pyspark.sql.types import ArrayType, DoubleType
 
 from tallyloom.functions.columns import Z_LOWER, Z_UPPER, finite, or_zero, safe_ratio
 from tallyloom.functions.gamma import gamma_mean_one, log_gamma_draw
@@ -216,16 +213,52 @@ def draw_pair(a: Column, b: Column, vaa: Column, vab: Column, vbb: Column, *key)
     return a + l11 * z1, b + l21 * z1 + l22 * z2
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def covariance_root(covariance: pd.Series) -> pd.Series:
-    """Root of a flattened covariance, flattened by rows; negative eigenvalues are truncated."""
-    out = []
-    for c in covariance:
-        k = math.isqrt(len(c))
-        m = np.asarray(c, float).reshape(k, k)
-        vals, vecs = np.linalg.eigh(0.5 * (m + m.T))
-        out.append((vecs * np.sqrt(np.maximum(vals, 0.0))).ravel())
-    return pd.Series(out)
+def covariance_root(covariance: Column, sweeps: int = 10) -> Column:
+    """Root of a flattened covariance, flattened by rows; negative eigenvalues are truncated.
+
+    Cyclic Jacobi rotations as one fold over the pairs of coordinates: each turns two rows and columns so that their
+    common entry vanishes.  Convergence is quadratic, so ten sweeps suffice for the small matrices of a model.
+    """
+    k = F.sqrt(F.size(covariance).cast("double")).cast("int")
+    cells = F.sequence(F.lit(0), k * k - 1)
+
+    def at(m, i, j):
+        return F.get(m, (i * k + j).cast("int"))
+
+    def row(n):
+        return F.floor(n / k).cast("int")
+
+    def turned(m, p, q, c, s, by_row: bool):
+        """Coordinates p and q of every column (or row) replaced by their rotation."""
+
+        def entry(v, n):
+            i, j = row(n), n % k
+            mine, other = (i, j) if by_row else (j, i)
+            a = at(m, p, other) if by_row else at(m, other, p)
+            b = at(m, q, other) if by_row else at(m, other, q)
+            return F.when(mine == p, c * a - s * b).when(mine == q, s * a + c * b).otherwise(v)
+
+        return F.transform(m, entry)
+
+    def rotate(state, pair):
+        p, q, m = pair["p"], pair["q"], state["m"]
+        theta = (at(m, q, q) - at(m, p, p)) / (2.0 * at(m, p, q))
+        t = F.when(theta < 0, F.lit(-1.0)).otherwise(F.lit(1.0)) / (F.abs(theta) + F.sqrt(theta * theta + 1.0))
+        c = F.lit(1.0) / F.sqrt(t * t + 1.0)
+        out = F.struct(
+            turned(turned(m, p, q, c, t * c, True), p, q, c, t * c, False).alias("m"), turned(state["v"], p, q, c, t * c, False).alias("v")
+        )
+        return F.when(F.abs(at(m, p, q)) > 1e-300, out).otherwise(state)
+
+    symmetric = F.transform(cells, lambda n: (F.get(covariance, n) + at(covariance, n % k, row(n))) / 2.0)
+    unit = F.transform(cells, lambda n: (row(n) == n % k).cast("double"))
+    above = F.filter(cells, lambda n: row(n) < n % k)
+    pairs = F.transform(above, lambda n: F.struct(row(n).alias("p"), (n % k).cast("int").alias("q")))
+    order = F.flatten(F.array_repeat(pairs, sweeps))
+    return F.aggregate(
+        order, F.struct(symmetric.alias("m"), unit.alias("v")), rotate,
+        lambda s: F.transform(s["v"], lambda v, n: v * F.sqrt(F.greatest(at(s["m"], n % k, n % k), F.lit(0.0)))),
+    )
 
 
 def mvn_draws(fits: DataFrame, keys, mean: str, covariance: str, first: int, last: int, seed: int) -> DataFrame:

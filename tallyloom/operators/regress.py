@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import finite, or_zero, safe_ratio
 from tallyloom.operators.grid import complete_codes
+from tallyloom.session import materialise
 
 # ---------------------------------------------------------------- least squares
 
@@ -135,42 +134,113 @@ def poisson_trend(
     )
 
 
-def poisson_main_effects(df: DataFrame, by, x: str, factors: list[str], count: str, exposure: str, iterations: int = 50) -> DataFrame:
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, u: t + u)
+
+
+def _indicators(levels: Column, level: Column) -> Column:
+    return F.transform(levels, lambda v: (v == level).cast("double"))
+
+
+def _eliminate(matrix: Column, rows: Column, width: Column) -> Column:
+    """Gauss-Jordan elimination of a positive semi-definite system, flattened by rows.
+
+    ``rows`` are the unknowns and ``width`` the columns with the right-hand sides.  An unknown without
+    information of its own (a pivot of zero) becomes zero.
+    """
+
+    def pivot(a, k):
+        p = F.get(a, k * width + k)
+
+        def entry(v, n):
+            i, j = F.floor(n / width).cast("int"), n % width
+            unit = F.get(a, k * width + j) / p
+            weak = F.when((i == k) | (j == k), F.lit(0.0)).otherwise(v)
+            return F.when(p > 1e-12, F.when(i == k, unit).otherwise(v - F.get(a, i * width + k) * unit)).otherwise(weak)
+
+        return F.transform(a, entry)
+
+    return F.aggregate(F.sequence(F.lit(0), rows - 1), matrix, pivot)
+
+
+def poisson_main_effects(df: DataFrame, by, x: str, factors: list[str], count: str, exposure: str, passes: int = 9) -> DataFrame:
     """Common slope per group with additive factor effects (the fallback model).
 
-    Rows are summed to one per factor combination and time point before they are
-    grouped, so a group stays at the size of that grid.
+    The first factor is absorbed: for given other coefficients its effects have a closed form, and what
+    remains is a multinomial likelihood of a few coefficients (the slope and the other factors' levels but
+    one).  It may have any number of levels, because a Newton pass is one fold over the points of each of its
+    levels and one small sum over the levels; put the largest factor first.  The inverse of
+    the remaining information holds the variance of the slope of the whole model.
+
+    A level without counts says nothing about the slope and is left out, as are rows that lack a level
+    of another factor than the first.  A group with fewer than three points, without counts
+    or without spread in ``x`` inside any level of the first factor, or whose last step still moves, has no slope.
     """
-    by = list(by)
+    by, (first, *others) = list(by), factors
     cells = (
         df.filter(finite(x) & (or_zero(exposure) > 0))
         .groupBy(*by, *factors, x).agg(F.sum(or_zero(count)).alias("_y"), F.sum(or_zero(exposure)).alias("_n"))
     )
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        cols = [np.ones(len(pdf)), pdf[x].to_numpy(float)]
-        for f in factors:
-            for level in sorted(pdf[f].unique())[1:]:
-                cols.append((pdf[f] == level).to_numpy(float))
-        a, y, o = np.column_stack(cols), pdf["_y"].to_numpy(float), np.log(pdf["_n"].to_numpy(float))
-        slope, var, ok = np.nan, np.nan, False
-        if len(pdf) >= 3 and y.sum() > 0:
-            beta = np.zeros(a.shape[1])
-            beta[0] = np.log(y.sum() / np.exp(o).sum())
-            for _ in range(iterations):
-                mu = np.exp(np.minimum(o + a @ beta, 700.0))
-                h = a.T @ (a * mu[:, None])
-                step = np.linalg.lstsq(h, a.T @ (y - mu), rcond=None)[0]
-                beta += step
-                if np.abs(step[1]) < 1e-10 and np.abs(step).max() < 1e-6:
-                    ok = True
-                    break
-            slope, var = beta[1], np.linalg.pinv(h)[1, 1]
-        head = {k: [pdf[k].iloc[0]] for k in by}
-        return pd.DataFrame({**head, "g": [slope if ok else None], "var_g": [var if ok else None], "rows": [len(pdf)]})
-
-    schema = ", ".join(f"{k} {cells.schema[k].dataType.simpleString()}" for k in by) + ", g double, var_g double, rows bigint"
-    return cells.groupBy(*by).applyInPandas(fit, schema)
+    z = F.array(F.col(x).cast("double"))
+    for n, f in enumerate(others):
+        levels = cells.groupBy(*by, f).agg(F.sum("_y").alias("_s")).filter("_s > 0").groupBy(*by).agg(F.sort_array(F.collect_list(f)).alias(f"_l{n}"))
+        cells = cells.join(levels, by, "left")
+        level = F.col(f)
+        beyond = F.slice(f"_l{n}", 2, F.greatest(F.size(f"_l{n}") - 1, F.lit(0)))
+        z = F.concat(z, _indicators(beyond, level))
+    seen = F.lit(True)
+    for n, f in enumerate(others):
+        seen = seen & F.coalesce(F.array_contains(f"_l{n}", F.col(f)), F.lit(False))
+    point = F.when(seen, F.struct(z.alias("z"), F.col("_y").alias("y"), F.log("_n").alias("o")))
+    strata = cells.groupBy(*by, first).agg(F.collect_list(point).alias("_p"), F.sum(F.when(seen, F.col("_y"))).alias("_t"), F.count("*").alias("_c"))
+    strata = materialise(strata.drop(first), "main-effect-strata")
+    live = strata.filter("_t > 0")
+    head = live.groupBy(*by).agg(F.max(F.size(F.get("_p", F.lit(0))["z"])).alias("_k"))
+    zeros = F.transform(F.sequence(F.lit(1), F.col("_k")), lambda _: F.lit(0.0))
+    fit = head.select(*by, zeros.alias("_b"), F.lit(None).cast("double").alias("_step"), F.lit(None).cast("double").alias("_v"))
+    for _ in range(passes):
+        fit = _concentrated_pass(live, fit, by)
+    rows = strata.groupBy(*by).agg(F.sum("_c").alias("rows"))
+    fit = fit.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_b", "_step", "_v")
+    same = [rows[k].eqNullSafe(fit[f"_by_{k}"]) for k in by]
+    out = rows.join(fit, same, "left")
+    good = (F.col("rows") >= 3) & (F.col("_step") < 1e-8) & F.col("_v").between(1e-300, 1e300)
+    return out.select(*by, F.when(good, F.get("_b", F.lit(0))).alias("g"), F.when(good, F.col("_v")).alias("var_g"), "rows")
+
+
+def _concentrated_pass(strata: DataFrame, fit: DataFrame, by: list[str]) -> DataFrame:
+    """One Newton step of the coefficients ``_b`` with the size of the slope's step and its variance."""
+    few = fit.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_b")
+    x = strata.join(few, [strata[k].eqNullSafe(few[f"_by_{k}"]) for k in by])
+    eta = F.transform("_p", lambda q: q["o"] + _dot(q["z"], F.col("_b")))
+    x = x.withColumn("_e", eta).withColumn("_top", F.array_max("_e"))
+    x = x.withColumn("_w", F.transform("_e", lambda e: F.exp(e - F.col("_top"))))
+    x = x.withColumn("_sw", F.aggregate("_w", F.lit(0.0), lambda t, w: t + w))
+    at = F.sequence(F.lit(0), F.size("_b") - 1)
+    x = x.withColumn("_m", F.transform(at, lambda i: F.aggregate(F.zip_with("_p", "_w", lambda q, w: F.get(q["z"], i) * w), F.lit(0.0), lambda t, u: t + u) / F.col("_sw")))
+    # moments about the mean do not cancel
+    spread = F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: F.col("_t") / F.col("_sw") * F.aggregate(
+        F.zip_with("_p", "_w", lambda q, w: w * (F.get(q["z"], i) - F.get("_m", i)) * (F.get(q["z"], j) - F.get("_m", j))), F.lit(0.0), lambda t, u: t + u))))
+    score = F.transform(at, lambda i: F.aggregate("_p", F.lit(0.0), lambda t, q: t + q["y"] * (F.get(q["z"], i) - F.get("_m", i))))
+    entries = x.select(*by, "_b", F.posexplode(F.concat(spread, score)).alias("_i", "_x"))
+    sums = entries.groupBy(*by, "_b", "_i").agg(F.sum("_x").alias("_x")).groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
+    sums = sums.withColumn("_s", F.transform("_s", lambda e: e["_x"])).withColumn("_k", F.size("_b"))
+    k, width = F.col("_k"), F.col("_k") + 2
+    # information, score and the first unit vector side by side
+    system = F.transform(
+        F.sequence(F.lit(0), k * width - 1),
+        lambda n: F.when(n % width < k, F.get("_s", F.floor(n / width).cast("int") * k + n % width))
+        .when(n % width == k, F.get("_s", k * k + F.floor(n / width).cast("int")))
+        .otherwise(F.when(n < width, F.lit(1.0)).otherwise(F.lit(0.0))),
+    )
+    sums = sums.withColumn("_a", _eliminate(system, k, width))
+    step = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.get("_a", i * width + k))
+    out = sums.withColumn("_d", step)
+    spreads = F.get("_s", F.lit(0)) > 1e-12
+    return out.select(
+        *by, F.zip_with("_b", "_d", lambda b, d: b + d).alias("_b"), F.when(spreads, F.abs(F.get("_d", F.lit(0)))).alias("_step"),
+        F.when(spreads, F.get("_a", k + 1)).alias("_v"),
+    )
 
 
 def with_fallback(full: DataFrame, fallback: DataFrame, by, shared) -> DataFrame:

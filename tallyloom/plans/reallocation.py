@@ -63,7 +63,11 @@ def fit(panel: DataFrame, spec: Reallocation) -> tuple[DataFrame, DataFrame]:
     trend_rows = trend_rows.withColumn("_y", F.rint(spec.value))
     keys = [spec.code, spec.place, spec.sex]
     full = regress.poisson_trend(trend_rows, keys, "_t", "_y", "population", min_points=2)
-    common = regress.poisson_main_effects(trend_rows, [spec.code], "_t", [spec.place, spec.sex], "_y", "population")
+    # only causes with a cell that has no model need the common slope
+    full = materialise(full, "trend-models")
+    lacking = full.filter(F.col("model_status") == "no_model").select(spec.code).distinct()
+    wanted = trend_rows.join(lacking, [spec.code], "left_semi")
+    common = regress.poisson_main_effects(wanted, [spec.code], "_t", [spec.place, spec.sex], "_y", "population")
     trends = regress.with_fallback(full, common, keys, [spec.code])
     total = rows.groupBy(*spec.cell, spec.year).agg(
         F.sum(spec.value).alias("_d"), F.max("population").alias("_n"), F.max("prevalence").alias("_x")

@@ -94,11 +94,46 @@ def poisson_trends_with_offset(spark, sf):
     return rounded(poisson(spark, sf), 5)
 
 
-@query("poisson_main_effects_fallback", "M14")
-def poisson_main_effects_fallback(spark, sf):
+# nation effects have the closed form ln(counts / fitted), so Newton moves the slope alone
+_COMMON = """ml AS (SELECT status, nation, sum(y) AS t, sum(x * y) AS xy, list({'x': x, 'o': o}) AS p FROM pd GROUP BY ALL HAVING sum(y) > 0),
+  mg AS (SELECT status, list({'t': t, 'xy': xy, 'p': p}) AS ls FROM ml GROUP BY ALL),
+  mit AS (WITH RECURSIVE it AS (SELECT status, ls, 0.0::DOUBLE AS g, 0.0::DOUBLE AS v, 0 AS i FROM mg
+    UNION ALL SELECT status, ls, g + list_sum(list_transform(m, lambda q: q.xy - q.t * q.m1 / q.m0)) / list_sum(list_transform(m, lambda q: q.t * (q.m2 / q.m0 - power(q.m1 / q.m0, 2)))),
+      1 / list_sum(list_transform(m, lambda q: q.t * (q.m2 / q.m0 - power(q.m1 / q.m0, 2)))), i + 1
+    FROM (SELECT *, list_transform(ls, lambda l: {'t': l.t, 'xy': l.xy, 'm0': list_sum(list_transform(l.p, lambda q: exp(q.o + g * q.x))), 'm1': list_sum(list_transform(l.p, lambda q: q.x * exp(q.o + g * q.x))),
+      'm2': list_sum(list_transform(l.p, lambda q: q.x * q.x * exp(q.o + g * q.x)))}) AS m FROM it WHERE i < 20))
+    SELECT status, g, v FROM it WHERE i = 20)"""
+
+
+def common_slopes(spark, sf):
     x = counts_and_exposure(spark, sf).withColumn("x", F.log(1.0 + F.col("yr") - 1994))
-    common = regress.poisson_main_effects(x, ["status"], "x", ["nation"], "n", "exposure")
-    return regress.with_fallback(poisson(spark, sf), common, ["nation", "status"], ["status"])
+    return x, regress.poisson_main_effects(x, ["status"], "x", ["nation"], "n", "exposure")
+
+
+@query(
+    "poisson_common_slopes", "M14",
+    f"""WITH {_POIS}, {_COMMON} SELECT status, round(g, 6) AS g, round(v, 7) AS var_g, rows FROM mit JOIN (SELECT status, count(*) AS rows FROM pd GROUP BY 1) USING (status)""",
+)
+def poisson_common_slopes(spark, sf):
+    fit = common_slopes(spark, sf)[1]
+    return fit.select("status", F.round("g", 6).alias("g"), F.round("var_g", 7).alias("var_g"), "rows")
+
+
+# the odd nations' counts are withheld from the full model, so that the common slope takes its place there
+@query(
+    "poisson_main_effects_fallback", "M14",
+    f"""WITH {_POIS}, {_COMMON}, k AS (SELECT DISTINCT nation, status FROM pd)
+    SELECT k.nation, k.status, round(CASE WHEN k.nation % 2 = 1 OR pit.b IS NULL THEN mit.g ELSE b END, 6) AS g,
+      round(CASE WHEN k.nation % 2 = 1 OR pit.b IS NULL THEN mit.v ELSE h0 / (h0 * h2 - h1 * h1) END, 6) AS var_g,
+      CASE WHEN k.nation % 2 = 1 OR pit.b IS NULL THEN 'main_effect_fallback' ELSE 'full_interaction' END AS model_status
+    FROM k LEFT JOIN pit USING (nation, status) LEFT JOIN mit USING (status)""",
+)
+def poisson_main_effects_fallback(spark, sf):
+    x, common = common_slopes(spark, sf)
+    odd = F.col("nation") % 2 == 1
+    full = regress.poisson_trend(x.withColumn("n", F.when(odd, 0).otherwise(F.col("n"))), ["nation", "status"], "x", "n", "exposure")
+    out = regress.with_fallback(full, common, ["nation", "status"], ["status"])
+    return out.select("nation", "status", F.round("g", 6).alias("g"), F.round("var_g", 6).alias("var_g"), "model_status")
 
 
 # causes are priorities; the two most urgent form the modelled group

@@ -217,6 +217,34 @@ def test_poisson_trend_agrees_with_glm(spark):
     assert zero["g"] is None and zero["model_status"] == "no_model"
 
 
+def test_poisson_main_effects_agree_with_glm(spark):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import GeneralizedLinearRegression
+
+    rng = np.random.default_rng(9)
+    data, flat = [], []
+    for place in range(5):
+        for sex in range(3):
+            for t in range(8):
+                y = float(rng.poisson(40 * (1 + place) * (1 + t) ** 0.4 / (1 + sex)))
+                data.append(("a", place, sex, float(np.log1p(t)), y, 1000.0 + 7 * t))
+                flat.append((*[float(place == p) for p in range(1, 5)], *[float(sex == s) for s in (1, 2)], *data[-1][3:]))
+    # a place without counts and a level without counts change nothing; a group without counts has no slope
+    empty = [("a", 99, 0, 0.5, 0.0, 50.0), ("a", 1, 7, 0.5, 0.0, 50.0), ("b", 1, 1, 0.1, 0.0, 5.0), ("b", 1, 1, 0.2, 0.0, 5.0), ("b", 1, 1, 0.3, 0.0, 5.0)]
+    # one point of each place tells nothing of a slope
+    single = [("c", p, 1, 0.1 * p, 5.0, 50.0) for p in range(6)]
+    df = spark.createDataFrame(data + empty + single, "grp string, place int, sex int, x double, y double, n double")
+    fit = {r["grp"]: r for r in regress.poisson_main_effects(df, ["grp"], "x", ["place", "sex"], "y", "n").collect()}
+    names = [*[f"p{i}" for i in range(4)], "s1", "s2", "x", "y", "n"]
+    wide = spark.createDataFrame(flat, ", ".join(f"{c} double" for c in names)).withColumn("o", F.log("n"))
+    glr = GeneralizedLinearRegression(family="poisson", link="log", labelCol="y", offsetCol="o", maxIter=50, tol=1e-12)
+    m = glr.fit(VectorAssembler(inputCols=names[:7], outputCol="features").transform(wide))
+    assert fit["a"]["g"] == pytest.approx(m.coefficients[6], rel=1e-7)
+    assert math.sqrt(fit["a"]["var_g"]) == pytest.approx(m.summary.coefficientStandardErrors[6], rel=1e-6)
+    assert fit["a"]["rows"] == 122 and fit["b"]["g"] is None and fit["c"]["g"] is None
+    assert regress.poisson_main_effects(df.limit(0), ["grp"], "x", ["place", "sex"], "y", "n").count() == 0
+
+
 def test_zero_base_total_gives_no_share(spark):
     base = spark.createDataFrame([(1, "a", 0.0), (2, "a", 3.0), (2, "b", 1.0)], "k int, c string, n double")
     ic = spark.createDataFrame([(1, 10.0), (2, 10.0)], "k int, intercept double")
@@ -243,6 +271,20 @@ def test_mvn_draws_follow_covariance(spark):
     assert s[0] == pytest.approx(1.0, abs=0.05) and s[1] == pytest.approx(2.0, abs=0.05) and s[2] == pytest.approx(0.2, abs=0.03)
 
 
+def test_covariance_root_truncates_negative_eigenvalues(spark):
+    rng = np.random.default_rng(3)
+    ms = [np.zeros((2, 2)), np.eye(3), np.array([[4.0]]), np.array([[1.0, 1.0], [1.0, 1.0]])]
+    for k in (2, 3, 5, 6):
+        a = rng.normal(size=(k, k))
+        ms += [a @ a.T, a + a.T]
+    df = spark.createDataFrame([(i, m.ravel().tolist()) for i, m in enumerate(ms)], "i int, c array<double>")
+    for r in df.select("i", draws.covariance_root(F.col("c")).alias("r")).collect():
+        m = ms[r["i"]]
+        root = np.array(r["r"]).reshape(m.shape)
+        vals, vecs = np.linalg.eigh(m)
+        assert np.allclose(root @ root.T, (vecs * np.maximum(vals, 0)) @ vecs.T, atol=1e-9), r["i"]
+
+
 def test_weight_correction_tolerance(spark):
     df = spark.createDataFrame([("a", 1.00000001), ("a", 2.0), ("b", 1.0)], "p string, w double")
     fix = spark.createDataFrame([("a", 1.0, 9.0)], "p string, old double, new double")
