@@ -134,10 +134,6 @@ def poisson_trend(
     )
 
 
-def _dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda t, u: t + u)
-
-
 def _indicators(levels: Column, level: Column) -> Column:
     return F.transform(levels, lambda v: (v == level).cast("double"))
 
@@ -163,12 +159,12 @@ def _eliminate(matrix: Column, rows: Column, width: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(0), rows - 1), matrix, pivot)
 
 
-def poisson_main_effects(df: DataFrame, by, x: str, factors: list[str], count: str, exposure: str, passes: int = 9) -> DataFrame:
+def poisson_main_effects(df: DataFrame, by, x: str, factors: list[str], count: str, exposure: str, passes: int = 25) -> DataFrame:
     """Common slope per group with additive factor effects (the fallback model).
 
     The first factor is absorbed: for given other coefficients its effects have a closed form, and what
     remains is a multinomial likelihood of a few coefficients (the slope and the other factors' levels but
-    one).  It may have any number of levels, because a Newton pass is one fold over the points of each of its
+    one).  The first factor may have any number of levels, because a Newton pass is one fold over the points of each of its
     levels and one small sum over the levels; put the largest factor first.  The inverse of
     the remaining information holds the variance of the slope of the whole model.
 
@@ -199,7 +195,9 @@ def poisson_main_effects(df: DataFrame, by, x: str, factors: list[str], count: s
     zeros = F.transform(F.sequence(F.lit(1), F.col("_k")), lambda _: F.lit(0.0))
     fit = head.select(*by, zeros.alias("_b"), F.lit(None).cast("double").alias("_step"), F.lit(None).cast("double").alias("_v"))
     for _ in range(passes):
-        fit = _concentrated_pass(live, fit, by)
+        fit = materialise(_concentrated_pass(live, fit, by), "main-effect-coefficients")
+        if fit.filter("_step >= 1e-10").isEmpty():
+            break
     rows = strata.groupBy(*by).agg(F.sum("_c").alias("rows"))
     fit = fit.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_b", "_step", "_v")
     same = [rows[k].eqNullSafe(fit[f"_by_{k}"]) for k in by]
@@ -212,34 +210,31 @@ def _concentrated_pass(strata: DataFrame, fit: DataFrame, by: list[str]) -> Data
     """One Newton step of the coefficients ``_b`` with the size of the slope's step and its variance."""
     few = fit.select(*[F.col(k).alias(f"_by_{k}") for k in by], "_b")
     x = strata.join(few, [strata[k].eqNullSafe(few[f"_by_{k}"]) for k in by])
-    eta = F.transform("_p", lambda q: q["o"] + _dot(q["z"], F.col("_b")))
-    x = x.withColumn("_e", eta).withColumn("_top", F.array_max("_e"))
-    x = x.withColumn("_w", F.transform("_e", lambda e: F.exp(e - F.col("_top"))))
-    x = x.withColumn("_sw", F.aggregate("_w", F.lit(0.0), lambda t, w: t + w))
-    at = F.sequence(F.lit(0), F.size("_b") - 1)
-    x = x.withColumn("_m", F.transform(at, lambda i: F.aggregate(F.zip_with("_p", "_w", lambda q, w: F.get(q["z"], i) * w), F.lit(0.0), lambda t, u: t + u) / F.col("_sw")))
+
+    def total(of: str) -> str:
+        return f"aggregate({of}, 0D, (t, u) -> t + u)"
+
+    def weighted(of: str) -> str:
+        return total(f"zip_with(_p, _w, (q, w) -> w * {of})")
+
+    x = x.selectExpr(*by, "_b", "_t", "_p", f"transform(_p, q -> q.o + {total('zip_with(q.z, _b, (u, v) -> u * v)')}) AS _e")
+    x = x.selectExpr(*by, "_b", "_t", "_p", "transform(_e, e -> exp(e - array_max(_e))) AS _w", "sequence(0, size(_b) - 1) AS _at")
+    x = x.selectExpr("*", f"{total('_w')} AS _sw").selectExpr("*", f"transform(_at, i -> {weighted('q.z[i]')} / _sw) AS _m")
     # moments about the mean do not cancel
-    spread = F.flatten(F.transform(at, lambda i: F.transform(at, lambda j: F.col("_t") / F.col("_sw") * F.aggregate(
-        F.zip_with("_p", "_w", lambda q, w: w * (F.get(q["z"], i) - F.get("_m", i)) * (F.get(q["z"], j) - F.get("_m", j))), F.lit(0.0), lambda t, u: t + u))))
-    score = F.transform(at, lambda i: F.aggregate("_p", F.lit(0.0), lambda t, q: t + q["y"] * (F.get(q["z"], i) - F.get("_m", i))))
-    entries = x.select(*by, "_b", F.posexplode(F.concat(spread, score)).alias("_i", "_x"))
-    sums = entries.groupBy(*by, "_b", "_i").agg(F.sum("_x").alias("_x")).groupBy(*by, "_b").agg(F.array_sort(F.collect_list(F.struct("_i", "_x"))).alias("_s"))
-    sums = sums.withColumn("_s", F.transform("_s", lambda e: e["_x"])).withColumn("_k", F.size("_b"))
-    k, width = F.col("_k"), F.col("_k") + 2
+    spread = f"flatten(transform(_at, i -> transform(_at, j -> _t / _sw * {weighted('(q.z[i] - _m[i]) * (q.z[j] - _m[j])')})))"
+    score = "transform(_at, i -> aggregate(_p, 0D, (t, q) -> t + q.y * (q.z[i] - _m[i])))"
+    entries = x.selectExpr(*by, "_b", f"posexplode(concat({spread}, {score})) AS (_i, _x)")
+    sums = entries.groupBy(*by, "_b", "_i").agg(F.sum("_x").alias("_x"))
+    sums = sums.groupBy(*by, "_b").agg(F.expr("transform(array_sort(collect_list(struct(_i, _x))), e -> e._x)").alias("_s"))
     # information, score and the first unit vector side by side
-    system = F.transform(
-        F.sequence(F.lit(0), k * width - 1),
-        lambda n: F.when(n % width < k, F.get("_s", F.floor(n / width).cast("int") * k + n % width))
-        .when(n % width == k, F.get("_s", k * k + F.floor(n / width).cast("int")))
-        .otherwise(F.when(n < width, F.lit(1.0)).otherwise(F.lit(0.0))),
-    )
-    sums = sums.withColumn("_a", _eliminate(system, k, width))
-    step = F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.get("_a", i * width + k))
-    out = sums.withColumn("_d", step)
-    spreads = F.get("_s", F.lit(0)) > 1e-12
-    return out.select(
-        *by, F.zip_with("_b", "_d", lambda b, d: b + d).alias("_b"), F.when(spreads, F.abs(F.get("_d", F.lit(0)))).alias("_step"),
-        F.when(spreads, F.get("_a", k + 1)).alias("_v"),
+    row, column = "int(n div (_k + 2))", "n % (_k + 2)"
+    side = f"CASE WHEN {column} < _k THEN _s[{row} * _k + {column}] WHEN {column} = _k THEN _s[_k * _k + {row}] WHEN n = _k + 1 THEN 1D ELSE 0D END"
+    sums = sums.selectExpr("*", "size(_b) AS _k").selectExpr("*", f"transform(sequence(0, _k * (_k + 2) - 1), n -> {side}) AS _a")
+    sums = sums.withColumn("_a", _eliminate(F.col("_a"), F.col("_k"), F.col("_k") + 2))
+    spreads = "_s[0] > 1e-12"
+    return sums.selectExpr(
+        *by, "transform(_b, (b, i) -> b + _a[i * (_k + 2) + _k]) AS _b", f"CASE WHEN {spreads} THEN abs(_a[_k]) END AS _step",
+        f"CASE WHEN {spreads} THEN _a[_k + 1] END AS _v",
     )
 
 
