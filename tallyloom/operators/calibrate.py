@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 
 from tallyloom.functions.columns import add_all, clamp_residue, finite, logistic, or_zero, safe_exp, safe_ratio
 from tallyloom.operators.compose import interpolation_weights, weight_table
-from tallyloom.operators.grid import complete_cells, literal_levels, spread_join
+from tallyloom.operators.grid import complete_cells, literal_levels
 from tallyloom.session import materialise
 
 # ---------------------------------------------------------------- completeness
@@ -254,11 +254,41 @@ def annual_factors(anchors: DataFrame, year: str, cell, years: list, anchor_year
 
 #: Largest relative distance of a calibrated group from its target.
 MAX_RESIDUAL = 1e-7
+#: Width of a bin of log-odds.  A cell lies within half a width of its bin's centre, where the series of the logistic
+#: function to fifth order is off by less than 1e-12 of its value.
+BIN_WIDTH = 1 / 16
+
+
+def _bin_sums(d: str, then: str) -> str:
+    """SQL: the sum of ``e * logistic(eta + d)`` over the bins of a group and its slope, as ``r.f`` and ``r.df`` in ``then``."""
+    f = (
+        "v.b.m0 * v.s + v.q * (v.b.m1 + v.b.m2 / 2 * (1 - 2 * v.s) + v.b.m3 / 6 * (1 - 6 * v.q)"
+        " + v.b.m4 / 24 * (1 - 2 * v.s) * (1 - 12 * v.q) + v.b.m5 / 120 * (1 - 30 * v.q + 120 * v.q * v.q))"
+    )
+    df = (
+        "v.q * (v.b.m0 + v.b.m1 * (1 - 2 * v.s) + v.b.m2 / 2 * (1 - 6 * v.q)"
+        " + v.b.m3 / 6 * (1 - 2 * v.s) * (1 - 12 * v.q) + v.b.m4 / 24 * (1 - 30 * v.q + 120 * v.q * v.q))"
+    )
+    odds = f"transform(_bins, b -> struct(b AS b, 1D / (1D + exp(-(b.c + {d}))) AS s))"
+    terms = f"transform({odds}, v -> struct(v.b AS b, v.s AS s, v.s * (1D - v.s) AS q))"
+    return f"aggregate({terms}, struct(0D AS f, 0D AS df), (t, v) -> struct(t.f + {f} AS f, t.df + {df} AS df), r -> {then})"
+
+
+def _root(steps: int = 80) -> str:
+    """SQL: the root d of a group by Newton steps inside a shrinking bracket."""
+    newton = "(z.d - try_divide(r.f - _t, r.df))"
+    lo, hi = "if(r.f < _t, z.d, z.lo)", "if(r.f < _t, z.hi, z.d)"
+    inside = f"coalesce({newton} > {lo} AND {newton} < {hi}, false)"
+    moved = f"if({inside}, {newton}, ({lo} + {hi}) / 2)"
+    still = f"abs({moved} - z.d) <= 1e-15 * (1 + abs(z.d))"
+    step = _bin_sums("z.d", f"struct({lo} AS lo, {hi} AS hi, {moved} AS d, {still} AS still)")
+    start = "struct(_lo AS lo, _hi AS hi, (_lo + _hi) / 2 AS d, false AS still)"
+    return f"aggregate(sequence(1, {steps}), {start}, (z, n) -> if(z.still, z, {step}), z -> z.d)"
 
 
 def calibrate_to_level(
     cells: DataFrame, group, cell, first: str, second: str, log_profile: str, log_level: str, active: str,
-    tolerance: float = 1e-10, candidates: int = 32, search_passes: int = 2, newton_passes: int = 5,
+    tolerance: float = 1e-10,
 ) -> DataFrame:
     """Split each cell total between two classes so that the group meets its level target.
 
@@ -266,11 +296,11 @@ def calibrate_to_level(
     over the adjustable cells, where ``e`` is the cell total, and keep every cell
     total.  Inactive and one-sided cells stay as they are.
 
-    The root is bracketed analytically, narrowed by evaluating a grid of candidates
-    per pass, and polished by Newton steps.  Every pass deals a group's cells over all
-    shuffle partitions and sums them in part before they meet, so a group may be
-    arbitrarily large.  The cells are written once to the checkpoint folder, because
-    every pass scans them.  A group whose root misses the target by more than
+    The cells are written once and scanned twice.  The first scan adds them up to a histogram of log-odds per
+    group: a bin holds the sums of ``e`` times the powers of the distance from its centre, from which the group's sum
+    follows for any d to about 1e-12 of its value.  Bins are partial sums, so a group may be arbitrarily large; they
+    are as many as sixteenths lie between its least and greatest log-odds.  The root is found on the bins by Newton steps in
+    an analytic bracket, and the second scan applies it.  A group whose root misses the target by more than
     ``MAX_RESIDUAL`` of it fails the job.
     """
     group, cell = list(group), list(cell)
@@ -287,13 +317,19 @@ def calibrate_to_level(
     )
     x = materialise(x, "calibration-cells")
     on = F.col("_on")
-    g = x.groupBy(*group).agg(
-        F.coalesce(F.sum(F.when(~on, F.col("_a"))), F.lit(0.0)).alias("_fixed"),
-        F.coalesce(F.sum(F.when(on, F.col("_a"))), F.lit(0.0)).alias("_adj"),
-        F.coalesce(F.sum(F.when(on, F.col("_e"))), F.lit(0.0)).alias("_max"),
-        F.min(F.when(on, F.col("_eta"))).alias("_lo_eta"),
-        F.max(F.when(on, F.col("_eta"))).alias("_hi_eta"),
-        F.max("_l").alias("_lev"),
+    # a cell without log-odds lies in no bin, and its group fails the residual check
+    number = F.when(on & finite("_eta"), F.floor(F.col("_eta") / BIN_WIDTH))
+    centre = (F.col("_bin") + 0.5) * BIN_WIDTH
+    moments = [F.sum(F.when(F.col("_bin").isNotNull(), F.col("_e") * F.pow(F.col("_eta") - centre, F.lit(k)))).alias(f"m{k}") for k in range(6)]
+    bins = x.withColumn("_bin", number).groupBy(*group, "_bin").agg(
+        F.sum(F.when(~on, F.col("_a"))).alias("_fixed"), F.sum(F.when(on, F.col("_a"))).alias("_adj"), F.sum(F.when(on, F.col("_e"))).alias("_max"),
+        F.min(F.when(on, F.col("_eta"))).alias("_lo_eta"), F.max(F.when(on, F.col("_eta"))).alias("_hi_eta"), F.max("_l").alias("_lev"), *moments,
+    )
+    entry = F.struct(centre.alias("c"), *[f"m{k}" for k in range(6)])
+    g = bins.groupBy(*group).agg(
+        *[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in ("_fixed", "_adj", "_max")],
+        F.min("_lo_eta").alias("_lo_eta"), F.max("_hi_eta").alias("_hi_eta"), F.max("_lev").alias("_lev"),
+        F.collect_list(F.when(F.col("_bin").isNotNull(), entry)).alias("_bins"),
     )
     target = (F.col("_fixed") + F.col("_adj")) * safe_exp("_lev") - F.col("_fixed")
     g = g.withColumn("_t", target)
@@ -305,31 +341,14 @@ def calibrate_to_level(
     logit = F.log(p) - F.log1p(-p)
     # fresh aliases keep the small side distinct from the cells it is joined to
     fresh = [F.col(k).alias(k) for k in group]
-    bounds = g.select(
-        *fresh, "_t", (logit - F.col("_hi_eta") - 1e-9).alias("_lo"), (logit - F.col("_lo_eta") + 1e-9).alias("_hi"),
+    bounds = g.filter("_max > 0").select(
+        *fresh, "_t", "_bins", (logit - F.col("_hi_eta") - 1e-9).alias("_lo"), (logit - F.col("_lo_eta") + 1e-9).alias("_hi"),
     )
-    live = x.filter(on).select(*group, "_e", "_eta")
-    share = "1D / (1D + exp(-({z})))"  # an overflowing exp is infinite and the share zero
-    ks = range(1, candidates + 1)
-    for _ in range(search_passes):
-        b = bounds.withColumn("_step", (F.col("_hi") - F.col("_lo")) / (candidates + 1))
-        sums = [F.expr(f"sum(_e * ({share.format(z=f'_eta + _lo + _step * {k}')}))").alias(f"_s{k}") for k in ks]
-        s = spread_join(live, b, group).groupBy(*group, "_t", "_lo", "_step").agg(*sums)
-        below = F.expr(" + ".join(f"(CASE WHEN _s{k} < _t THEN 1D ELSE 0D END)" for k in ks))
-        lo = F.col("_lo") + F.col("_step") * below
-        bounds = s.select(*fresh, "_t", lo.alias("_lo"), (lo + F.col("_step")).alias("_hi"))
-    delta = bounds.select(*fresh, "_t", ((F.col("_lo") + F.col("_hi")) / 2).alias("_d"))
-    z = share.format(z="_eta + _d")
-    for _ in range(newton_passes):
-        s = spread_join(live, delta, group).groupBy(*group, "_t", "_d").agg(
-            F.expr(f"sum(_e * ({z}))").alias("_f"), F.expr(f"sum(_e * ({z}) * (1D - ({z})))").alias("_df")
-        )
-        step = F.coalesce(F.try_divide(F.col("_f") - F.col("_t"), F.col("_df")), F.lit(0.0))
-        delta = s.select(*fresh, "_t", (F.col("_d") - step).alias("_d"))
-    met = spread_join(live, delta, group).groupBy(*group, "_t", "_d").agg(F.expr(f"sum(_e * ({z}))").alias("_f"))
-    missed = F.abs(F.col("_f") - F.col("_t")) > MAX_RESIDUAL * F.greatest(F.abs(F.col("_t")), F.lit(1.0))
-    checked = F.when(missed, F.raise_error(F.lit("calibration does not meet its level")).cast("double")).otherwise(F.col("_d"))
-    out = spread_join(x, met.select(*fresh, checked.alias("_d")), group, "left")
+    met = bounds.withColumn("_d", F.expr(_root())).withColumn("_f", F.expr(_bin_sums("_d", "r.f")))
+    close = F.abs(F.col("_f") - F.col("_t")) <= MAX_RESIDUAL * F.greatest(F.abs(F.col("_t")), F.lit(1.0))
+    missed = F.raise_error(F.lit("calibration does not meet its level")).cast("double")
+    delta = met.select(*fresh, F.when(F.coalesce(close, F.lit(False)), F.col("_d")).otherwise(missed).alias("_d"))
+    out = x.join(delta, group, "left")
     solved = F.col("_on") & F.col("_d").isNotNull()
     a_new = F.when(solved, F.col("_e") * logistic(F.col("_eta") + F.col("_d"))).otherwise(F.col("_a"))
     out = out.withColumn("first_after", clamp_residue(a_new, tolerance))

@@ -271,6 +271,38 @@ def test_mvn_draws_follow_covariance(spark):
     assert s[0] == pytest.approx(1.0, abs=0.05) and s[1] == pytest.approx(2.0, abs=0.05) and s[2] == pytest.approx(0.2, abs=0.03)
 
 
+def test_calibration_root_equals_exact_root(spark):
+    rng = np.random.default_rng(12)
+    rows_, want = [], {}
+    # odds over ten orders of magnitude; targets near the ends of the envelope and in its middle
+    for yr, scale in ((1, 0.3), (2, 4.0), (3, 9.0)):
+        for share in (1e-6, 0.02, 0.5, 0.97, 1 - 1e-6):
+            n = 400
+            e = rng.lognormal(2, 2, n)
+            w = 1 / (1 + np.exp(-rng.normal(0, scale, n)))
+            a, b = e * w, e * (1 - w)
+            keep = (a > 1e-10) & (b > 1e-10)
+            a, b = a[keep], b[keep]
+            lp = rng.normal(0, 1, len(a))
+            target = share * (a + b).sum()
+            level = math.log(target / a.sum())
+            eta, lo, hi = np.log(a) - np.log(b) + lp, -200.0, 200.0
+            for _ in range(300):
+                mid = (lo + hi) / 2
+                lo, hi = (mid, hi) if ((a + b) / (1 + np.exp(-(eta + mid)))).sum() < target else (lo, mid)
+            group = f"{yr}-{share}"
+            want[group] = (lo, target)
+            rows_ += [(group, i, float(a[i]), float(b[i]), float(lp[i]), level, True) for i in range(len(a))]
+    df = spark.createDataFrame(rows_, "yr string, cell int, a double, b double, lp double, ll double, act boolean")
+    out = calibrate.calibrate_to_level(df, ["yr"], ["cell"], "a", "b", "lp", "ll", "act")
+    got = {r["yr"]: r for r in out.groupBy("yr").agg(F.max("intercept").alias("d"), F.min("intercept").alias("d2"), F.sum("first_after").alias("t")).collect()}
+    assert len(got) == 15
+    for g, (d, target) in want.items():
+        assert got[g]["d"] == got[g]["d2"] == pytest.approx(d, abs=1e-8), g
+        # cells below the tolerance of 1e-10 become zero
+        assert got[g]["t"] == pytest.approx(target, rel=1e-9, abs=4e-8), g
+
+
 def test_covariance_root_truncates_negative_eigenvalues(spark):
     rng = np.random.default_rng(3)
     ms = [np.zeros((2, 2)), np.eye(3), np.array([[4.0]]), np.array([[1.0, 1.0], [1.0, 1.0]])]
