@@ -130,8 +130,8 @@ RULES = [Rule("net/", False), Rule("example.net/en/", True), Rule("example.com/d
 
 #: The labelled table of the registered query: names of unwanted and of ordinary sites.
 UNWANTED = (
-    "casino-win casino-royal online-casino best-casino free-bets sports-bets bet-now poker-bets cheap-pills pills-online "
-    "buy-pills diet-pills spam-farm link-farm seo-farm farm-spam ads-track ad-track track-clicks click-ads pop-ads adult-x "
+    "casino-royal online-casino best-casino sports-bets bet-now poker-bets pills-online "
+    "buy-pills diet-pills link-farm seo-farm farm-spam ad-track track-clicks click-ads pop-ads "
     "adult-cams x-adult xxx-video free-xxx win-money easy-money fast-loans payday-loans replica-watches cheap-viagra"
 )
 ORDINARY = (

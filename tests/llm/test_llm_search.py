@@ -55,6 +55,7 @@ def test_url_filter(spark):
 def test_url_model_on_held_out_names(spark):
     model = url_filter.train_url_model(url_filter.labelled_urls(spark))
     bad = ["www.casino-bonus.example.org", "cheap-pills.example.net", "m.free-bets.example.com", "track-ads.example.com"]
+    assert not any(h.split(".")[-3] in url_filter.UNWANTED.split() for h in bad)
     good = ["www.botany.example.org", "blog.tiontion.example.com", "thther.example.org", "m.ththre.example.com"]
     assert all(model.score(h, "/en/7") > 0.5 for h in bad) and all(model.score(h, "/en/7") < 0.5 for h in good)
     empty = url_filter.train_url_model(url_filter.labelled_urls(spark).where("false"))
