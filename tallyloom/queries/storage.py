@@ -12,7 +12,7 @@ from tallyloom.queries.inputs import SEGMENTS, STATUSES, YEARS, cells_sql, order
 from tallyloom.queries.registry import query, rounded
 from tallyloom.session import ensure_checkpoint_dir
 from tallyloom.sources import inputs as contract
-from tallyloom.sources import stores, tabular, wide
+from tallyloom.sources import checked, stores, tabular, wide
 from tallyloom.sources.stage import StageStore
 
 
@@ -183,3 +183,36 @@ def trajectories_of_event_days(spark, sf):
     e = table(spark, sf, "events").groupBy("event_type", F.dayofmonth("ts").cast("int").alias("dy")).agg(F.count("*").cast("double").alias("n"))
     full = grid.complete_cells(e, ["event_type", "dy"], ["n"], {"dy": list(range(1, 32))})
     return rounded(compose.apply_weights(full, compose.smoothing_weights(list(range(1, 32)), 7), ["event_type"], "dy", "n"))
+
+
+# the second version counts one more in some cells and lacks others
+@query(
+    "stored_table_differences", "V9 V10 V14 S3",
+    f"""WITH {cells_sql('nation', 'yr', 'status')}, b AS (SELECT nation, yr, status, n + CASE WHEN nation % 7 = 3 AND yr = 1995 THEN 1 ELSE 0 END AS n FROM cells WHERE NOT (nation % 5 = 1 AND yr = 1998)),
+      d AS (SELECT nation, yr, status, CAST(n AS DOUBLE) AS n, 1 AS s FROM cells UNION ALL SELECT nation, yr, status, CAST(n AS DOUBLE), -1 FROM b)
+    SELECT nation, yr, status, n, CAST(sum(s) AS BIGINT) AS surplus FROM d GROUP BY ALL HAVING sum(s) <> 0""",
+)
+def stored_table_differences(spark, sf):
+    keys = ["nation", "yr", "status"]
+    cells = order_cells(spark, sf, *keys).select(*keys, "n")
+    more = F.when((F.col("nation") % 7 == 3) & (F.col("yr") == 1995), 1.0).otherwise(0.0)
+    other = cells.filter("NOT (nation % 5 = 1 AND yr = 1998)").withColumn("n", F.col("n") + more)
+    left, right = scratch(spark), scratch(spark)
+    checked.write_checked(cells, left, keys, 16)
+    checked.write_checked(other, right, keys, 16)
+    return checked.stored_differences(spark, left, right)
+
+
+@query(
+    "intervals_joined_in_place", "Q5 S9 J1",
+    f"""WITH {cells_sql('nation', 'yr', 'status')}, i AS (SELECT nation, yr, status, n * 0.9 AS lower, n * 1.1 AS upper FROM cells WHERE n > 5)
+    SELECT nation, yr, status, n, CASE WHEN i.lower IS NULL AND status = 'P' AND n = 0 THEN 0 ELSE round(i.lower, 4) END AS lower, round(i.upper, 4) AS upper, CASE WHEN i.lower IS NOT NULL THEN 20 END AS n_draws
+    FROM cells LEFT JOIN i USING (nation, yr, status)""",
+)
+def intervals_joined_in_place(spark, sf):
+    keys = ["nation", "yr", "status"]
+    cells = order_cells(spark, sf, *keys).select(*keys, "n")
+    limits = cells.filter("n > 5").select(*keys, (F.col("n") * 0.9).alias("lower"), (F.col("n") * 1.1).alias("upper"), F.lit(20).alias("n_draws"))
+    points = checked.write_joinable(cells, scratch(spark), keys, 8)
+    out = views.attach_intervals(points, checked.write_joinable(limits, scratch(spark), keys, 8), keys, F.col("status") == "P", "n")
+    return rounded(out.select(*keys, "n", "lower", "upper", "n_draws"), 4)
