@@ -60,11 +60,6 @@ def band_midpoint(band) -> Column:
     return F.when(b <= 2, 0.5).when(b == 3, 3.0).otherwise((b - 3) * 5 + 2.5).cast("double")
 
 
-def expand_code(code: int, groups: dict[int, list[int]]) -> list[int]:
-    """Member base ages of an aggregate age code; a base age stands for itself."""
-    return list(groups.get(code, [code]))
-
-
 # Aggregate age codes as (numerator ages, denominator ages).
 AGGREGATE_AGES = {
     20: (list(range(0, 3)), [1, 2]),

@@ -105,13 +105,6 @@ def redist(df: DataFrame, sources, targets, condition: str | Column | None = Non
     )
 
 
-def row_conservation(before: DataFrame, after: DataFrame, keys, columns, after_columns=None) -> DataFrame:
-    """Row sums of two wide tables for a group-total check."""
-    a = before.select(*keys, add_all([or_zero(c) for c in columns]).alias("mass"))
-    b = after.select(*keys, add_all([or_zero(c) for c in (after_columns or columns)]).alias("mass"))
-    return a.join(b.withColumnRenamed("mass", "mass_after"), list(keys), "full_outer")
-
-
 def _spread(df: DataFrame, by: list[str], category: str, value: str, targets: list, shares: dict) -> DataFrame:
     """Emit the target grid from per-group target masses ``_t*``, unknown mass ``_u`` and shares."""
     rows = F.array(
