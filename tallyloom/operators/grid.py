@@ -43,8 +43,10 @@ def numbered(df: DataFrame, name: str = "_i") -> DataFrame:
 def attach_all(left: DataFrame, right: DataFrame, array_rows: int = ARRAY_ROWS) -> DataFrame:
     """Every left row with every right row; names must not clash.
 
-    The right table is written and counted. Few rows travel as one array value; more get numbers, every left row is
-    dealt the numbers in runs of ``array_rows``, and an equi join turns numbers into rows.
+    The tables are written and counted, the right one first. The one with few rows travels as one array value, which
+    every row of the other explodes. If both have more, the right rows get numbers, every left row is dealt the numbers in
+    runs of ``array_rows``, and an equi join turns numbers into rows. It is a merge join: Spark takes an exploded table to be
+    as small as it was before, and would send all dealt rows through the driver as a broadcast.
     """
     clash = set(left.columns) & set(right.columns)
     if clash:
@@ -52,13 +54,21 @@ def attach_all(left: DataFrame, right: DataFrame, array_rows: int = ARRAY_ROWS)
     right = materialise(right, "attached")
     n = right.count()
     if n <= array_rows:
-        out = left.withColumn("_r", F.explode(packed_rows(right)))
-        return out.select(*left.columns, *[F.col(f"_r.{c}").alias(c) for c in right.columns])
+        return _exploded(left, right).select(*left.columns, *right.columns)
+    left = materialise(left, "attached")
+    if left.count() <= array_rows:
+        return _exploded(right, left).select(*left.columns, *right.columns)
     rows = materialise(numbered(right), "numbered")
     first = F.col("_run") * array_rows
     dealt = left.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit((n - 1) // array_rows))))
     dealt = dealt.withColumn("_i", F.explode(F.sequence(first, F.least(first + array_rows, F.lit(n)) - 1))).drop("_run")
-    return dealt.join(rows, "_i").select(*left.columns, *right.columns)
+    return dealt.hint("merge").join(rows, "_i").select(*left.columns, *right.columns)
+
+
+def _exploded(many: DataFrame, few: DataFrame) -> DataFrame:
+    """Every row of ``many`` with every row of ``few``, which travels as one array value."""
+    out = many.withColumn("_r", F.explode(packed_rows(few)))
+    return out.select(*many.columns, *[F.col(f"_r.{c}").alias(c) for c in few.columns])
 
 
 def level_grid(spark: SparkSession, levels: dict[str, list]) -> DataFrame:

@@ -110,6 +110,16 @@ def test_bounded_attachment(spark):
     assert sorted(r["_i"] for r in twice.collect()) == list(range(8))
 
 
+def test_attachment_never_broadcasts_dealt_rows(spark):
+    few, many = (spark.range(n).selectExpr(f"id AS {c}").repartition(2) for n, c in ((3, "a"), (5000, "b")))
+    for array_rows, joins in ((3, False), (2, True)):
+        out = grid.attach_all(few.distinct(), many, array_rows)
+        assert rows(out, "a", "b") == sorted(((a, b) for a in range(3) for b in range(5000)), key=str)
+        out.collect()  # only then is the plan final
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Broadcast" not in plan and ("SortMergeJoin" in plan) == joins
+
+
 def test_labels_of_large_groups_come_in_chunks(spark, monkeypatch):
     df = spark.createDataFrame([(g, y, c, f"l{c:03d}") for g in ("a", "b", None) for y in (1, 2) for c in range(3 if g == "b" else 25)], "g string, y int, c int, l string")
     chunks = aggregate.label_chunks(df, ["g"], "l", 10).orderBy("g", "chunk").collect()
