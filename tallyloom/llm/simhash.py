@@ -18,6 +18,7 @@ null is called null. An empty table gives an empty result. Other columns do not
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -82,19 +83,19 @@ def variants(fps: DataFrame) -> DataFrame:
     return rows.select((F.shiftleft(rest, 6) + at).alias("key"), "fp")
 
 
-def forest(fps: np.ndarray) -> np.ndarray:
-    """Rows (i, j): links that connect what all links of at most ``MAX_BITS`` bits connect, fewer than entries.
+def forest(fps: np.ndarray, bits: int = MAX_BITS) -> np.ndarray:
+    """Rows (i, j): links that connect what all links of at most ``bits`` bits connect, fewer than entries.
 
     ``fps`` are unsigned. Neighbours in the given order are linked first; then every entry outside the
     largest group is compared with all, because a pair in two groups has an end outside that group.
     """
-    near = np.bitwise_count(fps[1:] ^ fps[:-1]) <= MAX_BITS
+    near = np.bitwise_count(fps[1:] ^ fps[:-1]) <= bits
     group = np.concatenate([[0], np.cumsum(~near)])
     out = [(k, k + 1) for k in np.flatnonzero(near).tolist()]
     left = int(group[-1]) + 1
     if left > 1:
         for k in np.flatnonzero(group != int(np.bincount(group).argmax())).tolist():
-            hit = np.flatnonzero((np.bitwise_count(fps ^ fps[k]) <= MAX_BITS) & (group != group[k]))
+            hit = np.flatnonzero((np.bitwise_count(fps ^ fps[k]) <= bits) & (group != group[k]))
             while len(hit):
                 out.append((k, int(hit[0])))
                 group[group == group[hit[0]]] = group[k]
@@ -137,25 +138,25 @@ def _keyed(batches: Iterator[pa.RecordBatch], key: list[str], most: int) -> Iter
         yield fps, np.array([0, len(fps)]), np.array([[keys[0][0]], [seen]])
 
 
-def _forests(fps: np.ndarray, starts: np.ndarray, skip: np.ndarray) -> np.ndarray:
+def _forests(fps: np.ndarray, starts: np.ndarray, skip: np.ndarray, bits: int) -> np.ndarray:
     """Links of all keys that are not skipped, as rows of two signed fingerprints."""
     sizes, signed = np.diff(starts), fps.view(np.int64)
     two = starts[:-1][(sizes == 2) & ~skip]
-    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= MAX_BITS]  # pairs are compared all at once
+    two = two[np.bitwise_count(fps[two] ^ fps[two + 1]) <= bits]  # pairs are compared all at once
     out = [np.stack([signed[two], signed[two + 1]], axis=1)]
     for k in np.flatnonzero((sizes > 2) & ~skip).tolist():
-        links = forest(fps[starts[k] : starts[k + 1]])
+        links = forest(fps[starts[k] : starts[k + 1]], bits)
         if len(links):
             out.append(signed[links + starts[k]])
     return np.concatenate(out)
 
 
-def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _links(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     """Rows with a link (a, b), or with an entry ``a`` of a key that is set aside and its block."""
     for fps, starts, (key, place) in _keyed(batches, ["key"], BLOCK):
         sizes = np.diff(starts)
         large = (sizes + place > BLOCK) | (sizes == BLOCK)  # a full block may go on
-        links = _forests(fps, starts, large)
+        links = _forests(fps, starts, large, bits)
         out = [(links[:, 0], links[:, 1], None, None)]
         for k in np.flatnonzero(large).tolist():
             at = np.arange(starts[k], starts[k + 1])
@@ -166,17 +167,20 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()) if c is None else pa.array(c, pa.int64()) for c in cols], names=["a", "b", "key", "block"])
 
 
-def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _block_links(batches: Iterator[pa.RecordBatch], bits: int = MAX_BITS) -> Iterator[pa.RecordBatch]:
     """Links within pairs of blocks, which are bounded."""
     for fps, starts, _ in _keyed(batches, ["key", "i", "j"], 2 * BLOCK):
-        links = _forests(fps, starts, np.zeros(len(starts) - 1, bool))
+        links = _forests(fps, starts, np.zeros(len(starts) - 1, bool), bits)
         yield pa.RecordBatch.from_arrays([pa.array(links[:, k], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
-def link_fingerprints(fps: DataFrame) -> DataFrame:
-    """(a, b): links of distinct fingerprints that connect all that lie within ``MAX_BITS`` bits."""
+def link_fingerprints(fps: DataFrame, bits: int = MAX_BITS) -> DataFrame:
+    """(a, b): links of distinct fingerprints that connect all that lie within ``bits`` bits.
+
+    All of up to five bits meet under a key; of those further apart, the ones that do.
+    """
     filed = variants(fps).repartition("key").sortWithinPartitions("key", "fp")
-    found = materialise(filed.mapInArrow(_links, "a long, b long, key long, block long"), "links")
+    found = materialise(filed.mapInArrow(partial(_links, bits=bits), "a long, b long, key long, block long"), "links")
     links = found.where("b IS NOT NULL").select("a", "b")
     aside = found.where("b IS NULL").select("key", "block", F.col("a").alias("fp"))
     many = aside.groupBy("key").agg((F.max("block") + 1).alias("n"))
@@ -184,7 +188,7 @@ def link_fingerprints(fps: DataFrame) -> DataFrame:
     spread = aside.join(many, "key").select("key", "fp", "block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("other"))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "fp")
     pairs = spread.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp")
-    return links.unionByName(pairs.mapInArrow(_block_links, "a long, b long")).distinct()
+    return links.unionByName(pairs.mapInArrow(partial(_block_links, bits=bits), "a long, b long")).distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -376,6 +376,35 @@ def test_near_copies_against_brute_force(spark, monkeypatch, chars):
     assert len(near) > 100
 
 
+def plain_prints(text):
+    hashes, out = [xxhash.xxh64_intdigest(" ".join(w)) for w in plain_shingles(text)], []
+    for k in range(near_copies.PRINTS):
+        mixed = [(h ^ int(near_copies._TURNS[k])) * int(near_copies._ODD[k]) % 2**64 for h in hashes]
+        mixed = [(x ^ x >> 32) * int(near_copies._ODD[-1 - k]) % 2**64 for x in mixed]
+        mixed = [x ^ x >> 29 for x in mixed]
+        out.append(sum(1 << bit for bit in range(64) if 2 * sum(x >> bit & 1 for x in mixed) > len(mixed)))
+    return out
+
+
+def test_near_copies_go_through_simhash(spark, monkeypatch):
+    texts = varied_texts(90)
+    found = [plain_prints(t) for t in texts]
+    assert [[p % 2**64 for p in near_copies.prints(near_copies.shingles(t or ""))] for t in texts] == found
+    # five bits in three segments leave one with a single bit, so these must meet; others may
+    apart = {(a, b): min((x ^ y).bit_count() for x in found[a] for y in found[b]) for a, b in itertools.combinations(range(len(texts)), 2)}
+    _, near = plain_groups(texts)
+    rows = spark.createDataFrame([(i, t or "") for i, t in enumerate(texts)], "tid long, text string")
+    seen, candidates = [], near_copies.simhash_candidates
+    monkeypatch.setattr(near_copies, "simhash_candidates", lambda signed: seen.append(candidates(signed)) or seen[-1])
+    monkeypatch.setattr(near_copies, "band_candidates", lambda signed: signed.selectExpr("tid AS a", "tid AS b").where("false"))
+    links = [tuple(sorted(r)) for r in near_copies.near_links(rows).collect()]
+    assert set(links) <= set(near)  # the exact check follows
+    group = classes_of(links, len(texts))
+    reached = [pair for pair in near if apart[pair] <= 5]
+    assert all(group[a] == group[b] for a, b in reached) and len(reached) > 20
+    assert all(apart[tuple(sorted(r))] <= near_copies.MAX_BITS for r in seen[0].collect())
+
+
 def test_near_copies_stage_reaches_the_similarity(spark, tmp_path):
     """A pair at 0.80-0.85 differs in more than four bits of a fingerprint, and stayed in the corpus."""
     texts = [t for t in varied_texts() if t and len(t) > 20]
